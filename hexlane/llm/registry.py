@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, warc_zip
+from . import jaccard_join, sharding, substring, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_substring": substring.op4_substring,
     "op8_warc": warc_zip.op8_warc,
+    "op10_jaccard": jaccard_join.op10_jaccard,
 }
 ORACLES: dict[str, str] = {
     "op8_warc": warc_zip.ORACLE,
