@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, sharding, substring, warc_zip
+from . import ann, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, substring, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_lines": line_dedup.op2_lines,
     "op4_substring": substring.op4_substring,
+    "op5_language": language_id.op5_language,
+    "op6_html": html_extract.op6_html,
+    "op7_ann": ann.op7_ann,
     "op8_warc": warc_zip.op8_warc,
+    "op9_mixing": mixing.op9_mixing,
     "op10_jaccard": jaccard_join.op10_jaccard,
 }
 ORACLES: dict[str, str] = {
+    "op2_lines": line_dedup.ORACLE,
+    "op9_mixing": mixing.oracle(),
     "op8_warc": warc_zip.ORACLE,
 }

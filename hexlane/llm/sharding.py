@@ -63,7 +63,8 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
         state = written(state, "shard-state")
         here = state.where("hub is not null").groupBy("hub", "shard").count()
         best = here.groupBy("hub").agg(F.max_by("shard", F.struct("count", F.xxhash64("hub", "shard"))).alias("goal"))
-        asks = state.join(best, "hub", "left").withColumn("goal", F.when(F.col("goal") != F.col("shard"), F.col("goal")))
+        alone = state.where("hub is null").withColumn("goal", F.lit(None).cast("int"))
+        asks = state.where("hub is not null").join(best, "hub").unionByName(alone).withColumn("goal", F.when(F.col("goal") != F.col("shard"), F.col("goal")))
         group = F.when(F.col("goal").isNotNull(), F.col("goal")).when(F.col("hub").isNull(), F.col("shard") + shards).otherwise(F.lit(-1))
         asks = written(ranked(asks.withColumn("_g", group), "_g", "u", buckets, "_k"), "shard-asks")
         free = [0] * shards
