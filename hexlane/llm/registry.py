@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, substring, warc_zip
+from . import ann, decontaminate, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, substring, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_lines": line_dedup.op2_lines,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_substring": substring.op4_substring,
     "op5_language": language_id.op5_language,
     "op6_html": html_extract.op6_html,
