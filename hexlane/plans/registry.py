@@ -1,14 +1,15 @@
-"""Registered queries over the test tables and their SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import decisions, features, parsing, relational, reports, streams  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Panel, 120 outcomes, softmax, expected value, ranks and their summary."""
+    return QUERIES["ev_summary"](spark, sf_dir)
