@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_BYTES = 198
 # fixed values: first byte, length, scale (0: text)
@@ -23,7 +24,7 @@ COURSE_START, COURSE_BYTES = 82, 13
 COURSE_FIELDS = {"entry_count": (0, 3, 1), "place_rate": (3, 4, 10), "avg_st": (7, 3, 100), "avg_st_rank": (10, 3, 100)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sjis(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else bytes(b).decode("shift_jis", errors="ignore").strip(" 　"))
 

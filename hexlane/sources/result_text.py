@@ -78,7 +78,7 @@ def section_heads(secs: DataFrame) -> DataFrame:
         F.coalesce("date", date_of_file(F.col("file")), F.lit("00000000")).alias("date"),
         F.nullif(F.regexp_extract("w", r"(晴れ|晴|曇り|くもり|曇|雨|雪|霧)", 1), F.lit("")).alias("weather"),
         F.nullif(F.regexp_extract("w", rf"風\s*{WIND}", 1), F.lit("")).alias("wind_dir"),
-        number(r"(\d+(?:\.\d+)?)\s*m").alias("wind_speed_mps"), number(r"波\s*(\d+(?:\.\d+)?)\s*cm").alias("wave_cm"),
+        number(r"風[^0-9]*(\d+(?:\.\d+)?)\s*m").alias("wind_speed_mps"), number(r"波\s*(\d+(?:\.\d+)?)\s*cm").alias("wave_cm"),
     )
 
 
@@ -94,8 +94,7 @@ def payouts(secs: DataFrame) -> DataFrame:
 def race_blocks(secs: DataFrame) -> DataFrame:
     """file, section, race_no, start, stop: detail blocks at the first `nR … H…m` line of each race, up to the next block."""
     text = narrow(F.col("line"))
-    race = F.regexp_extract(text, r"^\s*(\d{1,2})R\s.*H\d*\s*m|^\s*(\d{1,2})R\s.*H\s*\d+m", 1)
-    race = F.coalesce(F.nullif(race, F.lit("")), F.regexp_extract(text, r"^\s*(\d{1,2})R\s.*H\s*\d+m", 1)).try_cast("int")
+    race = F.regexp_extract(text, r"^\s*(\d{1,2})R\s.*H\s*\d*\s*m", 1).try_cast("int")
     starts = secs.withColumn("race_no", race).where("race_no between 1 and 12").groupBy("file", "section", "race_no").agg(F.min("pos").alias("start"))
     stop = F.lead("start").over(Window.partitionBy("file", "section").orderBy("start"))
     return starts.withColumn("stop", F.coalesce(stop, F.lit(2**31 - 1)))
