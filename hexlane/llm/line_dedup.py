@@ -27,9 +27,11 @@ VARIABLE = r"[^ \t\n\x0B\f\r0-9]*[0-9][^ \t\n\x0B\f\r]*"
 def drop_templates(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept: texts without the lines of recurring templates."""
     docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
-    masked = F.split(F.regexp_replace("text", VARIABLE, "<*>"), "\n")
-    lines = docs.where("text is not null").select("rk", F.xxhash64("text").alias("th"), F.posexplode(masked).alias("pos", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace(F.trim(F.regexp_replace("raw", GAP, " ")), "^ | $", "")).where("line <> ''")
+    lines = docs.where("text is not null").select("rk", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    # most lines have no digit and single spaces, and are not rewritten
+    raw = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
+    raw = F.when(F.col("raw").rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(raw, GAP, " ")).otherwise(raw)
+    lines = lines.withColumn("line", F.trim(raw)).where("line <> ''")
     tokens = F.split("line", " ")
     leaf = F.xxhash64(F.size(tokens), *[F.coalesce(F.get(tokens, F.lit(i)), F.lit("")) for i in range(DEPTH)])
     lines = lines.select("rk", "th", "pos", "line", leaf.alias("leaf"))
