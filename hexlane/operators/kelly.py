@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .scoring import by_race
 
 CAP, TOTAL, FRACTION, STEPS, RATE, TOP, UNIT, HALVINGS = 0.02, 0.05, 0.25, 200, 0.3, 30, 100, 60
@@ -59,6 +60,7 @@ def stakes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def allocate(df: DataFrame, bankroll: float = 100_000.0) -> DataFrame:
     """race, combo, frac, amount, p, odds, edge of the stakes of at least one unit, for rows race, combo, prob, odds."""
+    ship(df.sparkSession)
     df = df.where("prob > 0 and odds > 0").select("race", "combo", "odds", (F.col("prob") / F.sum("prob").over(by_race())).alias("p"))
     df = df.withColumn("edge", F.col("p") * F.col("odds") - 1).where("edge > 0")
     df = df.withColumn("k", F.row_number().over(by_race().orderBy(F.desc("edge"), "combo"))).where(F.col("k") <= TOP)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import ship
+
 LEAST_BYTES = 198
 # fixed values: first byte, length, scale (0: text)
 FIELDS = {
@@ -39,6 +41,7 @@ def field(record: Column, start: int, length: int, scale: int) -> Column:
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     """Racer rows of binary records; short ones and those without a numeric id are left out."""
+    ship(records.sparkSession)
     r = F.col(column)
     rows = records.where((F.octet_length(r) >= LEAST_BYTES) & F.decode(F.substring(r, 1, 4), "ISO-8859-1").rlike(r"^\d{4}$"))
     out = [field(r, *spec).alias(name) for name, spec in FIELDS.items()]

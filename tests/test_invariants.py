@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +95,10 @@ def test_cached_values(spark, tmp_path):
     held = logs.cached_values(stream, "k", "v", 3_600_000)
     query = held.writeStream.outputMode("append").format("memory").queryName("cache_test").option("checkpointLocation", str(tmp_path / "ck")).start()
     try:
-        query.processAllAvailable()
+        # timeouts keep the query running empty batches, so it is never idle
+        until = time.time() + 60
+        while time.time() < until and spark.table("cache_test").count() < 2:
+            time.sleep(0.5)
         assert sorted(r.k for r in spark.table("cache_test").collect()) == [1, 2]
     finally:
         query.stop()
