@@ -2,7 +2,7 @@
 
 Words are lower-cased runs without ASCII punctuation. TF-IDF features are word hashes in 2**FEATURE_BITS slots, with document
 frequencies over all documents. A randomised SVD of the passages over the benchmark's terms (one distributed sketch
-A'A*Omega, benchmark rows weighted in) gives the latent space. Passages are windows of two HALF-word blocks; those whose
+A'A*Omega, the span of the benchmark's pieces weighted in) gives the latent space. Passages are windows of two HALF-word blocks; those whose
 cosine with a benchmark piece is COSINE or more are candidates. A candidate is a leak if the longest common subsequence of
 the piece and the words around the passage has LCS of the piece's words, or PARAPHRASE of them and LCS of its last quarter,
 which holds the answer. Long items are cut into pieces; pieces are taken PIECES at a time, so what is broadcast is bounded.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import row_key, small_batches, table, written
 from .words import Words, slices
 
-FEATURE_BITS, RANK, SPARE, HALF, PIECES, PIECE_WORDS = 18, 160, 16, 24, 1000, 64
+FEATURE_BITS, RANK, SPARE, HALF, PIECES, PIECE_WORDS = 18, 224, 8, 24, 200, 64
 COSINE, LCS, PARAPHRASE, COMMON_SHARE = 0.3, 0.8, 0.6, 0.1
 PLAIN = np.arange(256, dtype=np.uint8)
 for _c in range(128):
@@ -225,7 +225,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for term, row in zip(got.column("term").to_pylist(), got.column("row").to_pylist(), strict=True):
             total[term] = np.frombuffer(row, np.float32)
         total /= max(1.0, float(np.linalg.norm(total)))
-        bench = own.T.astype(np.float64) @ (own @ omega)
+        # the span of the pieces, all directions alike, so that none is lost to the more frequent ones
+        span, size, _ = np.linalg.svd(own.T.astype(np.float64), full_matrices=False)
+        span = span[:, size > 1e-6]
+        bench = span @ (span.T @ omega)
         left, _, _ = np.linalg.svd(total + 10 * bench / max(1e-9, float(np.linalg.norm(bench))), full_matrices=False)
         basis = left[:, :rank].astype(np.float32)
         latent = own @ basis
