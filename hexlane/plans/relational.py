@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..dims import LANES, LIVE_VENUES, class_id, outcomes
+from ..dims import GRADES, LANES, LIVE_VENUES, class_id, code_map, outcomes
 from ..functions import scalars
 from ..operators import reports, scoring, selection
 from ..sources import panel
@@ -247,8 +247,6 @@ def safe_double(spark, d):
   CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS grade, {rd('CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice / (o_orderkey % 3) END', 'ratio', 4)},
   CASE WHEN o_orderpriority[1] IN ('1', '2', '3', '4') THEN (['15', '02', '16', '12'])[CAST(o_orderpriority[1] AS INTEGER)] ELSE 'default' END AS venue FROM orders""")
 def scalar_codes(spark, d):
-    from ..dims import GRADES, code_map
-
     o = parquet(spark, d, "orders")
     grade = F.element_at(F.array(*map(F.lit, ("A1", "A2", "B1", "B2"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     venue = F.element_at(F.array(*map(F.lit, (*LIVE_VENUES.values(), "?"))), F.substring("o_orderpriority", 1, 1).cast("int"))

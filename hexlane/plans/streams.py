@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,8 +14,6 @@ from .base import query
 
 def folder(spark) -> str:
     """A fresh checkpoint location in the shared folder; a temporary one where the session names none."""
-    import tempfile
-
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hexlane-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
