@@ -14,7 +14,9 @@ BROADCAST_KEYS = 500_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models don't reject; trained on all that have a lang."""
-    return language_id.identify(docs, docs, list(COLUMNS)).where("not rejected").select(*COLUMNS)
+    keyed = docs.withColumn("rk", row_key("doc_id", "text"))
+    gone = written(language_id.identify(keyed, docs, ["rk"]).where("rejected").select("rk").distinct(), "rejected")
+    return keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "rk", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

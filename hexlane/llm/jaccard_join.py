@@ -195,24 +195,24 @@ def survey(k: int, rule: Rule):
                 if found:
                     hashes = np.sort(np.concatenate([f[0] for f in found]))
                     bucket = (hashes >> U(54)).astype(np.int32)
+                    hashes = ((hashes >> U(22)) & U(0xFFFFFFFF)).astype(np.uint32)  # 42 bits with the bucket: a chance match only costs a look
                     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                    ends = np.append(at[1:], len(hashes))
-                    blob = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(hashes)) * 8).astype(np.int32)), pa.py_buffer(hashes)])
-                    assert ends[-1] == len(hashes)
+                    blob = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(hashes)) * 4).astype(np.int32)), pa.py_buffer(hashes)])
                     yield rows(len(at), bucket=pa.array(bucket[at]), blob=blob)
 
     return task
 
 
 def repeated_in_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes that occur more than once in a partition of blobs; all blobs of a bucket are in one partition."""
+    """Hashes (their upper 42 bits) that occur more than once in a partition of blobs; all blobs of a bucket are in one."""
     got: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), U))
+            got.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), np.uint32))
     for bucket in list(got):
         hashes = np.sort(np.concatenate(got.pop(bucket)))
         twice = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
+        twice = (U(bucket) << U(54)) | (twice.astype(U) << U(22))
         yield pa.RecordBatch.from_arrays([pa.array(twice.view(np.int64))], ["h"])
 
 
