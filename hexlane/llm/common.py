@@ -74,19 +74,30 @@ class KeyFilter:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the least node of each connected component of an undirected edge table.
 
-    Least-label propagation with pointer jumping; each round is one aggregation (combined on the map side, so a
-    node with very many neighbours is no hot key) and a join, written out. Raises if it has not settled in time.
+    Contraction: each node points to the least of itself and its neighbours, in an order by hash, and on to where that
+    one points; edges are then drawn between the nodes so reached. What has no edge left is finished and takes no part
+    in later rounds, so the rounds shrink. The pointers of all rounds are followed back to front at the end. Null nodes
+    and loops are left out. Each round is written out; raises if edges remain after the last.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a)))
-    both = written(both.where("node is not null and to is not null and node <> to").distinct(), "edges")
-    label = written(both.groupBy("node").agg(F.least("node", F.min("to")).alias("component")), "labels")
-    for _ in range(rounds):
-        seen = both.join(label.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("near"))
-        step = label.join(seen, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        jump = label.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        step = step.join(jump, "next", "left").select("node", F.least("next", "far").alias("component"), "was")
-        step = written(step, "labels")
-        label = step.select("node", "component")
-        if not step.where("component <> was").take(1):
-            return label
-    raise RuntimeError("components have not settled")
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    left = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null and _a <> _b")
+    left = written(left.select(ranked("_a").alias("a"), ranked("_b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    pointers = []
+    while left.take(1):
+        if len(pointers) == rounds:
+            raise RuntimeError("components have not settled")
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
+        near = written(both.groupBy("node").agg(F.least("node", F.min("to")).alias("next")), "pointers")
+        far = near.join(near.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", "far")
+        far = written(far, "pointers")
+        pointers.append(far)
+        ends = left.join(far.select(F.col("node").alias("a"), F.col("far").alias("x")), "a").join(far.select(F.col("node").alias("b"), F.col("far").alias("y")), "b")
+        left = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not pointers:
+        return edges.sparkSession.createDataFrame([], edges.select(F.col(a).alias("node"), F.col(a).alias("component")).schema)
+    root = pointers.pop()
+    while pointers:
+        onward = root.select(F.col("node").alias("far"), F.col("far").alias("root"))
+        root = written(pointers.pop().join(onward, "far", "left").select("node", F.coalesce("root", "far").alias("far")), "pointers")
+    least = root.groupBy("far").agg(F.min("node.id").alias("component"))
+    return written(root.join(least, "far").select(F.col("node.id").alias("node"), "component"), "components")
