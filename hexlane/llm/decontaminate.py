@@ -1,11 +1,14 @@
 """Benchmark passages in documents, also paraphrased: latent semantic retrieval, then word-by-word checks.
 
 Words are lower-cased runs without ASCII punctuation. TF-IDF features are word hashes in 2**FEATURE_BITS slots, with document
-frequencies over all documents. A randomised SVD of the passages over the benchmark's terms (one distributed sketch
-A'A*Omega, the span of the benchmark's pieces weighted in) gives the latent space. Passages are windows of two HALF-word blocks; those whose
-cosine with a benchmark piece is COSINE or more are candidates. A candidate is a leak if the longest common subsequence of
+frequencies over all documents; a feature's squared weight is 1 + ln((documents + 1) / (frequency + 1)), so that no term is
+left out, however frequent. The latent space is the span of the benchmark's pieces, whole, and up to RANK dimensions a
+randomised SVD of the passages (one distributed sketch A'A*Omega over all terms but the DENSE most frequent ones). Passages are
+windows of two HALF-word blocks, with each term once. A window is a candidate for a piece if it holds as much of the piece's
+weight as any run of the piece's length with PARAPHRASE of its words must have in its best window (need()): neither frequent
+words nor the words around an item lower that. A candidate is a leak if the longest common subsequence of
 the piece and the words around the passage has LCS of the piece's words, or PARAPHRASE of them and LCS of its last quarter,
-which holds the answer. Long items are cut into pieces; pieces are taken PIECES at a time, so what is broadcast is bounded.
+which holds the answer. The cosine given is that of the whole passage; nothing is decided by it. Long items are cut into pieces; pieces are taken PIECES at a time, so what is broadcast is bounded.
 
 Nulls and edges: null and empty texts have no passage; items without words and null items leak nowhere; null ids are kept;
 equal rows leak alike; empty tables give an empty result. Only doc_id, text, item_id and the item's text are read.
@@ -26,7 +29,8 @@ from .common import row_key, small_batches, table, written
 from .words import Words, slices
 
 FEATURE_BITS, RANK, SPARE, HALF, PIECES, PIECE_WORDS = 18, 224, 8, 24, 200, 64
-COSINE, LCS, PARAPHRASE, COMMON_SHARE = 0.3, 0.8, 0.6, 0.1
+LCS, PARAPHRASE, DENSE = 0.8, 0.6, 256
+CHUNK = 2048  # windows projected at once
 PLAIN = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     if not chr(_c).isalnum():
@@ -55,14 +59,14 @@ def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], docs))], ["slot", "n"])
 
 
-def weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """IDF of each slot, and which slots are common: at most 2**FEATURE_BITS rows reach the driver."""
+def weights(docs: DataFrame) -> np.ndarray:
+    """Weight of each slot, the root of its smoothed IDF: at most 2**FEATURE_BITS rows reach the driver."""
     got = docs.select("text").mapInArrow(document_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     at, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
     total = n[at < 0].sum()
     df = np.zeros(1 << FEATURE_BITS)
     df[at[at >= 0]] = n[at >= 0]
-    return np.log((total + 1) / (df + 1)).astype(np.float32), df > COMMON_SHARE * max(total, 1)
+    return np.sqrt(1 + np.log((total + 1) / (df + 1))).astype(np.float32)
 
 
 def pieces(items: list[tuple]) -> list[SimpleNamespace]:
@@ -78,6 +82,14 @@ def pieces(items: list[tuple]) -> list[SimpleNamespace]:
     return out
 
 
+def need(idf: np.ndarray, piece: np.ndarray) -> float:
+    """Least weight of the piece in the best window of a run of the piece's length that has PARAPHRASE of its words."""
+    n = len(piece)
+    inside = min(max(min(at + n, w + 2 * HALF) - max(at, w) for w in range(0, n + HALF, HALF)) for at in range(HALF))
+    words = max(1, int(np.ceil(PARAPHRASE * n - 1e-9)) - (n - inside))
+    return float(np.sort(idf[slot(piece)].astype(np.float64) ** 2)[:words].sum())
+
+
 def block_norms(idf: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Half-window of each word, slot of each word, squared norm and document of each half-window."""
     blocks = -(-words.count // HALF)
@@ -103,7 +115,7 @@ def sketch(share):
             for _, _, data, offsets in slices(batch.column(0)):
                 words = plain_words(data, offsets)
                 half, at, norm, _ = block_norms(m.idf, words)
-                use = np.flatnonzero(m.column[at] >= 0)
+                use = np.flatnonzero(m.column[at] >= DENSE)
                 half, column = half[use], m.column[at[use]]
                 w = (m.idf[at[use]] / np.sqrt(np.maximum(norm[half], 1e-9))).astype(np.float32)
                 keys, y = group_sum(m.omega[column] * w[:, None], half)
@@ -138,6 +150,27 @@ def common_subsequence(piece: np.ndarray, region: np.ndarray) -> int:
     return len(piece) - row.bit_count()
 
 
+def candidates(m: SimpleNamespace, half: np.ndarray, column: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(window, piece, product) of windows with what the piece needs; half and column are of the benchmark's words, in order."""
+    terms, dense = len(m.basis), min(DENSE, len(m.basis))
+    for low in range(0, len(joined), CHUNK):
+        high = min(low + CHUNK, len(joined))
+        some = slice(np.searchsorted(half, low), np.searchsorted(half, high + 1))
+        h, c, on = half[some] - low, column[some].astype(np.int64), joined[low:high]
+        often = c < dense
+        blocks = np.zeros((high - low + 1, dense), np.float32)
+        blocks[h[often], c[often]] = 1
+        latent = np.maximum(blocks[:-1], blocks[1:] * on[:, None]) @ m.basis[:dense]
+        h, c = h[~often], c[~often]
+        own, next_ = h < high - low, (h > 0) & on[h - 1]
+        keys = np.unique(np.concatenate((h[own] * terms + c[own], (h[next_] - 1) * terms + c[next_])))
+        at, sums = group_sum(m.basis[keys % terms], keys // terms)
+        latent[at] += sums
+        dot = latent @ m.pieces.T
+        for w, p in zip(*np.nonzero(dot >= m.need), strict=True):
+            yield low + w, p, dot[w, p]
+
+
 def retrieve(share):
     """(rk, doc_id, item_id, cosine, lcs) of leaks."""
 
@@ -152,25 +185,12 @@ def retrieve(share):
                     continue
                 half, at, norm, owner = block_norms(m.idf, words)
                 use = np.flatnonzero(m.column[at] >= 0)
-                mass = np.bincount(half[use], weights=m.idf[at[use]].astype(np.float64) ** 2, minlength=len(norm))
                 joined = np.append(owner[1:] == owner[:-1], False)
                 pair = lambda x: x + np.where(joined, np.append(x[1:], 0), 0)
                 size = np.sqrt(np.maximum(pair(norm), 1e-9))
-                # the latent cosine is no more than the share of the benchmark's terms in the passage
-                windows = np.flatnonzero(np.sqrt(pair(mass)) >= COSINE * size)
-                if not len(windows):
-                    continue
-                wanted = np.zeros(len(norm) + 1, bool)
-                wanted[windows] = wanted[windows + joined[windows]] = True
-                use = use[wanted[half[use]]]
-                some, sums = group_sum(m.basis[m.column[at[use]]] * m.idf[at[use]][:, None], half[use])
-                place = np.zeros(len(norm) + 1, np.int64)
-                place[some] = np.arange(1, len(some) + 1)
-                sums = np.concatenate((np.zeros((1, m.basis.shape[1]), np.float32), sums))
-                latent = sums[place[windows]] + np.where(joined[windows][:, None], sums[place[windows + joined[windows]]], 0)
-                cosine = (latent @ m.pieces.T) / size[windows][:, None]
-                for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    block, piece = windows[w], m.words[p]
+                half_used, column = half[use], m.column[at[use]]
+                for block, p, dot in candidates(m, half_used, column, joined):
+                    piece = m.words[p]
                     doc = owner[block]
                     start = words.first[doc] + (block - np.searchsorted(owner, doc)) * HALF
                     region = words.hash[max(words.first[doc], start - len(piece)) : min(words.first[doc + 1], start + 2 * HALF + len(piece))]
@@ -179,7 +199,7 @@ def retrieve(share):
                         continue
                     answer = piece[-max(3, len(piece) // 4) :]
                     if lcs >= LCS or common_subsequence(answer, region) >= LCS * len(answer):
-                        out.append((keys[first + doc], ids[first + doc], m.items[p], float(cosine[w, p]), lcs))
+                        out.append((keys[first + doc], ids[first + doc], m.items[p], float(dot / (size[block] * m.norms[p])), lcs))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["rk", "doc_id", "item_id", "cosine", "lcs"])
 
     return task
@@ -190,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
-    idf, common = weights(docs)
+    idf = weights(docs)
     found = None
     rows = benchmark.where("text is not null").select("item_id", "text").toLocalIterator()
     rng = np.random.default_rng(5)
@@ -207,16 +227,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         column = np.full(1 << FEATURE_BITS, -1, np.int32)
         terms = np.unique(slot(np.concatenate([p.words for p in part])))
-        terms = terms[~common[terms] & (idf[terms] > 0)]
+        terms = terms[np.argsort(idf[terms], kind="stable")]  # the most frequent first
         column[terms] = np.arange(len(terms))
         rank = min(RANK, len(terms))
-        if not rank:
-            continue
         own = np.zeros((len(part), len(terms)), np.float32)
         for i, p in enumerate(part):
             at = slot(p.words)
-            np.add.at(own[i], column[at[column[at] >= 0]], idf[at[column[at] >= 0]])
-            own[i] /= max(1e-9, float(np.sqrt((idf[at].astype(np.float64) ** 2).sum())))
+            np.add.at(own[i], column[at], idf[at])
         omega = rng.normal(size=(len(terms), rank + SPARE)).astype(np.float32)
         share = spark.sparkContext.broadcast(SimpleNamespace(idf=idf, column=column, omega=omega))
         got = docs.select("text").mapInArrow(sketch(share), "term int, row binary")
@@ -225,15 +242,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for term, row in zip(got.column("term").to_pylist(), got.column("row").to_pylist(), strict=True):
             total[term] = np.frombuffer(row, np.float32)
         total /= max(1.0, float(np.linalg.norm(total)))
-        # the span of the pieces, all directions alike, so that none is lost to the more frequent ones
+        # the whole span of the pieces first, so that no product with a piece loses anything; then the sketch's directions
         span, size, _ = np.linalg.svd(own.T.astype(np.float64), full_matrices=False)
-        span = span[:, size > 1e-6]
-        bench = span @ (span.T @ omega)
-        left, _, _ = np.linalg.svd(total + 10 * bench / max(1e-9, float(np.linalg.norm(bench))), full_matrices=False)
-        basis = left[:, :rank].astype(np.float32)
-        latent = own @ basis
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        share = spark.sparkContext.broadcast(SimpleNamespace(idf=idf, column=column, basis=basis, pieces=latent, words=[p.words for p in part], items=[p.item for p in part]))
+        span = span[:, size > 1e-6 * size[0]]
+        left, _, _ = np.linalg.svd(total - span @ (span.T @ total), full_matrices=False)
+        basis = np.hstack((span, left[:, : rank - span.shape[1]])).astype(np.float32)
+        share = spark.sparkContext.broadcast(SimpleNamespace(
+            idf=idf, column=column, basis=basis * idf[terms][:, None], pieces=own @ basis, norms=np.linalg.norm(own, axis=1), need=np.array([need(idf, p.words) for p in part]) * (1 - 1e-3),
+            words=[p.words for p in part], items=[p.item for p in part],
+        ))
         hits = docs.select("rk", "doc_id", "text").mapInArrow(retrieve(share), "rk long, doc_id long, item_id long, cosine double, lcs double")
         found = hits if found is None else found.union(hits)
     if found is None:

@@ -247,3 +247,19 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.main_text(pages).count() == 0
     assert decontaminate.leaks(docs, spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).count() == 0
+
+
+def test_leaks_of_frequent_and_surrounded_items(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(40)]
+    items = [(i, " ".join(f"{n}{j}" for j in range(15))) for i, n in enumerate(("third", "every", "alone"))] + [(3, " ".join(rng.sample(common, 20)))]
+    docs, want = [], set()
+    for i in range(90):
+        w = [f"r{i}x{j}" for j in range(200)]  # words of no other document
+        held = [1] + [0] * (i % 3 == 0) + [2] * (i == 7) + [3] * (i == 8)
+        for n, item in enumerate(held):
+            w[20 + 50 * n : 20 + 50 * n] = items[item][1].split()
+            want.add((i, item))
+        docs.append((i, " ".join(w + rng.sample(common, 30))))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
