@@ -82,6 +82,18 @@ def pieces(items: list[tuple]) -> list[SimpleNamespace]:
     return out
 
 
+def piece_blocks(items: Iterator[tuple]) -> Iterator[list[SimpleNamespace]]:
+    """Pieces of all items, PIECES at a time, whatever the length of the items."""
+    block: list[SimpleNamespace] = []
+    for item in items:
+        block += pieces([item])
+        while len(block) >= PIECES:
+            yield block[:PIECES]
+            block = block[PIECES:]
+    if block:
+        yield block
+
+
 def need(idf: np.ndarray, piece: np.ndarray) -> float:
     """Least weight of the piece in the best window of a run of the piece's length that has PARAPHRASE of its words."""
     n = len(piece)
@@ -214,17 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     rows = benchmark.where("text is not null").select("item_id", "text").toLocalIterator()
     rng = np.random.default_rng(5)
-    block: list[tuple] = []
-    every = []
-    for r in rows:
-        block.append((r["item_id"], r["text"]))
-        if len(block) == PIECES:
-            every.append(pieces(block))
-            block = []
-    every.append(pieces(block))
-    for part in every:
-        if not part:
-            continue
+    for part in piece_blocks((r["item_id"], r["text"]) for r in rows):
         column = np.full(1 << FEATURE_BITS, -1, np.int32)
         terms = np.unique(slot(np.concatenate([p.words for p in part])))
         terms = terms[np.argsort(idf[terms], kind="stable")]  # the most frequent first
@@ -245,6 +247,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # the whole span of the pieces first, so that no product with a piece loses anything; then the sketch's directions
         span, size, _ = np.linalg.svd(own.T.astype(np.float64), full_matrices=False)
         span = span[:, size > 1e-6 * size[0]]
+        if span.shape[1] > rank:
+            raise RuntimeError(f"{len(part)} pieces span more than {rank} dimensions")
         left, _, _ = np.linalg.svd(total - span @ (span.T @ total), full_matrices=False)
         basis = np.hstack((span, left[:, : rank - span.shape[1]])).astype(np.float32)
         share = spark.sparkContext.broadcast(SimpleNamespace(

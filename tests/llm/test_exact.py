@@ -263,3 +263,21 @@ def test_leaks_of_frequent_and_surrounded_items(spark):
         docs.append((i, " ".join(w + rng.sample(common, 30))))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want
+
+
+def test_leaks_of_long_items(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(decontaminate, "PIECES", 20)
+    monkeypatch.setattr(decontaminate, "RANK", 22)
+    sizes, blocks = [], decontaminate.piece_blocks
+
+    def counted(items):
+        for block in blocks(items):
+            sizes.append(len(block))
+            yield block
+
+    monkeypatch.setattr(decontaminate, "piece_blocks", counted)
+    items = [(i, " ".join(f"q{rng.randrange(3000)}" for _ in range(300))) for i in range(12)]
+    docs = [(i, " ".join([f"q{rng.randrange(3000)}" for _ in range(100)] + text.split()[60 * (i % 5) : 60 * (i % 5) + 60])) for i, text in items] + [(99, " ".join(f"q{rng.randrange(3000)}" for _ in range(200)))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items} and sizes == [20, 20, 20]
