@@ -1,8 +1,9 @@
 """Main text of pages by consensus of a host's pages.
 
 Each page's containers are scored by the paragraphs below them; the best one votes for its generalised tag-class path. Votes
-are summed a host and path in Spark, and every page is extracted again from its host's winning path, or from its own best
-container where it has none such.
+are summed a host and path in Spark, and every page is extracted again from its host's winning path, or from that of its own
+best container where it has none such. An article may be split: the text is that of all containers on the path (where no name
+marks the path as an article, of those with FAIR of the best one's score), and of likely siblings with FAIR of it, in page order.
 
 Nulls and edges: null or empty html gives an empty text; a null or odd url is a host of its own name ("" if none); tags left
 open end with their parent; unfinished character references stay as they are; equal rows are extracted each; an empty table
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 BROADCAST_HOSTS = 200_000
+FAIR = 0.2
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # fixed values: elements by kind
@@ -42,6 +44,9 @@ class Node:
         step = tag + "".join(f".{w}" for w in words[:2])
         self.path = f"{parent.path}/{step}" if parent else step
 
+    def likely(self) -> bool:
+        return self.tag in ("article", "main") or bool(LIKELY & {b for w in self.words for b in re.split(r"[^a-z]+", w)})
+
     def dropped(self) -> bool:
         if self.tag in DROPPED or self.tag == "header" and not (self.parent and self.parent.tag in ("article", "main")):
             return True
@@ -145,8 +150,20 @@ class Page:
                 node.score *= 1.25
         return max(self.nodes, key=lambda n: n.score)
 
-    def text(self, node: Node) -> str:
-        return " ".join(t for t, _, skipped, _ in self.blocks[node.start : node.end] if not skipped)
+    def parts(self, best: Node) -> list[Node]:
+        """The containers of a split article, in page order."""
+        out, parents = [], set()
+        for n in self.nodes:
+            if n is best or n.path == best.path and n.end > n.start and (n.likely() or n.score >= FAIR * best.score):
+                out.append(n)
+                parents.add(id(n.parent))
+        chosen = {id(n) for n in out}
+        if best.parent is not None:
+            out += [n for n in self.nodes if id(n) not in chosen and id(n.parent) in parents and n.end > n.start and n.likely() and n.score >= FAIR * best.score]
+        return sorted(out, key=lambda n: n.start)
+
+    def text(self, nodes: list[Node]) -> str:
+        return " ".join(t for node in nodes for t, _, skipped, _ in self.blocks[node.start : node.end] if not skipped)
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +181,7 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             page = Page(html)
             best = page.scored()
-            out.append(page.text(max((n for n in page.nodes if n.path == path and n.end > n.start), key=lambda n: n.score, default=best)))
+            out.append(page.text(page.parts(max((n for n in page.nodes if n.path == path and n.end > n.start), key=lambda n: n.score, default=best))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 

@@ -281,3 +281,14 @@ def test_leaks_of_long_items(spark, monkeypatch):
     docs = [(i, " ".join([f"q{rng.randrange(3000)}" for _ in range(100)] + text.split()[60 * (i % 5) : 60 * (i % 5) + 60])) for i, text in items] + [(99, " ".join(f"q{rng.randrange(3000)}" for _ in range(200)))]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i, _ in items} and sizes == [20, 20, 20]
+
+
+def test_html_of_split_articles(spark):
+    first, second, third = ("<p>" + f"The {n} part of the article, which has several words, goes on for a while here. " * 3 + "</p>" for n in ("first", "second", "third"))
+    same = f'<body><div id=x><div class="text">{first}</div><div class="advert"><p>Buy this now, it is very cheap today</p></div><div class="text">{second}</div><div class="text"><p>End.</p></div></div></body>'
+    apart = f'<body><div id=x><div class="text">{first}</div><figure><img src=a></figure><div class="content">{second}</div></div></body>'
+    deep = f'<body><div><div class="row"><div class="body">{first}</div></div><div class="row"><div class="body">{third}</div></div></div></body>'
+    pages = [(1, "http://a.example/1", same), (2, "http://b.example/1", apart), (3, "http://c.example/1", deep)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    plain = lambda *parts: " ".join(re.sub(r"<[^>]*>", "", p).strip() for p in parts)
+    assert got == {1: plain(first, second, "End."), 2: plain(first, second), 3: plain(first, third)}
