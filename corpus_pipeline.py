@@ -20,10 +20,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle sets similar by 0.8: that of the least doc_id."""
-    groups = jaccard_join.join_sets(docs, k=5, num=80, den=100)
-    gone = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti")
+    """One document of each group of five-word shingle sets similar by 0.8: that of the least doc_id, nulls last."""
+    # rows, not ids, are compared: an id may be null, repeated, or shared by different texts
+    keyed = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_join.join_sets(keyed.select(F.col("row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    groups = written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "row-groups")
+    grouped = groups.join(groups.where("component <> row").select("component").distinct(), "component", "left_semi")
+    member = grouped.join(keyed.select("row", "doc_id"), "row").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    best = member.groupBy("component").agg(F.min("rank").alias("best"))
+    gone = written(member.join(best, "component").where("row <> best.row").select("row"), "near-duplicates")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "row", "left_anti")
     return kept.select(*COLUMNS)
 
 

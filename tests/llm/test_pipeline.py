@@ -20,3 +20,12 @@ def test_stages(spark, sf):
     assert language >= 0.98 * everything and near < language and clean <= near and 0 < mixed < clean and sharded == mixed
     counts = [r["count"] for r in docs.groupBy("shard").count().collect()]
     assert max(counts) - min(counts) <= 1 or len(counts) < 24
+
+
+def test_near_duplicates_by_row(spark, sf):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "c"), (5, "c"), (5, "d"), (None, "e"), (9, "e"), (7, None), (7, None), (8, "f")]
+    docs = spark.createDataFrame([(i, n and say(n), "en", "s", 0) for i, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text and r.text[0]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    want = [(1, "a"), (None, "b"), (2, "c"), (5, "d"), (9, "e"), (7, None), (7, None), (8, "f")]
+    assert sorted(got, key=str) == sorted(want, key=str)
