@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def released(share: Broadcast) -> None:
+    """Free a broadcast value on all machines; nothing that still has to run may use it."""
+    share.destroy()
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's content; equal rows share it."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
