@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 
 
+HEAVY, SPARSE = 10_000, 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,13 +57,36 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
 
 
+def row_id(*columns: str) -> Column:
+    """A 128-bit key of a row's content; equal rows share it."""
+    return F.unhex(F.md5(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns]).cast("binary")))
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a key once at most, where some keys may have a large share of left's rows.
+
+    Keys with a HEAVY-th of the rows or more, HEAVY at most, are joined by broadcast; the others are all small.
+    """
+    rows = left.count()
+    least = max(1000, rows // HEAVY)
+    keys = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least).select(key).collect() if rows >= least else []
+    if not keys:
+        return left.join(right, key, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(keys, left.select(key).schema))
+    flagged = left.join(heavy.withColumn("_heavy", F.lit(True)), key, "left")
+    few = F.broadcast(right.join(heavy, key, "left_semi"))
+    return flagged.where("_heavy").drop("_heavy").join(few, key, how).unionByName(flagged.where("_heavy is null").drop("_heavy").join(right, key, how))
+
+
 class KeyFilter:
-    """One-hash Bloom filter over 64-bit hashes, a fixed 2**bits bits whatever the input: it may be broadcast.
+    """One-hash Bloom filter over 64-bit hashes: SPARSE bits a key, but at most 2**most bits (32 MB), so it may be broadcast.
 
     False positives only cost work: every user of the filter joins or counts exactly afterwards.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 26):
+    def __init__(self, keys: DataFrame, column: str, most: int = 28):
+        keys = written(keys.select(column), "filter-keys")
+        bits = min(most, max(12, (SPARSE * keys.count()).bit_length()))
         slot = F.shiftrightunsigned(F.col(column), 64 - bits)
         words = (
             keys.select(slot.alias("slot"))
@@ -76,6 +102,9 @@ class KeyFilter:
         slot = keys.view(np.uint64) >> np.uint64(64 - self.bits)
         return ((self.table.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
+    def release(self) -> None:
+        released(self.table)
+
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the least node of each connected component of an undirected edge table.
@@ -94,16 +123,17 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
             raise RuntimeError("components have not settled")
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
         near = written(both.groupBy("node").agg(F.least("node", F.min("to")).alias("next")), "pointers")
-        far = near.join(near.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", "far")
+        far = skew_join(near, near.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", "far")
         far = written(far, "pointers")
         pointers.append(far)
-        ends = left.join(far.select(F.col("node").alias("a"), F.col("far").alias("x")), "a").join(far.select(F.col("node").alias("b"), F.col("far").alias("y")), "b")
+        ends = skew_join(left, far.select(F.col("node").alias("a"), F.col("far").alias("x")), "a")
+        ends = ends.join(far.select(F.col("node").alias("b"), F.col("far").alias("y")), "b")  # b is the greater: seldom a hub
         left = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not pointers:
         return edges.sparkSession.createDataFrame([], edges.select(F.col(a).alias("node"), F.col(a).alias("component")).schema)
     root = pointers.pop()
     while pointers:
         onward = root.select(F.col("node").alias("far"), F.col("far").alias("root"))
-        root = written(pointers.pop().join(onward, "far", "left").select("node", F.coalesce("root", "far").alias("far")), "pointers")
+        root = written(skew_join(pointers.pop(), onward, "far", "left").select("node", F.coalesce("root", "far").alias("far")), "pointers")
     least = root.groupBy("far").agg(F.min("node.id").alias("component"))
-    return written(root.join(least, "far").select(F.col("node.id").alias("node"), "component"), "components")
+    return written(skew_join(root, least, "far").select(F.col("node.id").alias("node"), "component"), "components")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches, table, written
+from .common import row_id, small_batches, table, written
 from .words import Words, slices
 
 FEATURE_BITS, RANK, SPARE, HALF, PIECES, PIECE_WORDS = 18, 224, 8, 24, 200, 64
@@ -212,7 +212,7 @@ def retrieve(share):
                     answer = piece[-max(3, len(piece) // 4) :]
                     if lcs >= LCS or common_subsequence(answer, region) >= LCS * len(answer):
                         out.append((keys[first + doc], ids[first + doc], m.items[p], float(dot / (size[block] * m.norms[p])), lcs))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["rk", "doc_id", "item_id", "cosine", "lcs"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["rk", "doc_id", "item_id", "cosine", "lcs"])
 
     return task
 
@@ -221,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """rk (row key of doc_id and text), doc_id, item_id, cosine, lcs: one row a document and leaked item."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
+    docs = docs.select("doc_id", "text", row_id("doc_id", "text").alias("rk"))
     idf = weights(docs)
     found = None
     rows = benchmark.where("text is not null").select("item_id", "text").toLocalIterator()
@@ -255,10 +255,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             idf=idf, column=column, basis=basis * idf[terms][:, None], pieces=own @ basis, norms=np.linalg.norm(own, axis=1), need=np.array([need(idf, p.words) for p in part]) * (1 - 1e-3),
             words=[p.words for p in part], items=[p.item for p in part],
         ))
-        hits = docs.select("rk", "doc_id", "text").mapInArrow(retrieve(share), "rk long, doc_id long, item_id long, cosine double, lcs double")
+        hits = docs.select("rk", "doc_id", "text").mapInArrow(retrieve(share), "rk binary, doc_id long, item_id long, cosine double, lcs double")
         found = hits if found is None else found.union(hits)
     if found is None:
-        return spark.createDataFrame([], "rk long, doc_id long, item_id long, cosine double, lcs double")
+        return spark.createDataFrame([], "rk binary, doc_id long, item_id long, cosine double, lcs double")
     return found.groupBy("rk", "doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
 
 

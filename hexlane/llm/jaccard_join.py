@@ -1,15 +1,19 @@
 """Exact Jaccard self-join of shingle sets: size-aware, heavy-light.
 
 Light (small) sets: enumerate all subsets of the sizes an overlap must have; sets that share such a subset overlap by its
-size, so no further check is needed. Heavy (large) sets: inverted lists. A list is keyed not by one shingle but by a part of
-the set: the hash space is cut into P parts, and as two linked sets differ in at most K shingles, at least P - K parts
-agree entirely. A passage that very many documents share thus makes no long list. A set goes on only if as many of its
-parts are repeated as a partner would need; members of connected lists are compared exactly, in blocks. The boundary is
-the largest size at which enumerating subsets is no dearer than listing parts.
+size, so no further check is needed. The boundary is the largest size at which enumerating subsets is no dearer than listing.
+
+Heavy (large) sets are first sifted: the hash space is cut into P parts, and as two linked sets differ in at most K shingles,
+at least P - K parts agree entirely. A set goes on only if as many of its parts are repeated as a partner would need. Those
+left are put on inverted lists of shingles: each on the lists of its rarest n - ceil(t * n) + 1 shingles, of which linked sets
+share one, whatever the order. Rarity is taken from a table of fixed size. A list is sent as pointers to its head, a slice of
+texts at a time, so that a shingle that a third of all documents have makes no long list. Sets that lists connect are
+compared in lots. In a component of more than BLOCK sets, each block is first compared with a pivot and in itself; then only
+sets that are not yet connected with most of the component meet those of all its blocks.
 
 Documents with equal sets form one class and are joined once. Nulls and edges: null, empty or blank text is an empty set
-linked with nothing; a null doc_id links with nothing and keeps a null component; an empty table gives an empty result;
-equal rows are one class. Only doc_id and text are read.
+linked with nothing; a null doc_id links like any other, and its component is the least doc_id that is not null; an empty
+table gives an empty result; equal rows are one class. Only doc_id, of any type that has an order, and text are read.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, components, small_batches, table, written
+from .common import KeyFilter, components, released, skew_join, small_batches, table, written
 from .words import Words, mix, slices
 
 U = np.uint64
-STRONG, BLOCK, FILTER_BITS, MAP_BITS = 2, 2000, 26, 1024
+STRONG, BLOCK, MAP_BITS, RARITY_BITS = 2, 2000, 1024, 21
 LIST_COST = 3  # a part is counted, looked up and its sets compared; a subset is only grouped
 
 
@@ -178,12 +182,12 @@ def survey(k: int, rule: Rule):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "cls", "key", "size", "bucket", "blob"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, t)) for c, t in zip(names, types, strict=True)], names)
 
         for batch in batches:
+            types = [batch.column(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             for first, to, data, offsets in slices(batch.column(1)):
                 sets = Sets(data, offsets, k)
                 yield rows(to - first, doc_id=batch.column(0)[first:to], n=pa.array(sets.n), cls=binary(sets.cls))
@@ -217,44 +221,95 @@ def repeated_in_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def candidates(k: int, rule: Rule, known: KeyFilter):
-    """(cls, n, parts, tok): sets with as many repeated parts as a partner needs, and those parts."""
+    """(node, cls, n, tok): sets with as many repeated parts as a partner needs; node is half of cls."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 sets = Sets(data, offsets, k)
                 docs = sets.one_a_class()
-                hashes, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+                passed = np.zeros(len(sets.n), bool)
                 for h, doc, need in part_hashes(sets, docs[sets.n[docs] >= rule.least_listed], rule):
-                    hit = known(h)
-                    enough = np.bincount(doc[hit], minlength=len(sets.n)) >= np.maximum(need, 1)
-                    hit &= enough[doc]
-                    hashes.append(h[hit])
-                    owner.append(doc[hit])
-                h, doc = np.concatenate(hashes), np.concatenate(owner)
-                order = np.argsort(doc, kind="stable")
-                h, doc = h[order], doc[order]
-                chosen, count = np.unique(doc, return_counts=True)
-                parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(h.view(np.int64)))
+                    passed |= np.bincount(doc[known(h)], minlength=len(sets.n)) >= np.maximum(need, 1)
+                    passed &= sets.n > 0
+                chosen = docs[passed[docs]]
                 tok = pa.array([sets.tok[sets.first[d] : sets.first[d + 1]].tobytes() for d in chosen], pa.binary())
-                yield pa.RecordBatch.from_arrays([binary(sets.cls[chosen]), pa.array(sets.n[chosen]), parts, tok], ["cls", "n", "parts", "tok"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.cls[chosen, 0].view(np.int64)), binary(sets.cls[chosen]), pa.array(sets.n[chosen]), tok], ["node", "cls", "n", "tok"])
+
+    return task
+
+
+def rarity_slot(tok: np.ndarray) -> np.ndarray:
+    return (mix(tok) >> U(64 - RARITY_BITS)).astype(np.int64)
+
+
+def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n) of the shingles of sets (tok)."""
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for tok in batch.column(0):
+            np.add.at(total, rarity_slot(np.frombuffer(tok.as_buffer(), U)), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+
+def rarities(sets: DataFrame):
+    """A broadcast array of 2**RARITY_BITS bytes: the size class of the number of sets that have a shingle of the slot."""
+    got = sets.select("tok").mapInArrow(slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, np.uint8)
+    out[got.column("slot").to_numpy()] = np.log2(got.column("n").to_numpy()) * 4 + 1
+    return sets.sparkSession.sparkContext.broadcast(out)
+
+
+def list_rows(rule: Rule, rarity):
+    """(key, node): a batch's sets on the lists of their rarest shingles, each list as its least node; key is null where node
+    points to another head of a list in the batch, which is then in `head`."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for node, tok in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tok = np.frombuffer(tok.as_buffer(), U)
+                n = len(tok) - -(-rule.num * len(tok) // rule.den) + 1
+                rare = rarity.value[rarity_slot(tok)].astype(U) << U(56) | tok >> U(8)
+                pick = np.argpartition(rare, n - 1)[:n] if n < len(tok) else slice(None)
+                keys.append(tok[pick])
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            head = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
+            edges = np.unique(np.stack((head, node), axis=1)[head != node], axis=0)
+            heads = int(new.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(key[new].view(np.int64)), pa.nulls(len(edges), pa.int64())]), pa.array(np.append(node[new], edges[:, 1])), pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(edges[:, 0])])], ["key", "node", "head"]
+            )
 
     return task
 
 
-def linked(n: np.ndarray, tok: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Edges that connect all linked sets among these: exact, though pairs already connected are passed over."""
+def linked(n: np.ndarray, tok: list[np.ndarray], rule: Rule, group: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect all linked sets among these: exact, though pairs already connected are passed over.
+
+    group: sets known to be connected; side: only sets of different sides are compared.
+    """
     order = np.argsort(n, kind="stable")
     size = n[order]
     maps = np.zeros((len(n), MAP_BITS // 64), U)
     for row, i in enumerate(order):
         bit = np.bincount((tok[i] & U(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
         maps[row] = np.packbits(bit.astype(np.uint8), bitorder="little").view(U)
-    group = np.arange(len(n))
+    group = np.arange(len(n)) if group is None else np.unique(group, return_inverse=True)[1][order]
+    side = None if side is None else side[order]
     out = []
     for row in range(len(n) - 1):
         to = int(np.searchsorted(size, size[row] * rule.den // rule.num, "right"))
-        others = row + 1 + np.flatnonzero(group[row + 1 : to] != group[row])
+        apart = group[row + 1 : to] != group[row]
+        if side is not None:
+            apart &= side[row + 1 : to] != side[row]
+        others = row + 1 + np.flatnonzero(apart)
         if not len(others):
             continue
         # the parity maps of two sets differ in no more bits than the sets differ in shingles
@@ -273,22 +328,48 @@ def linked(n: np.ndarray, tok: list[np.ndarray], rule: Rule) -> list[tuple[int,
 
 
 def verify(rule: Rule):
+    """Edges (a, b) of lots of whole components, or of a block with its component's pivot, or of two blocks with known groups."""
+
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         cls, n, edges = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), []
         tok = [np.frombuffer(x, U) for x in pdf["tok"]]
+        known, side = "known" in pdf, pdf["side"].to_numpy() if "side" in pdf else None
         for rows in pdf.groupby("component", sort=False).indices.values():
             if len(rows) > 1:
-                edges += [(cls[rows[i]], cls[rows[j]]) for i, j in linked(n[rows], [tok[r] for r in rows], rule)]
+                group = pdf["known"].iloc[rows].to_numpy() if known else None
+                edges += [(cls[rows[i]], cls[rows[j]]) for i, j in linked(n[rows], [tok[r] for r in rows], rule, group, side[rows] if side is not None else None)]
         return pd.DataFrame(edges, columns=["a", "b"])
 
     return task
 
 
+def large_components(sets: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) of components of more than BLOCK sets; sets (component, blocks, cls, n, tok) have each class once."""
+    sets = written(sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "large-sets")
+    chosen = sets.groupBy("component").agg(F.min("cls").alias("cls"))
+    pivots = sets.join(chosen, ["component", "cls"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    first = sets.unionByName(pivots.withColumn("block", F.col("other")).drop("other"))
+    edges = written(first.select("component", "block", "cls", "n", "tok").groupBy("component", "block").applyInPandas(verify(rule), "a binary, b binary"), "block-links")
+    # what most of a component is connected with needs no more comparing in itself
+    label = components(edges, "a", "b").withColumnRenamed("node", "cls").withColumnRenamed("component", "known")
+    sets = sets.join(label, "cls", "left").withColumn("known", F.coalesce("known", "cls"))
+    sizes = sets.groupBy("component", "known").count()
+    most = written(sizes.groupBy("component").agg(F.max_by("known", F.struct("count", "known")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("main_count")), "large-groups")
+    most = most.where("all > main_count").withColumn("minors", F.ceil((F.col("all") - F.col("main_count")) / BLOCK).cast("int"))
+    sets = written(sets.join(F.broadcast(most.select("component", "main", "minors")), "component"), "large-left")  # one row for BLOCK sets at least
+    minor = sets.where("known <> main").withColumn("part", F.pmod(F.xxhash64("cls", F.lit("minor")), F.col("minors")).cast("int"))
+    own = sets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).withColumn("side", F.lit(0))
+    met = minor.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    lots = own.unionByName(met).select("component", "block", "part", "side", "known", "cls", "n", "tok")
+    return edges.union(lots.groupBy("component", "block", "part").applyInPandas(verify(rule), "a binary, b binary"))
+
+
 def join_sets(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked when den * intersection >= num * union, and their components."""
     spark, rule = docs.sparkSession, Rule(num, den)
     small_batches(spark)
-    found = docs.select("doc_id", "text").mapInArrow(survey(k, rule), "doc_id long, n long, cls binary, key long, size int, bucket int, blob binary")
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").mapInArrow(survey(k, rule), f"doc_id {ids}, n long, cls binary, key long, size int, bucket int, blob binary")
     found = written(found, "join-survey")
     every = found.where("key is null and bucket is null").select("doc_id", "n", "cls")
 
@@ -299,29 +380,32 @@ def join_sets(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Dat
     edges = light.join(least, ["key", "size"]).where(near & (F.col("cls") != F.col("least.cls"))).select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
 
     blobs = found.where("bucket is not null").select("bucket", "blob").repartition("bucket")
-    twice = blobs.mapInArrow(repeated_in_blobs, "h long")
-    sets = docs.select("text").mapInArrow(candidates(k, rule, KeyFilter(twice, "h", FILTER_BITS)), "cls binary, n long, parts array<long>, tok binary")
-    sets = written(sets, "join-sets")
-    lists = sets.select("cls", F.explode("parts").alias("part"))
-    heads = lists.groupBy("part").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head <> tail").select("part", "head")
-    stars = lists.join(heads, "part").where("cls <> head").select("head", "cls").distinct()
-    member = written(components(stars, "head", "cls"), "join-lists")
+    known = KeyFilter(blobs.mapInArrow(repeated_in_blobs, "h long"), "h")
+    sets = written(docs.select("text").mapInArrow(candidates(k, rule, known), "node long, cls binary, n long, tok binary"), "join-sets")
+    known.release()
+    rarity = rarities(sets)
+    rows = written(sets.select("node", "tok").mapInArrow(list_rows(rule, rarity), "key long, node long, head long"), "join-lists")
+    released(rarity)
+    lists = rows.where("key is not null").select("key", "node").repartition("key")
+    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+    stars = lists.join(heads, "key").where("node <> head").select("head", "node").union(rows.where("key is null").select("head", "node")).distinct()
+    member = components(stars, "head", "node")
     sizes = member.groupBy("component").count()
+    member = written(skew_join(member, sizes, "component").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")), "join-members")
     total = member.count()
-    member = member.join(sizes, "component").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    compared = (
-        sets.select("cls", "n", "tok").dropDuplicates(["cls"]).join(member.withColumnRenamed("node", "cls"), "cls")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lot", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(total // 500 + 1))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))))
-    )
-    checked = compared.select("lot", "component", "cls", "n", "tok").groupBy("lot").applyInPandas(verify(rule), "a binary, b binary")
-
-    label = components(edges.union(written(checked, "join-links")), "a", "b").withColumnRenamed("node", "cls")
-    labelled = every.join(label, "cls", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "cls")))
+    compared = written(sets.join(member.select("node", "component", "blocks"), "node").dropDuplicates(["node", "cls"]), "join-compared")
+    small = compared.where("blocks = 1").withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(total // 500 + 1)))
+    checked = small.select("lot", "component", "cls", "n", "tok").groupBy("lot").applyInPandas(verify(rule), "a binary, b binary")
+    edges = edges.union(checked)
+    large = compared.where("blocks > 1").drop("node")
+    if large.take(1):
+        edges = edges.union(large_components(large, rule))
+
+    label = components(edges, "a", "b").withColumnRenamed("node", "cls")
+    labelled = skew_join(every, label, "cls", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "cls")))
+    labelled = written(labelled, "join-labelled")
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return skew_join(labelled, least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ UNIT = 16
 LOT_VALUES = 1 << 24
 CERTAIN_CHARS = 20
 CALIBRATE, FALSE_RATE, MARGIN, ENOUGH, FEW = 10, 0.001, 0.5, 200, 1.5
-FOLDED_BYTES = 2 << 20
+FOLDED_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=1)

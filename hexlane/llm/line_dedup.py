@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import row_id, table, written
 
 DEPTH, SUPPORT, LOOSE = 3, 4, 0.4
 BROADCAST_LEAVES = 500_000
@@ -26,8 +26,8 @@ VARIABLE = r"[^ \t\n\x0B\f\r0-9]*[0-9][^ \t\n\x0B\f\r]*"
 
 def drop_templates(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept: texts without the lines of recurring templates."""
-    docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
-    lines = docs.where("text is not null").select("rk", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    docs = docs.select("doc_id", "text", row_id("doc_id", "text").alias("rk"))
+    lines = docs.where("text is not null").select("rk", row_id("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     # most lines have no digit and single spaces, and are not rewritten
     raw = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
     raw = F.when(F.col("raw").rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(raw, GAP, " ")).otherwise(raw)

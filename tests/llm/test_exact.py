@@ -67,8 +67,10 @@ def test_substring_index_is_incremental(spark):
     assert index.append(make(spark, [(3, "quite another text")])).count() == 0
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100)])
-def test_jaccard(spark, odd_texts, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(4, 85, 100, 2000), (5, 80, 100, 2000), (4, 85, 100, 5)])
+def test_jaccard(spark, odd_texts, k, num, den, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # 5: the copies of the base text are a large component
+    odd_texts = odd_texts[:-2] + [(None, odd_texts[6][1] + " more")] + odd_texts[-2:] if block == 5 else odd_texts
     docs = [(i, t) for n, (i, t) in enumerate(odd_texts) if n < len(odd_texts) - 1]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_sets(make(spark, docs), k, num, den).collect()}
     sets = {}
@@ -82,14 +84,14 @@ def test_jaccard(spark, odd_texts, k, num, den):
             x = parent[x]
         return x
 
-    ids = [i for i in sets if i is not None and sets[i]]
+    ids = [i for i in sets if sets[i]]
     for n, a in enumerate(ids):
         for b in ids[:n]:
             both = len(sets[a] & sets[b])
             if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert got == {i: (len(s), None if i is None else find(i)) for i, s in sets.items()}
+                x, y = sorted((find(a), find(b)), key=lambda i: (i is None, i or 0))
+                parent[y] = x
+    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
 def test_components(spark):
