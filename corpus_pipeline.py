@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexlane.llm import decontaminate, jaccard_join, language_id, mixing, sharding
-from hexlane.llm.common import fresh_path, row_key, table, written
+from hexlane.llm.common import fresh_path, row_id, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_KEYS = 500_000
@@ -14,29 +14,32 @@ BROADCAST_KEYS = 500_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models don't reject; trained on all that have a lang."""
-    keyed = docs.withColumn("rk", row_key("doc_id", "text"))
+    keyed = docs.withColumn("rk", row_id("doc_id", "text"))
     gone = written(language_id.identify(keyed, docs, ["rk"]).where("rejected").select("rk").distinct(), "rejected")
     return keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "rk", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingle sets similar by 0.8: that of the least doc_id, nulls last."""
-    # rows, not ids, are compared: an id may be null, repeated, or shared by different texts
-    keyed = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_join.join_sets(keyed.select(F.col("row").alias("doc_id"), "text"), k=5, num=80, den=100)
-    groups = written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "row-groups")
-    grouped = groups.join(groups.where("component <> row").select("component").distinct(), "component", "left_semi")
-    member = grouped.join(keyed.select("row", "doc_id"), "row").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    best = member.groupBy("component").agg(F.min("rank").alias("best"))
-    gone = written(member.join(best, "component").where("row <> best.row").select("row"), "near-duplicates")
-    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "row", "left_anti")
-    return kept.select(*COLUMNS)
+    # rows are compared by content, for an id may be null, repeated, or shared by different texts
+    keyed = docs.select(*COLUMNS, row_id("doc_id", "text").alias("rk"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rk")
+    groups = written(jaccard_join.join_sets(keyed.select(place.alias("doc_id"), "text"), k=5, num=80, den=100), "row-groups")
+    gone = written(groups.where("doc_id <> component_id").select("doc_id.rk").distinct(), "near-duplicates")
+    equal = written(groups.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id.rk").count().where("count > 1").select("rk"), "equal-rows")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "rk", "left_anti")
+    if not equal.take(1):
+        return kept.select(*COLUMNS)
+    # rows of one id and text differ in other columns at most: the least stays
+    equal = F.broadcast(equal) if equal.count() <= BROADCAST_KEYS else equal
+    one = kept.join(equal, "rk", "left_semi").groupBy("rk").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select("row.*")
+    return kept.join(equal, "rk", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     gone = written(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("rk").distinct(), "leaks")
-    kept = docs.withColumn("rk", row_key("doc_id", "text"))
+    kept = docs.withColumn("rk", row_id("doc_id", "text"))
     return kept.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "rk", "left_anti").select(*COLUMNS)
 
 
