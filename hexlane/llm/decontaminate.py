@@ -1,14 +1,19 @@
 """Benchmark passages in documents, also paraphrased: latent semantic retrieval, then word-by-word checks.
 
-Words are lower-cased runs without ASCII punctuation. TF-IDF features are word hashes in 2**FEATURE_BITS slots, with document
-frequencies over all documents; a feature's squared weight is 1 + ln((documents + 1) / (frequency + 1)), so that no term is
-left out, however frequent. The latent space is the span of the benchmark's pieces, whole, and up to RANK dimensions a
-randomised SVD of the passages (one distributed sketch A'A*Omega over all terms but the DENSE most frequent ones). Passages are
-windows of two HALF-word blocks, with each term once. A window is a candidate for a piece if it holds as much of the piece's
-weight as any run of the piece's length with PARAPHRASE of its words must have in its best window (need()): neither frequent
-words nor the words around an item lower that. A candidate is a leak if the longest common subsequence of
-the piece and the words around the passage has LCS of the piece's words, or PARAPHRASE of them and LCS of its last quarter,
-which holds the answer. The cosine given is that of the whole passage; nothing is decided by it. Long items are cut into pieces; pieces are taken PIECES at a time, so what is broadcast is bounded.
+Words are lower-cased runs without ASCII punctuation; terms are word hashes in 2**FEATURE_BITS slots. A term's squared weight
+is 1 + ln((documents + 1) / (frequency + 1)) over all documents, so that no term is left out, however frequent. Items are cut
+into pieces of at most PIECE_WORDS words, and taken PIECES pieces at a time: one pass over the corpus finds the passages
+(windows of two HALF-word blocks, each benchmark term once) that hold POOL of a piece's weight, or as many of its words and as
+much of its weight as any run of the piece's length with PARAPHRASE of its words must have in its best window (needs(); such
+a passage is `sure`). A piece's rarest terms lead to it: those without which neither can be.
+
+Those passages, LOT pieces' at a time, are a TF-IDF matrix, and its randomised singular value decomposition (one distributed
+sketch and POWER more passes) spans the latent space of RANK dimensions. A passage is a candidate by its product with the
+piece there, as a share of the piece's own; words around an item do not lower it. Passages that are sure but that the space
+has no room for (they fail there) get a space of their own, with fewer of them each time, so none is lost to truncation.
+A candidate is a leak if the longest common subsequence of the piece and the words around the passage has LCS of the piece's
+words; or PARAPHRASE of them and LCS of its last quarter, which holds the answer; or only LOOSE of them and all of the answer,
+where the cosine in the latent space is NEAR: what replaced the other words then stands for them in other passages as well.
 
 Nulls and edges: null and empty texts have no passage; items without words and null items leak nowhere; null ids are kept;
 equal rows leak alike; empty tables give an empty result. Only doc_id, text, item_id and the item's text are read.
@@ -25,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_id, small_batches, table, written
+from .common import released, row_id, small_batches, table, written
 from .words import Words, slices
 
-FEATURE_BITS, RANK, SPARE, HALF, PIECES, PIECE_WORDS = 18, 224, 8, 24, 200, 64
-LCS, PARAPHRASE, DENSE = 0.8, 0.6, 256
-CHUNK = 2048  # windows projected at once
+FEATURE_BITS, HALF, PIECES, PIECE_WORDS = 18, 32, 50_000, 48
+RANK, SPARE, POWER, LOT, SKETCH_ROWS = 160, 8, 1, 100, 50_000
+LCS, PARAPHRASE, LOOSE, POOL, SHARE, NEAR, PRESENT = 0.8, 0.6, 0.45, 0.35, 0.5, 0.8, 0.1
 PLAIN = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     if not chr(_c).isalnum():
@@ -60,13 +65,13 @@ def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def weights(docs: DataFrame) -> np.ndarray:
-    """Weight of each slot, the root of its smoothed IDF: at most 2**FEATURE_BITS rows reach the driver."""
+    """Squared weight of each slot, its smoothed IDF: at most 2**FEATURE_BITS rows reach the driver."""
     got = docs.select("text").mapInArrow(document_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     at, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
     total = n[at < 0].sum()
     df = np.zeros(1 << FEATURE_BITS)
     df[at[at >= 0]] = n[at >= 0]
-    return np.sqrt(1 + np.log((total + 1) / (df + 1))).astype(np.float32)
+    return 1 + np.log((total + 1) / (df + 1))
 
 
 def pieces(items: list[tuple]) -> list[SimpleNamespace]:
@@ -94,21 +99,102 @@ def piece_blocks(items: Iterator[tuple]) -> Iterator[list[SimpleNamespace]]:
         yield block
 
 
-def need(idf: np.ndarray, piece: np.ndarray) -> float:
-    """Least weight of the piece in the best window of a run of the piece's length that has PARAPHRASE of its words."""
+def needs(squared: np.ndarray, piece: np.ndarray) -> tuple[float, int]:
+    """Least weight and number of the piece's terms in the best window of a run of its length with PARAPHRASE of its words."""
     n = len(piece)
     inside = min(max(min(at + n, w + 2 * HALF) - max(at, w) for w in range(0, n + HALF, HALF)) for at in range(HALF))
     words = max(1, int(np.ceil(PARAPHRASE * n - 1e-9)) - (n - inside))
-    return float(np.sort(idf[slot(piece)].astype(np.float64) ** 2)[:words].sum())
+    return float(np.sort(squared[slot(piece)])[:words].sum()) * (1 - 1e-6), max(1, words - (n - len(np.unique(slot(piece)))))
+
+
+class Postings:
+    """The terms of a block of pieces, and the pieces that each term leads to."""
+
+    def __init__(self, squared: np.ndarray, block: list[SimpleNamespace]):
+        self.items, self.words = [p.item for p in block], [p.words for p in block]
+        terms = [np.unique(slot(p.words)) for p in block]
+        self.terms, self.first = np.concatenate(terms), np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+        self.weight = squared[self.terms]
+        self.total = np.add.reduceat(self.weight, self.first[:-1])
+        least = [needs(squared, p.words) for p in block]
+        self.need, self.need_words = np.array([x[0] for x in least]), np.array([x[1] for x in least])
+        leads, to = [], []
+        for i, t in enumerate(terms):
+            t = t[np.argsort(squared[t], kind="stable")]
+            # without any of these no passage has what it takes
+            leads.append(t[np.cumsum(squared[t]) >= min(self.need[i], POOL * self.total[i]) * (1 - 1e-6)])
+            to.append(np.full(len(leads[-1]), i))
+        lead, to = np.concatenate(leads), np.concatenate(to)
+        order = np.argsort(lead, kind="stable")
+        self.to = to[order]
+        self.start = np.searchsorted(lead[order], np.arange((1 << FEATURE_BITS) + 1))
+        self.known = np.zeros(1 << FEATURE_BITS, bool)
+        self.known[self.terms] = True
+
+    def passages(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """half-block starts of passages that hold enough of a piece: (document, first half-block, piece, sure), and sorted keys
+        (half-block, term) of all benchmark terms in the texts and the half-blocks' documents."""
+        blocks = -(-words.count // HALF)
+        first = np.concatenate(([0], np.cumsum(blocks)))
+        half = first[words.doc] + (np.arange(len(words)) - words.first[words.doc]) // HALF
+        owner = np.repeat(np.arange(words.n_docs), blocks)
+        at = slot(words.hash)
+        use = self.known[at]
+        keys = np.unique(half[use] << FEATURE_BITS | at[use])
+        h, t = keys >> FEATURE_BITS, keys & ((1 << FEATURE_BITS) - 1)
+        n = self.start[t + 1] - self.start[t]
+        hit = np.repeat(h, n)
+        piece = self.to[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[t], n)]
+        joined = np.append(owner[1:] == owner[:-1], False)
+        before = np.flatnonzero((hit > 0) & joined[np.maximum(hit - 1, 0)])
+        pairs = np.unique(np.concatenate((hit * len(self.items) + piece, (hit[before] - 1) * len(self.items) + piece[before])))
+        window, piece = pairs // len(self.items), pairs % len(self.items)
+        if not len(pairs):
+            return owner[:0], window, piece, np.zeros(0, bool), keys, owner
+        n = self.first[piece + 1] - self.first[piece]
+        start = np.cumsum(n) - n
+        at = np.repeat(self.first[piece], n) + np.arange(n.sum()) - np.repeat(start, n)
+        place = np.repeat(window, n)
+
+        def holds(half: np.ndarray) -> np.ndarray:
+            wanted = half << FEATURE_BITS | self.terms[at]
+            return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+        held = holds(place) | (joined[place] & holds(place + 1))
+        weight, count = np.add.reduceat(held * self.weight[at], start), np.add.reduceat(held, start, dtype=np.int64)
+        sure = (weight >= self.need[piece]) & (count >= self.need_words[piece])
+        some = sure | (weight >= POOL * self.total[piece])
+        return owner[window[some]], window[some], piece[some], sure[some], keys, owner
+
+
+def sift(share):
+    """(rk, doc_id, piece, sure, terms, region): passages that hold enough of a piece, and the words around them."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Postings = share.value
+        for batch in batches:
+            rows, terms, regions, found, certain = [], [], [], [], []
+            for first, _, data, offsets in slices(batch.column(2)):
+                words = plain_words(data, offsets)
+                if not len(words):
+                    continue
+                doc, window, piece, sure, keys, owner = m.passages(words)
+                heads = np.searchsorted(owner, np.arange(words.n_docs))
+                for d, w, p in zip(doc.tolist(), window.tolist(), piece.tolist(), strict=True):
+                    both = 1 + (w + 1 < len(owner) and owner[w + 1] == d)
+                    own = keys[np.searchsorted(keys, w << FEATURE_BITS) : np.searchsorted(keys, (w + both) << FEATURE_BITS)]
+                    terms.append(np.unique(own & ((1 << FEATURE_BITS) - 1)).astype(np.int32).tobytes())
+                    start, n = words.first[d] + (w - heads[d]) * HALF, len(m.words[p])
+                    regions.append(words.hash[max(words.first[d], start - n) : min(words.first[d + 1], start + 2 * HALF + n)].tobytes())
+                rows.append(doc + first)
+                found.append(piece)
+                certain.append(sure)
+            if terms:
+                at = pa.array(np.concatenate(rows))
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found).astype(np.int32)), pa.array(np.concatenate(certain)), pa.array(terms, pa.binary()), pa.array(regions, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["rk", "doc_id", "piece", "sure", "terms", "region"])
 
-def block_norms(idf: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Half-window of each word, slot of each word, squared norm and document of each half-window."""
-    blocks = -(-words.count // HALF)
-    first = np.concatenate(([0], np.cumsum(blocks)))
-    half = first[words.doc] + (np.arange(len(words)) - words.first[words.doc]) // HALF
-    at = slot(words.hash)
-    return half, at, np.bincount(half, weights=idf[at].astype(np.float64) ** 2, minlength=first[-1]), np.repeat(np.arange(words.n_docs), blocks)
+    return task
 
 
 def group_sum(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,24 +203,37 @@ def group_sum(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(rows, at, axis=0) if len(at) else rows[:0]
 
 
+class Space:
+    """The terms of a lot of pieces with their weights, and a matrix with a row a term."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, rows: np.ndarray):
+        self.terms, self.weight, self.rows = terms, weight, rows.astype(np.float32)
+
+    def products(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, term and weight of each entry of the passages with these terms, and a row a passage: its product with the matrix."""
+        at = [np.frombuffer(t, np.int32) for t in terms]
+        owner, at = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate([*at, np.zeros(0, np.int32)])
+        place = np.minimum(np.searchsorted(self.terms, at), len(self.terms) - 1)
+        use = self.terms[place] == at
+        owner, place = owner[use], place[use]
+        w = self.weight[place].astype(np.float32)
+        keys, sums = group_sum(self.rows[place] * w[:, None], owner)
+        out = np.zeros((len(terms), self.rows.shape[1]), np.float32)
+        out[keys] = sums
+        return owner, place, w, out
+
+
 def sketch(share):
-    """Rows of A'A*Omega, summed over a task: (term, values)."""
+    """Rows of A'A times the space's matrix, summed over a task: (term, row)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = share.value
-        total = np.zeros(m.omega.shape, np.float32)
+        m: Space = share.value
+        total = np.zeros(m.rows.shape, np.float32)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                words = plain_words(data, offsets)
-                half, at, norm, _ = block_norms(m.idf, words)
-                use = np.flatnonzero(m.column[at] >= DENSE)
-                half, column = half[use], m.column[at[use]]
-                w = (m.idf[at[use]] / np.sqrt(np.maximum(norm[half], 1e-9))).astype(np.float32)
-                keys, y = group_sum(m.omega[column] * w[:, None], half)
-                back = np.searchsorted(keys, half)
-                order = np.argsort(column, kind="stable")
-                terms, values = group_sum((y[back] * w[:, None])[order], column[order])
-                total[terms] += values
+            owner, place, w, product = m.products(batch.column(0).to_pylist())
+            order = np.argsort(place, kind="stable")
+            terms, values = group_sum((product[owner] * w[:, None])[order], place[order])
+            total[terms] += values
         some = np.flatnonzero(np.any(total, axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[i].tobytes() for i in some], pa.binary())], ["term", "row"])
 
@@ -162,101 +261,114 @@ def common_subsequence(piece: np.ndarray, region: np.ndarray) -> int:
     return len(piece) - row.bit_count()
 
 
-def candidates(m: SimpleNamespace, half: np.ndarray, column: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(window, piece, product) of windows with what the piece needs; half and column are of the benchmark's words, in order."""
-    terms, dense = len(m.basis), min(DENSE, len(m.basis))
-    for low in range(0, len(joined), CHUNK):
-        high = min(low + CHUNK, len(joined))
-        some = slice(np.searchsorted(half, low), np.searchsorted(half, high + 1))
-        h, c, on = half[some] - low, column[some].astype(np.int64), joined[low:high]
-        often = c < dense
-        blocks = np.zeros((high - low + 1, dense), np.float32)
-        blocks[h[often], c[often]] = 1
-        latent = np.maximum(blocks[:-1], blocks[1:] * on[:, None]) @ m.basis[:dense]
-        h, c = h[~often], c[~often]
-        own, next_ = h < high - low, (h > 0) & on[h - 1]
-        keys = np.unique(np.concatenate((h[own] * terms + c[own], (h[next_] - 1) * terms + c[next_])))
-        at, sums = group_sum(m.basis[keys % terms], keys // terms)
-        latent[at] += sums
-        dot = latent @ m.pieces.T
-        for w, p in zip(*np.nonzero(dot >= m.need), strict=True):
-            yield low + w, p, dot[w, p]
-
-
-def retrieve(share):
-    """(rk, doc_id, item_id, cosine, lcs) of leaks."""
+def judge(share):
+    """(rk, doc_id, piece, sure, terms, region, item_id, cosine, lcs) of leaks; of sure passages that are no candidates, without
+    an item_id."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = share.value
         for batch in batches:
-            out = []
-            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, _, data, offsets in slices(batch.column(2)):
-                words = plain_words(data, offsets)
-                if not len(words):
+            keep, items, cosines, parts = [], [], [], []
+            if batch.num_rows:
+                _, _, _, latent = m.space.products(batch.column(4).to_pylist())
+                piece, sure = batch.column(2).to_numpy() - m.low, batch.column(3).to_numpy(zero_copy_only=False)
+                dot, norm = np.einsum("ij,ij->i", latent, m.latent[piece]), np.einsum("ij,ij->i", m.latent, m.latent)
+                there = norm[piece] >= PRESENT * m.total[piece]
+                candidate = there & (dot >= m.least[piece] * norm[piece])
+                cosine = dot / np.sqrt(np.maximum(norm[piece] * np.einsum("ij,ij->i", latent, latent), 1e-9))
+            for i in range(batch.num_rows):
+                if not candidate[i]:
+                    if sure[i]:
+                        keep.append(i)
+                        items.append(None)
+                        cosines.append(None)
+                        parts.append(None)
                     continue
-                half, at, norm, owner = block_norms(m.idf, words)
-                use = np.flatnonzero(m.column[at] >= 0)
-                joined = np.append(owner[1:] == owner[:-1], False)
-                pair = lambda x: x + np.where(joined, np.append(x[1:], 0), 0)
-                size = np.sqrt(np.maximum(pair(norm), 1e-9))
-                half_used, column = half[use], m.column[at[use]]
-                for block, p, dot in candidates(m, half_used, column, joined):
-                    piece = m.words[p]
-                    doc = owner[block]
-                    start = words.first[doc] + (block - np.searchsorted(owner, doc)) * HALF
-                    region = words.hash[max(words.first[doc], start - len(piece)) : min(words.first[doc + 1], start + 2 * HALF + len(piece))]
-                    lcs = common_subsequence(piece, region) / len(piece)
-                    if lcs < PARAPHRASE:
-                        continue
-                    answer = piece[-max(3, len(piece) // 4) :]
-                    if lcs >= LCS or common_subsequence(answer, region) >= LCS * len(answer):
-                        out.append((keys[first + doc], ids[first + doc], m.items[p], float(dot / (size[block] * m.norms[p])), lcs))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["rk", "doc_id", "item_id", "cosine", "lcs"])
+                words, region = m.words[piece[i]], np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
+                lcs = common_subsequence(words, region) / len(words)
+                if lcs < (LOOSE if cosine[i] >= NEAR else PARAPHRASE):
+                    continue
+                answer = words[-max(3, len(words) // 4) :]
+                if lcs >= LCS or common_subsequence(answer, region) >= (LCS if lcs >= PARAPHRASE else 1) * len(answer):
+                    keep.append(i)
+                    items.append(m.items[piece[i]])
+                    cosines.append(float(cosine[i]))
+                    parts.append(lcs)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(items, pa.int64()), pa.array(cosines, pa.float64()), pa.array(parts, pa.float64())], [*batch.schema.names, "item_id", "cosine", "lcs"])
 
     return task
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """rk (row key of doc_id and text), doc_id, item_id, cosine, lcs: one row a document and leaked item."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text", row_id("doc_id", "text").alias("rk"))
-    idf = weights(docs)
-    found = None
-    rows = benchmark.where("text is not null").select("item_id", "text").toLocalIterator()
-    rng = np.random.default_rng(5)
-    for part in piece_blocks((r["item_id"], r["text"]) for r in rows):
-        column = np.full(1 << FEATURE_BITS, -1, np.int32)
-        terms = np.unique(slot(np.concatenate([p.words for p in part])))
-        terms = terms[np.argsort(idf[terms], kind="stable")]  # the most frequent first
-        column[terms] = np.arange(len(terms))
-        rank = min(RANK, len(terms))
-        own = np.zeros((len(part), len(terms)), np.float32)
-        for i, p in enumerate(part):
-            at = slot(p.words)
-            np.add.at(own[i], column[at], idf[at])
-        omega = rng.normal(size=(len(terms), rank + SPARE)).astype(np.float32)
-        share = spark.sparkContext.broadcast(SimpleNamespace(idf=idf, column=column, omega=omega))
-        got = docs.select("text").mapInArrow(sketch(share), "term int, row binary")
+PASSAGE = "rk binary, doc_id long, piece int, sure boolean, terms binary, region binary"
+
+
+def latent_space(passages: DataFrame, space: Space, count: int) -> Space:
+    """The leading singular directions of the passages, from a random matrix in `space`."""
+    spark = passages.sparkSession
+    if passages.rdd.getNumPartitions() > count // SKETCH_ROWS + 1:
+        passages = passages.coalesce(count // SKETCH_ROWS + 1)
+    for last in (*[False] * POWER, True):
+        share = spark.sparkContext.broadcast(space)
+        got = passages.select("terms").mapInArrow(sketch(share), "term int, row binary")
         got = got.withColumn("lot", F.pmod("term", F.lit(64))).groupBy("lot").applyInPandas(add_rows, "term int, row binary").toArrow()
-        total = np.zeros(omega.shape, np.float64)
+        released(share)
+        total = np.zeros(space.rows.shape, np.float64)
         for term, row in zip(got.column("term").to_pylist(), got.column("row").to_pylist(), strict=True):
             total[term] = np.frombuffer(row, np.float32)
-        total /= max(1.0, float(np.linalg.norm(total)))
-        # the whole span of the pieces first, so that no product with a piece loses anything; then the sketch's directions
-        span, size, _ = np.linalg.svd(own.T.astype(np.float64), full_matrices=False)
-        span = span[:, size > 1e-6 * size[0]]
-        if span.shape[1] > rank:
-            raise RuntimeError(f"{len(part)} pieces span more than {rank} dimensions")
-        left, _, _ = np.linalg.svd(total - span @ (span.T @ total), full_matrices=False)
-        basis = np.hstack((span, left[:, : rank - span.shape[1]])).astype(np.float32)
+        if not last:
+            space = Space(space.terms, space.weight, np.linalg.qr(total)[0])
+    left, size, _ = np.linalg.svd(total, full_matrices=False)
+    return Space(space.terms, space.weight, left[:, : max(1, int((size > 1e-6 * max(size[0], 1e-30)).sum()))][:, :RANK])
+
+
+def lot_leaks(passages: DataFrame, index: Postings, low: int, high: int, squared: np.ndarray) -> list[DataFrame]:
+    """Leaks among passages of the pieces from low to high - 1."""
+    spark, found, rng = passages.sparkSession, [], np.random.default_rng(5)
+    terms = np.unique(index.terms[index.first[low] : index.first[high]])
+    weight = np.sqrt(squared[terms])
+    queue = [(passages, passages.count())]
+    while queue:
+        rows, count = queue.pop()
+        if not count:
+            continue
+        start = Space(terms, weight, rng.normal(size=(len(terms), min(RANK, len(terms)) + SPARE)))
+        space = latent_space(rows, start, count)
+        latent = space.products([index.terms[index.first[p] : index.first[p + 1]].astype(np.int32).tobytes() for p in range(low, high)])[3]
+        total = index.total[low:high]
         share = spark.sparkContext.broadcast(SimpleNamespace(
-            idf=idf, column=column, basis=basis * idf[terms][:, None], pieces=own @ basis, norms=np.linalg.norm(own, axis=1), need=np.array([need(idf, p.words) for p in part]) * (1 - 1e-3),
-            words=[p.words for p in part], items=[p.item for p in part],
+            space=space, latent=latent, total=total, low=low, words=index.words[low:high], items=index.items[low:high], least=np.minimum(SHARE, 0.9 * index.need[low:high] / total)
         ))
-        hits = docs.select("rk", "doc_id", "text").mapInArrow(retrieve(share), "rk binary, doc_id long, item_id long, cosine double, lcs double")
-        found = hits if found is None else found.union(hits)
+        judged = written(rows.mapInArrow(judge(share), f"{PASSAGE}, item_id long, cosine double, lcs double"), "judged-passages")
+        released(share)
+        found.append(judged.where("item_id is not null").select("rk", "doc_id", "item_id", "cosine", "lcs"))
+        left = judged.where("item_id is null").select(rows.columns)
+        n = left.count()
+        if 2 * n <= count:
+            queue.append((left, n))
+        else:
+            parts = [left.where(F.pmod(F.xxhash64("rk", "piece", "terms", F.lit(count)), F.lit(2)) == i) for i in range(2)]
+            queue += [(p, p.count()) for p in parts]
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """rk (row id of doc_id and text), doc_id, item_id, cosine, lcs: one row a document and leaked item."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select("doc_id", "text", row_id("doc_id", "text").alias("rk"))
+    squared, found = None, None
+    rows = benchmark.where("text is not null").select("item_id", "text").toLocalIterator()
+    for block in piece_blocks((r["item_id"], r["text"]) for r in rows):
+        squared = weights(docs) if squared is None else squared
+        index = Postings(squared, block)
+        share = spark.sparkContext.broadcast(index)
+        passages = written(docs.select("rk", "doc_id", "text").mapInArrow(sift(share), PASSAGE), "sifted-passages")
+        released(share)
+        for low in range(0, len(block), LOT):
+            high = min(low + LOT, len(block))
+            for part in lot_leaks(passages.where(F.col("piece").between(low, high - 1)), index, low, high, squared):
+                found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "rk binary, doc_id long, item_id long, cosine double, lcs double")
     return found.groupBy("rk", "doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))

@@ -269,8 +269,8 @@ def test_leaks_of_frequent_and_surrounded_items(spark):
 
 def test_leaks_of_long_items(spark, monkeypatch):
     rng = random.Random(12)
-    monkeypatch.setattr(decontaminate, "PIECES", 20)
-    monkeypatch.setattr(decontaminate, "RANK", 22)
+    monkeypatch.setattr(decontaminate, "PIECES", 30)
+    monkeypatch.setattr(decontaminate, "LOT", 8)
     sizes, blocks = [], decontaminate.piece_blocks
 
     def counted(items):
@@ -280,9 +280,70 @@ def test_leaks_of_long_items(spark, monkeypatch):
 
     monkeypatch.setattr(decontaminate, "piece_blocks", counted)
     items = [(i, " ".join(f"q{rng.randrange(3000)}" for _ in range(300))) for i in range(12)]
-    docs = [(i, " ".join([f"q{rng.randrange(3000)}" for _ in range(100)] + text.split()[60 * (i % 5) : 60 * (i % 5) + 60])) for i, text in items] + [(99, " ".join(f"q{rng.randrange(3000)}" for _ in range(200)))]
+    docs = [(i, " ".join([f"q{rng.randrange(3000)}" for _ in range(100)] + text.split()[60 * (i % 5) : 60 * (i % 5) + 90])) for i, text in items] + [(99, " ".join(f"q{rng.randrange(3000)}" for _ in range(200)))]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(i, i) for i, _ in items} and sizes == [20, 20, 20]
+    assert got == {(i, i) for i, _ in items} and sizes == [30, 30, 24]
+
+
+def test_leaks_beyond_the_rank(spark, monkeypatch):
+    """More leaked pieces than the space has directions: what it has no room for gets a space of its own."""
+    monkeypatch.setattr(decontaminate, "RANK", 3)
+    monkeypatch.setattr(decontaminate, "SPARE", 1)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(25)]
+    docs = [(100 * i + k, f"a b c {text} d e") for i, text in items for k in range(1 + i % 3)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, d // 100) for d, _ in docs}
+
+
+def test_leaks_equal_brute_force(spark):
+    """Documents that lie within one region: the rule itself, word by word, decides all pairs."""
+    rng = random.Random(14)
+    vocab = [f"v{i}" for i in range(800)]
+    items = [(i, rng.choices(vocab, k=rng.randrange(12, 40))) for i in range(15)]
+    docs = []
+    for i in range(120):
+        words = rng.choices(vocab, k=10)
+        run = list(rng.choice(items)[1])
+        for at in rng.sample(range(len(run)), int(len(run) * rng.choice((0, 0.1, 0.3, 0.38, 0.5, 0.6)))):
+            run[at] = rng.choice(vocab)
+        docs.append((i, (words[:5] + run + words[5:])[:60]))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+        return row[-1]
+
+    want = set()
+    for d, w in docs:
+        for i, p in items:
+            end = p[-max(3, len(p) // 4) :]
+            if lcs(p, w) >= 0.8 * len(p) or lcs(p, w) >= 0.6 * len(p) and lcs(end, w) >= 0.8 * len(end):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(make(spark, [(d, " ".join(w)) for d, w in docs]), spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")).collect()}
+    assert want <= set(got) and len(want) > 50
+    assert all(r.lcs >= decontaminate.LOOSE and r.cosine >= decontaminate.NEAR for key, r in got.items() if key not in want)
+
+
+def test_the_latent_space_decides_on_paraphrases(spark, monkeypatch):
+    """Passages that share few words with an item, and with each other other ones: found by their cosine in the space."""
+    rng = random.Random(15)
+    items, docs = [(i, [f"i{i}w{j}" for j in range(24)]) for i in range(6)], []
+    filler = [f"f{j}" for j in range(3000)]
+    for i, words in items:
+        for k in range(6):  # half of the words before the answer replaced, in each document others
+            gone = set(rng.sample(range(18), 11))
+            docs.append((100 * i + k, rng.choices(filler, k=40) + [f"s{i}w{j}" if j in gone else w for j, w in enumerate(words)] + rng.choices(filler, k=40)))
+    docs += [(900 + k, rng.choices(filler, k=120)) for k in range(40)]
+    table = make(spark, [(d, " ".join(w)) for d, w in docs])
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, benchmark).collect()}
+    want = {(d, d // 100) for d, _ in docs if d < 900}
+    monkeypatch.setattr(decontaminate, "NEAR", 2.0)  # no cosine reaches it
+    without = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, benchmark).collect()}
+    assert not without & want and len(found & want) >= 0.9 * len(want) and found <= want
 
 
 def test_html_of_split_articles(spark):
