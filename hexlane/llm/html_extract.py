@@ -24,8 +24,11 @@ from .common import small_batches, table, written
 
 BROADCAST_HOSTS = 200_000
 FAIR = 0.2
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# a quote opens a quoted value only right after "="; elsewhere, as in an unquoted value, it is an ordinary character
+ATTRIBUTES = r"(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
+WHOLE = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"  # fixed values: elements left out with all in them
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({WHOLE})\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?][^>]*>", re.S | re.I)
+NAMES = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # fixed values: elements by kind
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())

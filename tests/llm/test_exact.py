@@ -163,6 +163,23 @@ def test_html(spark):
     assert got[3] == got[4] == "" and got[5] == "plain text <only"
 
 
+def test_html_attributes_and_odd_pages(spark):
+    say = lambda n: f"<p>Part {n} of it is here, with enough words, and commas, to count as a paragraph of text.</p>"
+    plain = lambda n: say(n)[3:-4]
+    html = {
+        1: "<p title=it's>Hello don't stop</p><p>Second para</p>",
+        2: """<div data-x="a > b" class='text' title=5">""" + say(1) + """</div>""",
+        3: f'<body><section class="part">{say(1)}</section><section class="part">{say(2)}</section></body>',
+        4: "<article>" + "".join(say(n) for n in range(3000)) + "</article>",
+        5: "<p>a &lt; b &zzz; &amp;amp; x &#",
+        6: "<div class=text>" + say(1) + "<script src=a>if (a > 'b') {</script>" + say(2) + "<!-- c > d --></div>",
+    }
+    rows = [(i, "http://h.example/p", h, "x", 0, "y") for i, h in html.items()] + [(3, "http://h.example/p", html[3], "x", 0, "y"), (None, None, html[6], "x", 0, "y")]
+    got = [(r.page_id, r.text) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, path string, score int, host string")).collect()]
+    want = {1: "Hello don't stop Second para", 2: plain(1), 3: f"{plain(1)} {plain(2)}", 4: " ".join(plain(n) for n in range(3000)), 5: "a < b &zzz; &amp; x &#", 6: f"{plain(1)} {plain(2)}", None: f"{plain(1)} {plain(2)}"}
+    assert sorted(got, key=str) == sorted([*want.items(), (3, want[3])], key=str)
+
+
 def test_html_on_pages(spark, sf):
     from html import unescape
 
