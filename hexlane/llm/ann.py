@@ -29,10 +29,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float32) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(dtype)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
 def fit(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
@@ -65,13 +65,13 @@ def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
 
 
 def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Best k of the rows for each query, by partial products with early abandonment."""
+    """Best k of the rows for each query, by partial products with early abandonment; queries and rows are in double precision."""
     dim = rows.shape[1]
-    q, x = queries @ turn, rows @ turn
+    # single precision is for pruning alone, and scaled, so that no product overflows
+    q, x = ((v / max(float(np.abs(v).max(initial=0)), 1e-300)).astype(np.float32) @ turn for v in (queries, rows))
     ends = list(range(STEP, dim, STEP)) + [dim]
     q_left = [np.sqrt(np.maximum((q[:, e:] ** 2).sum(axis=1), 0)) for e in ends]
     x_left = [np.sqrt(np.maximum((x[:, e:] ** 2).sum(axis=1), 0)) for e in ends]
-    exact_q, exact_x = queries.astype(np.float64), rows.astype(np.float64)
     head = min(len(rows), max(8 * k, 256))
     first = q @ x[:head].T
     first[query_ids[:, None] == ids[None, :head]] = -np.inf
@@ -86,7 +86,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
         room = EPSILON / np.sqrt(dim - ends[i]) * q_left[i][at_q] * x_left[i][at_x] if ends[i] < dim else 0
         stay = value + room >= bar[at_q]
         at_q, at_x, value = at_q[stay], at_x[stay], value[stay]
-    score = (exact_q[at_q] * exact_x[at_x]).sum(axis=1)
+    score = (queries[at_q] * rows[at_x]).sum(axis=1)
     order = np.lexsort((ids[at_x], -score, at_q))
     at_q, at_x, score = at_q[order], at_x[order], score[order]
     place = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
@@ -101,6 +101,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     vectors, queries = usable(vectors), usable(queries)
     dims = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
+    kind, asked_kind = (d.schema["embedding"].dataType.simpleString() for d in (vectors, queries))
     if not dims:
         return spark.createDataFrame([], schema)
     dim, rows = dims[0]["d"], dims[0]["count"]
@@ -115,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(matrix(b.column(1)), model.value[0]).astype(np.int32))], ["vec_id", "embedding", "list"])
 
-    filed = written(vectors.mapInArrow(file, "vec_id long, embedding array<float>, list int"), "vector-lists")
+    filed = written(vectors.mapInArrow(file, f"vec_id long, embedding {kind}, list int"), "vector-lists")
     sizes = np.zeros(lists, np.int64)
     for r in filed.groupBy("list").count().collect():  # a row a list
         sizes[r["list"]] = r["count"]
@@ -129,7 +130,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             chosen = [o[:c] for o, c in zip(order, count, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "embedding", "lists"])
 
-    asked = queries.mapInArrow(probe, "vec_id long, embedding array<float>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
+    asked = queries.mapInArrow(probe, f"vec_id long, embedding {asked_kind}, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
     asked = written(asked, "vector-queries")
     ask = np.zeros(lists, np.int64)
     for r in asked.groupBy("list").count().collect():  # a row a list

@@ -214,6 +214,25 @@ def test_ann_odd(spark):
     assert ann.search(df.where("false"), df).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e20])
+def test_ann_doubles_with_clashing_columns(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)) * size
+    rows = [(i, v.tolist(), "a", 1, 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, rank int, x int")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(df, df.where("vec_id % 20 = 0"), k=5).collect()}
+    hit = 0
+    for q in range(0, 300, 20):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = set(np.argsort(-score)[:5].tolist())
+        for rank in range(1, 6):
+            vec, value = got[q, rank]
+            hit += vec in best
+            assert value == score[vec]
+    assert hit >= 0.9 * 75
+
+
 def test_warc_odd(spark, tmp_path):
     big = "é" * 600
     pages = [(1, "http://x/1", big), (2, "http://x/a b\r\n", big), (2, "u", big), (3, None, None), (None, "u", big), (4, "u", "small"), (5, "u", "small")]
