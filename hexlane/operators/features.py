@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import LANES
-from ..sources.panel import at, finisher
+from ..sources.panel import at, expand
 
 ROLES = {"first": "a", "second": "b", "third": "c"}
 PAIRS = (("f_s", "a", "b"), ("f_t", "a", "c"), ("s_t", "b", "c"))
 
 
 def values(metric: str) -> Column:
-    return F.col(f"runners.{metric}")
+    return F.col(metric)
 
 
-def total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
+def total(items: list[Column]) -> Column:
+    out = items[0].cast("double")
+    for x in items[1:]:
+        out = out + x
+    return out
 
 
-def mean(array: Column, n: int = 6) -> Column:
-    return total(array) / n
+def lanes(array: Column, start: int = 1, n: int = 6) -> list[Column]:
+    return [F.element_at(array, F.lit(i)) for i in range(start, start + n)]
 
 
-def std(array: Column, n: int = 6, sample: bool = False) -> Column:
-    m = total(array) / n
-    return F.sqrt(F.aggregate(array, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (n - sample))
+def mean(items: list[Column] | Column) -> Column:
+    items = lanes(items) if isinstance(items, Column) else items
+    return total(items) / len(items)
+
+
+def std(items: list[Column] | Column, sample: bool = False) -> Column:
+    items = lanes(items) if isinstance(items, Column) else items
+    m = mean(items)
+    return F.sqrt(total([(x - m) * (x - m) for x in items]) / (len(items) - sample))
 
 
 def rank_in(array: Column, lane: Column | str, falling: bool) -> Column:
@@ -52,7 +61,7 @@ def structure(df: DataFrame) -> DataFrame:
 
 def labels(df: DataFrame) -> DataFrame:
     """Winning combo, hit flags, and whether the first one or two lanes are right."""
-    winner, runner_up, third = finisher(1), finisher(2), finisher(3)
+    winner, runner_up, third = F.col("w1"), F.col("w2"), F.col("w3")
     first = (F.col("a") == winner).cast("int")
     second = (F.col("b") == runner_up).cast("int")
     hit = (F.col("class_id") == F.col("y_class")).cast("int")
@@ -65,8 +74,8 @@ def race_stats(wide: DataFrame, metrics: tuple[str, ...], sides: tuple[str, ...]
     for m in metrics:
         cols += [mean(values(m)).alias(f"mean_{m}"), std(values(m)).alias(f"std_{m}")]
     for m in sides:
-        cols += [mean(F.slice(values(m), 1, 3), 3).alias(f"inside_{m}"), mean(F.slice(values(m), 4, 3), 3).alias(f"outside_{m}")]
-    moves = F.aggregate("runners", F.lit(0), lambda s, r: s + F.abs(r["course"] - r["lane"]))
+        cols += [mean(lanes(values(m), 1, 3)).alias(f"inside_{m}"), mean(lanes(values(m), 4, 3)).alias(f"outside_{m}")]
+    moves = sum((F.abs(F.element_at("course", F.lit(i)) - i) for i in LANES[1:]), F.abs(F.element_at("course", F.lit(1)) - 1))
     return wide.select("race", *cols, moves.alias("course_moves"), (moves / 6.0).alias("course_move_mean"))
 
 
@@ -82,26 +91,33 @@ def relative(runners: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return runners.select("race", "lane", *cols)
 
 
-def main_roles(combos: DataFrame, metrics: tuple[str, ...], falling: dict[str, bool]) -> DataFrame:
+def with_means(wide: DataFrame, metrics: tuple[str, ...], spread: bool = False) -> DataFrame:
+    """mean_<metric>, and where asked spread_<metric> (sample deviation), once a race; then its 120 outcomes."""
+    cols = [mean(values(m)).alias(f"mean_{m}") for m in metrics] + [std(values(m), sample=True).alias(f"spread_{m}") for m in metrics if spread]
+    return expand(wide.select("*", *cols))
+
+
+def main_roles(wide: DataFrame, metrics: tuple[str, ...], falling: dict[str, bool]) -> DataFrame:
     """Base value, rank and deviation of each role's runner."""
     cols = []
     for role, lane in ROLES.items():
         for m in metrics:
-            cols += [at(lane, m).cast("double").alias(f"{role}_{m}"), (at(lane, m) - mean(values(m))).alias(f"{role}_rel_{m}")]
-        for m, down in falling.items():
-            cols.append(rank_in(values(m), lane, down).alias(f"{role}_rank_{m}"))
-    return combos.select("race", "class_id", *cols)
+            cols += [at(lane, m).cast("double").alias(f"{role}_{m}"), (at(lane, m) - F.col(f"mean_{m}")).alias(f"{role}_rel_{m}")]
+        for m in falling:
+            cols.append(at(lane, f"rank_{m}").alias(f"{role}_rank_{m}"))
+    ranks = [F.array(*[rank_in(values(m), F.lit(i), down) for i in LANES]).alias(f"rank_{m}") for m, down in falling.items()]
+    return with_means(wide.select("*", *ranks), metrics).select("race", "class_id", *cols)
 
 
-def main_pairs(combos: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+def main_pairs(wide: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """Sums, means and deviations over the three, pairwise differences, differences from the field, and strict flags."""
     cols = []
     for m in metrics:
         three = [at(lane, m) for lane in "abc"]
         s = three[0] + three[1] + three[2]
-        cols += [s.alias(f"top3_{m}_sum"), (s / 3.0).alias(f"top3_{m}_mean"), std(F.array(*[x.cast("double") for x in three]), 3).alias(f"top3_{m}_std")]
+        cols += [s.alias(f"top3_{m}_sum"), (s / 3.0).alias(f"top3_{m}_mean"), std(three).alias(f"top3_{m}_std")]
         cols += [(at(x, m) - at(y, m)).alias(f"{name}_{m}_diff") for name, x, y in PAIRS]
-        cols += [(at(lane, m) - mean(values(m))).alias(f"{role}_{m}_vs_field") for role, lane in ROLES.items()]
+        cols += [(at(lane, m) - F.col(f"mean_{m}")).alias(f"{role}_{m}_vs_field") for role, lane in ROLES.items()]
     for name, x, y in PAIRS:
         cols.append((at(x, "win_rate") > at(y, "win_rate")).cast("int").alias(f"{name}_stronger"))
     for role, lane in ROLES.items():
@@ -109,22 +125,23 @@ def main_pairs(combos: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
         for m, flag in (("st", "fastest_st"), ("exhibit", "best_exhibit")):
             cols.append(((at(lane, m) < at(others[0], m)) & (at(lane, m) < at(others[1], m))).cast("int").alias(f"{role}_{flag}"))
     moves = sum((F.abs(at(x, "course") - F.col(x)) for x in "bc"), F.abs(at("a", "course") - F.col("a")))
-    return combos.select("race", "class_id", *cols, moves.alias("course_move_top3"))
+    return with_means(wide, metrics).select("race", "class_id", *cols, moves.alias("course_move_top3"))
 
 
-def v3_block(combos: DataFrame, metric: str) -> DataFrame:
-    """Sum, mean, extremes, range, differences, in-race gap and z, and gap to the other three of one metric."""
+def triple_of(metric: str) -> dict[str, Column]:
+    """Sum, mean, extremes, range and differences of the three, and their mean against the race's and the other three's."""
     x = [at(lane, metric).cast("double") for lane in "abc"]
-    s, field = x[0] + x[1] + x[2], mean(values(metric))
-    spread = std(values(metric), sample=True)
+    s, field, spread = x[0] + x[1] + x[2], F.col(f"mean_{metric}"), F.col(f"spread_{metric}")
     high, low = F.greatest(*x), F.least(*x)
-    cols = [s.alias("sum3"), (s / 3.0).alias("mean3"), high.alias("max3"), low.alias("min3"), (high - low).alias("range3")]
-    for name, i, j in (("fs", 0, 1), ("ft", 0, 2), ("st", 1, 2)):
-        cols += [(x[i] - x[j]).alias(f"diff_{name}"), F.abs(x[i] - x[j]).alias(f"absdiff_{name}")]
-    others = (field * 6 - s) / 3.0
-    for i, role in enumerate(ROLES):
-        cols += [(x[i] - field).alias(f"{role}_vs_race"), F.when(spread > 1e-12, F.try_divide(x[i] - field, spread)).otherwise(0.0).alias(f"{role}_z"), (x[i] - others).alias(f"{role}_vs_others")]
-    return combos.select("race", "class_id", *cols)
+    out = {"sum": s, "mean": s / 3.0, "max": high, "min": low, "range": high - low}
+    for name, i, j in (("first_second", 0, 1), ("first_third", 0, 2), ("second_third", 1, 2)):
+        out |= {f"diff_{name}": x[i] - x[j], f"absdiff_{name}": F.abs(x[i] - x[j])}
+    gap = s / 3.0 - field
+    return out | {"vs_race_diff": gap, "vs_race_z": F.when(spread > 1e-12, F.try_divide(gap, spread)).otherwise(0.0), "vs_others_diff": s / 3.0 - (field * 6 - s) / 3.0}
+
+
+def v3_block(wide: DataFrame, metric: str) -> DataFrame:
+    return with_means(wide, (metric,), spread=True).select("race", "class_id", *[c.alias(name) for name, c in triple_of(metric).items()])
 
 
 def v3_scores(combos: DataFrame) -> DataFrame:
@@ -172,7 +189,7 @@ ADVANTAGE, BIAS = (3.0, 2.0, 1.0, 0.0, -1.0, -2.0), (1.0, 0.8, 0.55, 0.25, 0.1,
 
 
 def pack_powers(combos: DataFrame) -> DataFrame:
-    """Linear lane powers of the three, their differences and shares, and head flags (ties count)."""
+    """Linear lane powers of the three, their differences and shares, and whether the first is the best of the three (ties count)."""
     by_lane = lambda table, lane: F.element_at(F.array(*map(F.lit, table)), F.col(lane))
     power = lambda x: by_lane(ADVANTAGE, x) * 1.8 + at(x, "win_rate") * 0.55 + at(x, "place_rate") * 0.08 - at(x, "st") * 6.0 - at(x, "exhibit") * 0.8
     head = lambda x: by_lane(BIAS, x) * 1.3 + at(x, "win_rate") * 0.45 + at(x, "place_rate") * 0.08 + at(x, "motor") * 0.015 - at(x, "st") * 2.8 - at(x, "exhibit") * 0.6
@@ -182,8 +199,8 @@ def pack_powers(combos: DataFrame) -> DataFrame:
     cols += [(power(x) - power(y)).alias(f"{name}_power_diff") for name, x, y in PAIRS]
     s = at("a", "win_rate") + at("b", "win_rate") + at("c", "win_rate")
     cols += [F.when(F.abs(s) < 1e-12, 0.0).otherwise(F.try_divide(at(x, "win_rate"), s)).alias(f"{role}_share") for role, x in ROLES.items()]
-    cols.append((at("a", "win_rate") >= F.array_max(values("win_rate"))).cast("int").alias("head_best_win_rate"))
-    cols.append((at("a", "st") <= F.array_min(values("st"))).cast("int").alias("head_best_st"))
+    cols.append((at("a", "win_rate") >= F.greatest(at("b", "win_rate"), at("c", "win_rate"))).cast("int").alias("head_best_win_rate"))
+    cols.append((at("a", "st") <= F.least(at("b", "st"), at("c", "st"))).cast("int").alias("head_best_st"))
     return combos.select("race", "class_id", *cols)
 
 
@@ -193,7 +210,7 @@ def render_block(combos: DataFrame) -> DataFrame:
     cols = [shared("win_rate", True).alias("first_rank_win_rate"), shared("st", False).alias("first_rank_st"), shared("exhibit", False).alias("first_rank_exhibit")]
     cols += [(at(F.lit(lane), "win_rate") - at(F.lit(1), "win_rate")).alias(f"gap{lane}_win_rate") for lane in LANES if lane > 1]
     cols += [(at(F.lit(1), "st") - at(F.lit(lane), "st")).alias(f"gap{lane}_st") for lane in LANES if lane > 1]
-    cols += [(mean(F.slice(values(m), 1, 3), 3) - mean(F.slice(values(m), 4, 3), 3)).alias(f"inout_{m}") for m in ("win_rate", "motor")]
+    cols += [(mean(lanes(values(m), 1, 3)) - mean(lanes(values(m), 4, 3))).alias(f"inout_{m}") for m in ("win_rate", "motor")]
     return combos.select("race", "class_id", *cols)
 
 

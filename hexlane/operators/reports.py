@@ -17,9 +17,8 @@ def ratio(a: Column, b: Column) -> Column:
 def venue_stats(log: DataFrame, venues: list[str]) -> DataFrame:
     """Selected bets by venue: races, bets, hits, rates (hits per bet), stake, return, profit, roi; zero rows for venues without."""
     spark = log.sparkSession
-    got = log.where("is_selected = 1").groupBy("venue").agg(
-        F.countDistinct("date", "race_no").alias("race_count"), F.count("*").alias("buy_count"), F.sum("is_hit").alias("hit_count"), F.sum("bet_cost_yen").alias("total_bet"), F.sum("return_yen").alias("total_return")
-    )
+    races = log.where("is_selected = 1").groupBy("venue", "date", "race_no").agg(F.count("*").alias("buy_count"), F.sum("is_hit").alias("hit_count"), F.sum("bet_cost_yen").alias("total_bet"), F.sum("return_yen").alias("total_return"))
+    got = races.groupBy("venue").agg(F.count("*").alias("race_count"), *[F.sum(c).alias(c) for c in ("buy_count", "hit_count", "total_bet", "total_return")])
     out = spark.createDataFrame([(v,) for v in venues], "venue string").join(got, "venue", "left").na.fill(0)
     return out.select(
         "venue", "race_count", "buy_count", "hit_count", ratio(F.col("hit_count"), F.col("buy_count")).alias("hit_rate"), ratio(F.col("buy_count"), F.col("race_count")).alias("avg_points"),
@@ -54,12 +53,11 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def ev_summary(df: DataFrame) -> DataFrame:
     """Races, top-k hit rates over all races, and means at the top, in one aggregation."""
-    aggs = [F.countDistinct("race").alias("races")]
-    for k in (1, 3, 5, 10):
-        aggs.append(F.countDistinct(F.when((F.col("ev_rank") <= k) & (F.col("is_hit") == 1), F.col("race"))).alias(f"hits_{k}"))
-    top = F.col("ev_rank") == 1
-    aggs += [F.avg(F.when(top, F.col(c))).alias(f"top1_{c}") for c in ("prob", "odds", "ev")] + [F.avg(F.when(F.col("ev_rank") <= 5, F.col("ev"))).alias("top5_ev")]
-    out = df.agg(*aggs)
+    top, five, hit = F.col("ev_rank") == 1, F.col("ev_rank") <= 5, F.col("is_hit") == 1
+    firsts = [(f"top1_{c}", top, c) for c in ("prob", "odds", "ev")] + [("top5_ev", five, "ev")]
+    # by race first: it is partitioned so already, and a race counts once
+    races = df.groupBy("race").agg(F.min(F.when(hit, F.col("ev_rank"))).alias("_rank"), *[f(F.when(w, F.col(c))).alias(f"{name}_{kind}") for name, w, c in firsts for kind, f in (("sum", F.sum), ("n", F.count))])
+    out = races.agg(F.count("*").alias("races"), *[F.count_if(F.col("_rank") <= k).alias(f"hits_{k}") for k in (1, 3, 5, 10)], *[F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n")).alias(name) for name, _, _ in firsts])
     return out.select("races", *[ratio(F.col(f"hits_{k}"), F.col("races")).alias(f"top{k}_hit_rate") for k in (1, 3, 5, 10)], "top1_prob", "top1_odds", "top1_ev", "top5_ev")
 
 
@@ -92,7 +90,8 @@ def topk_by_venue(df: DataFrame) -> DataFrame:
 
 def roi_rollup(df: DataFrame, by: str = "venue") -> DataFrame:
     """Races, investment, return, profit, roi and hit rate per race, by venue and in total."""
-    got = df.rollup(by).agg(F.grouping(by).alias("_g"), F.countDistinct("race").alias("races"), F.sum("bet_cost_yen").alias("invest"), F.sum("return_yen").alias("returned"), F.countDistinct(F.when(F.col("return_yen") > 0, F.col("race"))).alias("hit_races"))
+    races = df.groupBy("race", by).agg(F.sum("bet_cost_yen").alias("invest"), F.sum("return_yen").alias("returned"), F.max("return_yen").alias("_best"))
+    got = races.rollup(by).agg(F.grouping(by).alias("_g"), F.count("*").alias("races"), F.sum("invest").alias("invest"), F.sum("returned").alias("returned"), F.count_if(F.col("_best") > 0).alias("hit_races"))
     out = got.withColumn(by, F.when(F.col("_g") == 1, "ALL").otherwise(F.col(by))).drop("_g")
     return out.withColumn("profit", F.col("returned") - F.col("invest")).withColumn("roi", ratio(F.col("returned"), F.col("invest"))).withColumn("hit_rate", ratio(F.col("hit_races"), F.col("races")))
 

@@ -58,7 +58,7 @@ def s_rank(m: str, lane: str, down: bool) -> str:
 
 @query("main_first_second_third", COMBOS + " SELECT race, class_id, " + ", ".join([f"{rd(f'{m}[{x}]', f'{r}_{m}')}, {rd(f'{m}[{x}] - {s_mean(m)}', f'{r}_rel_{m}')}" for r, x in ROLES.items() for m in ("win_rate", "place_rate", "st", "exhibit")] + [f"{s_rank(m, x, down)} AS {r}_rank_{m}" for r, x in ROLES.items() for m, down in (("win_rate", True), ("st", False))]) + " FROM combos")
 def main_first_second_third(spark, d):
-    return rounded(features.main_roles(combos(spark, d), ("win_rate", "place_rate", "st", "exhibit"), {"win_rate": True, "st": False}))
+    return rounded(features.main_roles(races(spark, d), ("win_rate", "place_rate", "st", "exhibit"), {"win_rate": True, "st": False}))
 
 
 _FLAGS = [f"CAST(win_rate[{x}] > win_rate[{y}] AS INTEGER) AS {n}_stronger" for n, x, y in PAIRS] + [
@@ -68,29 +68,28 @@ _FLAGS = [f"CAST(win_rate[{x}] > win_rate[{y}] AS INTEGER) AS {n}_stronger" for
 
 @query("main_diffs_flags", COMBOS + " SELECT race, class_id, " + ", ".join([", ".join([rd(f"{m}[a] + {m}[b] + {m}[c]", f"top3_{m}_sum"), rd(f"({m}[a] + {m}[b] + {m}[c]) / 3.0", f"top3_{m}_mean"), rd(s_std(f"[{m}[a], {m}[b], {m}[c]]", 3), f"top3_{m}_std"), *[rd(f"{m}[{x}] - {m}[{y}]", f"{n}_{m}_diff") for n, x, y in PAIRS], *[rd(f"{m}[{x}] - {s_mean(m)}", f"{r}_{m}_vs_field") for r, x in ROLES.items()]]) for m in ("win_rate", "st")] + _FLAGS) + ", CAST(abs(course[a] - a) + abs(course[b] - b) + abs(course[c] - c) AS INTEGER) AS course_move_top3 FROM combos")
 def main_diffs_flags(spark, d):
-    return rounded(features.main_pairs(combos(spark, d), ("win_rate", "st")))
+    return rounded(features.main_pairs(races(spark, d), ("win_rate", "st")))
 
 
 def s_v3(m: str) -> str:
-    s, x = f"({m}[a] + {m}[b] + {m}[c])", {"f": f"{m}[a]", "s": f"{m}[b]", "t": f"{m}[c]"}
+    s, x = f"({m}[a] + {m}[b] + {m}[c])", {"first": f"{m}[a]", "second": f"{m}[b]", "third": f"{m}[c]"}
     hi, lo = f"greatest({', '.join(x.values())})", f"least({', '.join(x.values())})"
-    cols = [rd(s, "sum3"), rd(f"{s} / 3.0", "mean3"), rd(hi, "max3"), rd(lo, "min3"), rd(f"{hi} - {lo}", "range3")]
-    for n, p, q in (("fs", "f", "s"), ("ft", "f", "t"), ("st", "s", "t")):
-        cols += [rd(f"{x[p]} - {x[q]}", f"diff_{n}"), rd(f"abs({x[p]} - {x[q]})", f"absdiff_{n}")]
-    for r, v in zip(ROLES, x.values(), strict=True):
-        gap = f"({v} - {s_mean(m)})"
-        cols += [rd(gap, f"{r}_vs_race"), rd(f"CASE WHEN {s_std(m, 6, 1)} > 1e-12 THEN {gap} / {s_std(m, 6, 1)} ELSE 0.0 END", f"{r}_z"), rd(f"{v} - ({s_mean(m)} * 6 - {s}) / 3.0", f"{r}_vs_others")]
+    cols = [rd(s, "sum"), rd(f"{s} / 3.0", "mean"), rd(hi, "max"), rd(lo, "min"), rd(f"{hi} - {lo}", "range")]
+    for p, q in (("first", "second"), ("first", "third"), ("second", "third")):
+        cols += [rd(f"{x[p]} - {x[q]}", f"diff_{p}_{q}"), rd(f"abs({x[p]} - {x[q]})", f"absdiff_{p}_{q}")]
+    gap = f"({s} / 3.0 - {s_mean(m)})"
+    cols += [rd(gap, "vs_race_diff"), rd(f"CASE WHEN {s_std(m, 6, 1)} > 1e-12 THEN {gap} / {s_std(m, 6, 1)} ELSE 0.0 END", "vs_race_z"), rd(f"{s} / 3.0 - (list_sum({m}) - {s}) / 3.0", "vs_others_diff")]
     return COMBOS + f" SELECT race, class_id, {', '.join(cols)} FROM combos"
 
 
 @query("v3_block_exhibit", s_v3("exhibit"))
 def v3_block_exhibit(spark, d):
-    return rounded(features.v3_block(combos(spark, d), "exhibit"))
+    return rounded(features.v3_block(races(spark, d), "exhibit"))
 
 
 @query("v3_block_motor", s_v3("motor"))
 def v3_block_motor(spark, d):
-    return rounded(features.v3_block(combos(spark, d), "motor"))
+    return rounded(features.v3_block(races(spark, d), "motor"))
 
 
 EX, ST = s_mean("exhibit"), s_mean("st")
@@ -138,7 +137,7 @@ def s_head(x: str) -> str:
     return f"({BIAS}[{x}] * 1.3 + win_rate[{x}] * 0.45 + place_rate[{x}] * 0.08 + motor[{x}] * 0.015 - st[{x}] * 2.8 - exhibit[{x}] * 0.6)"
 
 
-@query("pack_powers", COMBOS + " SELECT race, class_id, " + ", ".join(f"{rd(s_power(x), f'{r}_lane_power')}, {rd(s_head(x), f'{r}_head_score')}, {rd(f'CASE WHEN abs(win_rate[a] + win_rate[b] + win_rate[c]) < 1e-12 THEN 0.0 ELSE win_rate[{x}] / (win_rate[a] + win_rate[b] + win_rate[c]) END', f'{r}_share')}" for r, x in ROLES.items()) + ", " + ", ".join(rd(f"{s_power(x)} - {s_power(y)}", f"{n}_power_diff") for n, x, y in PAIRS) + ", CAST(win_rate[a] >= list_max(win_rate) AS INTEGER) AS head_best_win_rate, CAST(st[a] <= list_min(st) AS INTEGER) AS head_best_st FROM combos")
+@query("pack_powers", COMBOS + " SELECT race, class_id, " + ", ".join(f"{rd(s_power(x), f'{r}_lane_power')}, {rd(s_head(x), f'{r}_head_score')}, {rd(f'CASE WHEN abs(win_rate[a] + win_rate[b] + win_rate[c]) < 1e-12 THEN 0.0 ELSE win_rate[{x}] / (win_rate[a] + win_rate[b] + win_rate[c]) END', f'{r}_share')}" for r, x in ROLES.items()) + ", " + ", ".join(rd(f"{s_power(x)} - {s_power(y)}", f"{n}_power_diff") for n, x, y in PAIRS) + ", CAST(win_rate[a] >= greatest(win_rate[b], win_rate[c]) AS INTEGER) AS head_best_win_rate, CAST(st[a] <= least(st[b], st[c]) AS INTEGER) AS head_best_st FROM combos")
 def pack_powers(spark, d):
     return rounded(features.pack_powers(combos(spark, d)))
 

@@ -37,7 +37,10 @@ def races(runners: DataFrame) -> DataFrame:
     fields = [c for c in runners.columns if c not in ("race", "date", "venue")]
     wide = runners.groupBy("race").agg(F.min("date").alias("date"), F.min("venue").alias("venue"), F.array_sort(F.collect_list(F.struct("lane", *[c for c in fields if c != "lane"]))).alias("runners"))
     wide = wide.where((F.size("runners") == 6) & (F.size(F.array_distinct("runners.lane")) == 6))
-    return wide.withColumn("y_class", class_id(finisher(1), finisher(2), finisher(3)))
+    # flat arrays, so that the 120 outcomes of a race don't each take them out of the structs
+    flat = [F.col(f"runners.{c}").alias(c) for c in fields if c not in ("lane", "finish")]
+    wide = wide.select("race", "date", "venue", "runners", *flat, *[finisher(place).alias(f"w{place}") for place in (1, 2, 3)])
+    return wide.withColumn("y_class", class_id(F.col("w1"), F.col("w2"), F.col("w3")))
 
 
 def finisher(place: int) -> Column:
@@ -47,7 +50,7 @@ def finisher(place: int) -> Column:
 
 def at(lane: Column | str, metric: str) -> Column:
     """A metric of the runner in a lane (1 to 6)."""
-    return F.element_at(F.col(f"runners.{metric}"), F.col(lane) if isinstance(lane, str) else lane)
+    return F.element_at(F.col(metric), F.col(lane) if isinstance(lane, str) else lane)
 
 
 def expand(wide: DataFrame) -> DataFrame:
