@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,3 +185,38 @@ def race_signal(df: DataFrame, bets: DataFrame) -> DataFrame:
     score = 0.42 * 100 * F.col("t1") + 0.33 * 100 * F.col("gap") + 0.17 * 10 * F.least("top_ev", F.lit(2.0)) + 0.18 * F.greatest(F.lit(0), 7 - F.col("n_bets"))
     signal = F.when((F.col("t1") >= 0.11) & (F.col("gap") >= 0.020) & (F.col("top_ev") >= 0.85), "A").when((F.col("t1") >= 0.08) & (F.col("gap") >= 0.012) & (F.col("top_ev") >= 0.65), "B").when((F.col("t1") >= 0.055) & (F.col("top_ev") >= 0.50), "C").otherwise("D")
     return out.withColumn("score", score).withColumn("signal", signal)
+
+
+# fixed values: weights of a setting's score
+SCORE = {"roi": 0.62, "hit_rate": 0.18, "top3": 0.10, "top5": 0.10}
+PENALTY_FROM, PENALTY = 10, 0.01
+
+
+def drawn_settings(trials: int, seed: int = 7, spread: float = 0.15) -> list[list[tuple]]:
+    """Overlays of settings: the tuned ones first, then each number of theirs drawn within a share of itself, weights summing to 1."""
+    rng, out = random.Random(seed), [TUNED]
+    for _ in range(1, trials):
+        rows = []
+        for venue, *numbers in TUNED:
+            drawn = [round(x * rng.uniform(1 - spread, 1 + spread), 4) for x in numbers[:9]]
+            total = sum(drawn[3:6])
+            drawn[3:6] = [round(x / total, 4) for x in drawn[3:6]]
+            low = rng.randint(3, numbers[9] + 1)
+            rows.append((venue, *drawn, low, rng.randint(low, low + 6)))
+        out.append(rows)
+    return out
+
+
+def setting_score(df: DataFrame, bets: DataFrame) -> DataFrame:
+    """Races with bets, hits, points, return on stakes, hits among the first 1, 3 and 5 bets, and their weighted score."""
+    hits = df.where("is_hit = 1").select("race", "class_id", "payout")
+    races = bets.join(hits.withColumn("hit", F.lit(1)), ["race", "class_id"], "left").groupBy("race").agg(
+        F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("hit"), F.sum(F.when(F.col("hit") == 1, F.coalesce("payout", F.lit(0))).otherwise(0)).alias("back"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("at")
+    )
+    share = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0))
+    out = races.agg(
+        F.count("*").alias("races"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), share(F.col("hit") > 0).alias("hit_rate"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_points"),
+        F.coalesce(F.try_divide(F.sum("back").cast("double"), F.sum("n") * 100.0), F.lit(0.0)).alias("roi"), *[share(F.col("at") <= k).alias(f"top{k}") for k in (1, 3, 5)],
+    )
+    score = sum((F.col(c) * w for c, w in SCORE.items()), F.lit(0.0)) - F.greatest(F.col("avg_points") - PENALTY_FROM, F.lit(0.0)) * PENALTY
+    return out.withColumn("score", score)

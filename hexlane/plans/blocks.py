@@ -137,10 +137,20 @@ def triple_columns() -> dict[str, str]:
     return out | {"wind_st_pressure_v3": f"wind_speed_mps * {of3('st')}", "wave_exhibit_pressure_v3": f"wave_cm * {of3('exhibit')}"}
 
 
-@query("main_block", digest(main_columns()))
-def main_block(spark, d):
-    """The main feature table of all races, as means by outcome."""
-    return rounded(blocks.by_outcome(blocks.main_block(races(spark, d))))
+PART = 90  # columns of a query, so that each stage of it is compiled as one
+_MAIN = list(main_columns().items())
+
+
+def main_part(names: list[str]):
+    def run(spark, d):
+        """Some columns of the main feature table of all races, as means by outcome."""
+        return rounded(blocks.by_outcome(blocks.main_block(races(spark, d)).select("race", "class_id", *names)))
+
+    return run
+
+
+for _i in range(0, len(_MAIN), PART):
+    query(f"main_block_{_i // PART + 1}", digest(dict(_MAIN[_i : _i + PART])))(main_part([n for n, _ in _MAIN[_i : _i + PART]]))
 
 
 @query("pack_block", digest(pack_columns()))

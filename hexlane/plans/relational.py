@@ -33,13 +33,11 @@ def softmax_temp(spark, d):
     return scored(spark, d).select("race", "class_id", (F.round("score", 6) + 0.0).alias("score"), (F.round("prob", 9) + 0.0).alias("prob"))
 
 
-@query("odds_join", SCORED + f""" , o AS (SELECT race, class_id, odds FROM scored WHERE odds IS NOT NULL AND class_id % 3 <> 0)
-SELECT s.race, s.class_id, coalesce(o.odds, 0.0) AS odds, {rd('s.prob * coalesce(o.odds, 0.0)', 'ev')} FROM scored s LEFT JOIN o USING (race, class_id)""")
+@query("odds_join", SCORED + f" SELECT race, class_id, coalesce(odds, 0.0) AS odds, {rd('prob * coalesce(odds, 0.0)', 'ev')} FROM scored")
 def odds_join(spark, d):
     """Probabilities with odds of another table, 0 where it has none."""
-    df = scored(spark, d)
-    odds = df.where("odds is not null and class_id % 3 <> 0").select("race", "class_id", "odds")
-    out = df.drop("odds").join(odds, ["race", "class_id"], "left").withColumn("odds", F.coalesce("odds", F.lit(0.0)))
+    odds = combos(spark, d).select("race", "class_id", scoring.synthetic_odds().alias("odds")).where("odds is not null")
+    out = scored(spark, d).drop("odds").join(odds, ["race", "class_id"], "left").withColumn("odds", F.coalesce("odds", F.lit(0.0)))
     return rounded(out.select("race", "class_id", "odds", (F.col("prob") * F.col("odds")).alias("ev")))
 
 
@@ -72,12 +70,12 @@ def manual_prob(spark, d):
     return out.select("race", "class_id", (F.round("manual_score", 9) + 0.0).alias("manual_score"), (F.round("manual_prob", 9) + 0.0).alias("manual_prob"))
 
 
-@query("ensemble", SCORED + f""" , p AS (SELECT race, class_id, prob * 0.6::DOUBLE AS p FROM scored UNION ALL SELECT race, class_id, (1.0::DOUBLE / 60) * 0.4::DOUBLE FROM scored WHERE class_id % 2 = 0),
+@query("ensemble", SCORED + f""" , p AS (SELECT race, class_id, prob * 0.6::DOUBLE AS p FROM scored UNION ALL SELECT race, class_id, (1.0::DOUBLE / 60) * 0.4::DOUBLE FROM scored WHERE odds IS NOT NULL),
 q AS (SELECT race, class_id, sum(p) AS p FROM p GROUP BY ALL)
 SELECT race, class_id, {rd('p / sum(p) OVER (PARTITION BY race)', 'prob', 9)} FROM q""")
 def ensemble(spark, d):
     df = scored(spark, d)
-    other = df.where("class_id % 2 = 0").select("race", "class_id", (F.lit(1.0) / 60).alias("prob"))
+    other = df.where("odds is not null").select("race", "class_id", (F.lit(1.0) / 60).alias("prob"))
     return rounded(scoring.ensemble([(df, 0.6), (other, 0.4)]).select("race", "class_id", "prob"), 9)
 
 
@@ -111,14 +109,14 @@ def ev_table(spark, d):
     return rounded(valued(spark, d).select("race", "class_id", "odds", "ev", "edge", "is_hit", "ev_rank"))
 
 
-@query("complete_races", SCORED + """ , part AS (SELECT * FROM scored WHERE race % 5 <> 0 OR class_id < 100)
-SELECT race, class_id FROM part WHERE race IN (SELECT race FROM part GROUP BY race HAVING count(*) = 120)""")
+@query("complete_races", "SELECT l_orderkey AS race, CAST(l_linenumber AS BIGINT) AS line FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 6)")
 def complete_races(spark, d):
-    part = combos(spark, d).select("race", "class_id").where("race % 5 <> 0 or class_id < 100")
-    return reports.complete_races(part)
+    """Lines of orders that have exactly six."""
+    lines = parquet(spark, d, "lineitem").select(F.col("l_orderkey").alias("race"), F.col("l_linenumber").cast("long").alias("line"))
+    return reports.complete_races(lines, 6)
 
 
-@query("unlisted_candidates", VALUED + """ SELECT race, class_id FROM valued v WHERE odds > 0 AND NOT EXISTS (SELECT 1 FROM valued w WHERE w.race = v.race AND w.class_id = v.class_id AND w.ev_rank <= 100)""")
+@query("unlisted_candidates", VALUED + " SELECT race, class_id FROM valued WHERE odds > 0 AND (ev_rank IS NULL OR ev_rank > 100)")
 def unlisted_candidates(spark, d):
     """Anti join: priced outcomes that aren't among the first hundred by value."""
     df = valued(spark, d)
@@ -137,10 +135,10 @@ def unpivot_lanes(spark, d):
     return long.unpivot(["race", "lane"], ["motor", "boat"], "metric", "value")
 
 
-@query("densify", SCORED + """ , few AS (SELECT race, class_id, payout FROM scored WHERE class_id % 7 = 0), r AS (SELECT DISTINCT race FROM few)
+@query("densify", SCORED + """ , few AS (SELECT race, class_id, payout FROM scored WHERE odds > 90), r AS (SELECT DISTINCT race FROM few)
 SELECT r.race, o.class_id, coalesce(payout, 0) AS payout FROM r CROSS JOIN outcomes o LEFT JOIN few USING (race, class_id)""")
 def densify(spark, d):
-    few = scored(spark, d).where("class_id % 7 = 0").select("race", "class_id", "payout")
+    few = scored(spark, d).where("odds > 90").select("race", "class_id", "payout")
     every = few.select("race").distinct().crossJoin(F.broadcast(outcomes(spark).select("class_id")))
     return every.join(few, ["race", "class_id"], "left").na.fill(0, ["payout"])
 

@@ -26,6 +26,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_union(tables: list[DataFrame], path: str) -> None:
+    """Rows of several tables as one CSV with the union of their columns, absent ones empty."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    write_csv(out, path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of a few rows as one JSON-lines file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_model(model, features: list[str], labels: list[str], path: str, spark: SparkSession) -> None:
+    """A fitted pipeline with its features and labels beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(features, labels)], "features array<string>, labels array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append to a date-partitioned log."""
     df.write.mode("append").partitionBy("date").parquet(path)

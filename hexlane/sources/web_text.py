@@ -39,6 +39,16 @@ def entry(text: Column) -> list[Column]:
     ]
 
 
+# fixed values: the numbers of a statistics line, in order
+STATISTICS = ("avg_st", "nat_win", "nat_2", "nat_3", "loc_win", "loc_2", "loc_3", "motor_no", "motor_2", "motor_3", "boat_no", "boat_2", "boat_3")
+
+
+def statistics(text: Column) -> list[Column]:
+    """The thirteen numbers of the first statistics line in a text; '-' is null, and all are where there is no such line."""
+    pattern = r"\s+".join(r"(\d{1,3}|-)" if n.endswith("_no") else r"(\d+\.\d+|-)" for n in STATISTICS)
+    return [F.regexp_extract(narrow(text), pattern, i).try_cast("double").alias(n) for i, n in enumerate(STATISTICS, start=1)]
+
+
 def best_table(tables: DataFrame) -> DataFrame:
     """The table (page_id, table_no, lane, racer_no rows) with most distinct lanes, then lane rows, then ids; the earlier on ties."""
     score = tables.groupBy("page_id", "table_no").agg(F.countDistinct("lane").alias("u"), F.count("lane").alias("n"), F.count("racer_no").alias("i"))
