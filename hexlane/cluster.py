@@ -1,4 +1,4 @@
-"""Making this package importable on executors."""
+"""What a cluster needs: this package on the executors, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -23,3 +23,14 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(top.parent))
     context.addPyFile(str(path))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one in local mode (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="hexlane-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

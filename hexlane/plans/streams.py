@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..cluster import shared_dir
 from ..sources.tables import parquet
 from ..streaming import logs
 from .base import query
 
 
 def folder(spark) -> str:
-    """A fresh checkpoint location in the shared folder; a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hexlane-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark, d):
@@ -27,23 +25,27 @@ def events_stream(spark, d):
 @query("stream_vs_batch_results", "SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last_ts FROM events GROUP BY user_id, event_type")
 def stream_vs_batch_results(spark, d):
     """An append log aggregated as a stream; the SQL is the batch result."""
-    name = f"s{uuid.uuid4().hex}"
-    return logs.drain(logs.running_totals(events_stream(spark, d), ["user_id", "event_type"]), name, "complete", folder(spark))
+    return logs.drain(logs.running_totals(events_stream(spark, d), ["user_id", "event_type"]), "complete", folder(spark))
 
 
-@query("stream_log_join")
+@query("stream_log_join", """WITH e AS (SELECT user_id, event_id, event_type, value, CAST(ts AS TIMESTAMP) AS at FROM events)
+SELECT p.user_id, p.at AS logged_at, p.event_id, r.at AS r_logged_at, CAST(r.event_id AS VARCHAR) AS actual_combo, r.value AS payout
+FROM (SELECT * FROM e WHERE event_type = 'view') p LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') r ON r.user_id = p.user_id AND r.at >= p.at AND r.at <= p.at + INTERVAL 1 HOUR""")
 def stream_log_join(spark, d):
-    """Predictions (views) with the purchases that follow within an hour, as a stream-stream left join."""
-    def log(kind: str, *cols):
-        return events_stream(spark, d).where(F.col("event_type") == kind).select("user_id", F.col("at").alias("logged_at"), *cols)
+    """Predictions (views) with the purchases that follow within an hour: a stream-stream left join, then what still waits."""
+    def log(events, kind: str, *cols):
+        return events.where(F.col("event_type") == kind).select("user_id", F.col("at").alias("logged_at"), *cols)
 
-    p = log("view", "event_id")
-    r = log("purchase", F.col("event_id").cast("string").alias("actual_combo"), F.col("value").alias("payout"))
-    return logs.drain(logs.join_logs(p, r, ["user_id"]), f"s{uuid.uuid4().hex}", "append", folder(spark))
+    def sides(events):
+        return log(events, "view", "event_id"), log(events, "purchase", F.col("event_id").cast("string").alias("actual_combo"), F.col("value").alias("payout"))
+
+    joined = logs.drain(logs.join_logs(*sides(events_stream(spark, d)), ["user_id"]), "append", folder(spark))
+    batch = parquet(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return logs.with_pending(joined, *sides(batch), ["user_id"], "event_id")
 
 
 @query("stream_dedupe")
 def stream_dedupe(spark, d):
     """Repeated log rows of a user and kind within ten minutes dropped."""
     events = events_stream(spark, d).select("user_id", "event_type", F.col("at").alias("logged_at"))
-    return logs.drain(logs.without_refreshes(events, ["user_id", "event_type"]), f"s{uuid.uuid4().hex}", "append", folder(spark))
+    return logs.drain(logs.without_refreshes(events, ["user_id", "event_type"]), "append", folder(spark))

@@ -39,7 +39,7 @@ def field(record: Column, start: int, length: int, scale: int) -> Column:
     return number if scale == 1 else number / float(scale)
 
 
-def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
+def parse_records(records: DataFrame, column: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
     """Racer rows of binary records; short ones and those without a numeric id are left out."""
     ship(records.sparkSession)
     r = F.col(column)
@@ -48,7 +48,7 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     for course in range(1, 7):
         base = COURSE_START + (course - 1) * COURSE_BYTES
         out += [field(r, base + s, n, scale).alias(f"course{course}_{name}") for name, (s, n, scale) in COURSE_FIELDS.items()]
-    return rows.select(*out, sjis(F.substring(r, -6, 6)).alias("birthplace"))
+    return rows.select(*keep, *out, sjis(F.substring(r, -6, 6)).alias("birthplace"))
 
 
 def read_racers(spark: SparkSession, path: str) -> DataFrame:
@@ -56,5 +56,6 @@ def read_racers(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "ISO-8859-1")  # one character a byte
     lines = files.select("path", F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
-    rows = parse_records(lines.select("path", "pos", F.encode("line", "ISO-8859-1").alias("record")))
-    return rows.dropDuplicates(["racer_no", "year", "season"])
+    rows = parse_records(lines.select("path", "pos", F.encode("line", "ISO-8859-1").alias("record")), keep=("path", "pos"))
+    columns = [c for c in rows.columns if c not in ("path", "pos")]
+    return rows.groupBy("racer_no").agg(F.max_by(F.struct(*columns), F.struct("path", "pos")).alias("last")).select("last.*")

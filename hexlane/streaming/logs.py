@@ -45,8 +45,32 @@ def cached_values(stream: DataFrame, key: str, value: str, ttl_ms: int) -> DataF
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, {value} double", f"{value} double", "append", "ProcessingTimeTimeout")
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return the table of its rows."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there now and return its rows, which it writes below a fresh shared folder.
+
+    complete: each batch replaces the last one, in a folder of its own.
+    """
+    path = f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", path).start()
+        query.awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    done: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}-{number}")
+        done.append(f"{path}-{number}")
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(done[-1]) if done else stream.sparkSession.createDataFrame([], stream.schema)
+
+
+def with_pending(joined: DataFrame, predictions: DataFrame, results: DataFrame, keys: list[str], row_key: str, within: str = "1 hour") -> DataFrame:
+    """The rows of join_logs so far with those of predictions (by row_key) that still wait for the watermark, joined as they stand."""
+    pending = predictions.join(joined.select(row_key), row_key, "left_anti")
+    r = results.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("logged_at").alias("r_logged_at"), "actual_combo", "payout")
+    same = (F.col("r_logged_at") >= F.col("logged_at")) & (F.col("r_logged_at") <= F.col("logged_at") + F.expr(f"INTERVAL {within}"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"r_{k}"))
+    return joined.unionByName(pending.join(r, same, "left").select(joined.columns))
