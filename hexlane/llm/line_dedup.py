@@ -2,7 +2,8 @@
 
 Main path: DataFrame functions only. A line's tokens with a digit become <*>. Its leaf in the tree is its number of tokens and
 its first DEPTH tokens. Within a leaf, a token at a position is constant if lines in at least SUPPORT texts have it there,
-else it is generalised to <*>: that gives the line's template. A template with no more than LOOSE of its tokens generalised
+else it is generalised to <*>: that gives the line's template. A template with a constant word (a token with a letter) and no
+more than LOOSE of its tokens generalised so (a number that the whole leaf has at a position is constant, whatever its value)
 recurs if lines in at least SUPPORT different texts have it, and all its lines are dropped. Equal texts count once, so whole
 copies do not erase each other. Counts are of (line, text) pairs, taken after equal lines are merged, so a line that a third
 of all documents has is one row.
@@ -21,6 +22,7 @@ from .common import row_id, table, written
 DEPTH, SUPPORT, LOOSE = 3, 4, 0.4
 BROADCAST_LEAVES = 500_000
 GAP = r"[ \t\x0B\f\r]+"
+LETTER = r"\p{L}"
 VARIABLE = r"[^ \t\n\x0B\f\r0-9]*[0-9][^ \t\n\x0B\f\r]*"
 
 
@@ -46,11 +48,11 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     merged = written(merged, "merged-lines")
     at = merged.select("leaf", "lh", "n", F.posexplode(F.split("line", " ")).alias("i", "token"))
     constant = at.groupBy("leaf", "i", "token").agg(F.sum("n").alias("_n")).where(F.col("_n") >= SUPPORT).drop("_n")
-    token = F.when(F.col("_c"), F.col("token")).otherwise("<*>")
+    token, free = F.when(F.col("_c"), F.col("token")).otherwise("<*>"), F.col("_c").isNull()
     shaped = at.join(constant.withColumn("_c", F.lit(True)), ["leaf", "i", "token"], "left").groupBy("leaf", "lh", "n")
-    shaped = shaped.agg(F.array_sort(F.collect_list(F.struct("i", token.alias("t")))).alias("_t")).withColumn("template", F.col("_t.t")).drop("_t")
-    free = F.size(F.filter("template", lambda t: t == "<*>"))
-    shaped = written(shaped.where(free <= F.size("template") * LOOSE).withColumn("template", F.array_join("template", " ")), "templates")
+    shaped = shaped.agg(F.array_sort(F.collect_list(F.struct("i", token.alias("t"), free.alias("free")))).alias("_t"))
+    said = F.exists("_t", lambda x: ~x["free"] & x["t"].rlike(LETTER)) & (F.size(F.filter("_t", lambda x: x["free"])) <= F.size("_t") * LOOSE)
+    shaped = written(shaped.where(said).select("leaf", "lh", "n", F.array_join("_t.t", " ").alias("template")), "templates")
     recurring = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("_n")).where(F.col("_n") >= SUPPORT).drop("_n")
     doomed = shaped.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "lh")
     gone = lines.join(doomed, ["leaf", "lh"], "left_semi").groupBy("rk").agg(F.collect_set("pos").alias("gone"))
@@ -77,9 +79,9 @@ ok AS (SELECT leaf FROM lf GROUP BY leaf HAVING count(DISTINCT th) >= {SUPPORT})
 m AS MATERIALIZED (SELECT leaf, line, count(DISTINCT th) AS n FROM lf SEMI JOIN ok USING (leaf) GROUP BY leaf, line),
 t AS MATERIALIZED (SELECT leaf, line, n, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS i FROM m),
 c AS (SELECT leaf, i, token FROM t GROUP BY leaf, i, token HAVING sum(n) >= {SUPPORT}),
-s AS (SELECT t.leaf, t.line, t.n, list(CASE WHEN c.token IS NULL THEN '<*>' ELSE t.token END ORDER BY t.i) AS tpl
+s AS (SELECT t.leaf, t.line, t.n, list(CASE WHEN c.token IS NULL THEN '<*>' ELSE t.token END ORDER BY t.i) AS tpl, count(*) FILTER (WHERE c.token IS NULL) AS free, bool_or(regexp_matches(coalesce(c.token, ''), '\p{{L}}')) AS said
       FROM t LEFT JOIN c ON t.leaf = c.leaf AND t.i = c.i AND t.token = c.token GROUP BY t.leaf, t.line, t.n),
-s2 AS (SELECT leaf, line, n, array_to_string(tpl, ' ') AS template FROM s WHERE len(list_filter(tpl, lambda x: x = '<*>')) <= len(tpl) * {LOOSE}),
+s2 AS (SELECT leaf, line, n, array_to_string(tpl, ' ') AS template FROM s WHERE said AND free <= len(tpl) * {LOOSE}),
 r AS (SELECT leaf, template FROM s2 GROUP BY leaf, template HAVING sum(n) >= {SUPPORT}),
 dm AS (SELECT leaf, line FROM s2 SEMI JOIN r USING (leaf, template)),
 g AS (SELECT rk, list(DISTINCT pos) AS gone FROM lf SEMI JOIN dm USING (leaf, line) GROUP BY rk)

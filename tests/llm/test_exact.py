@@ -128,6 +128,10 @@ def test_lines_odd(spark, odd_texts):
     logs = [(i, f"clean text number {'abcdefgh'[i]}\nuser {i}17 logged in from 10.0.0.{i} today") for i in range(6)]
     got = line_dedup.drop_templates(make(spark, logs)).collect()
     assert all(r.n_dropped >= 1 and "logged" not in r.kept for r in got)
+    letters = "abcdefgh"
+    pages = [(i, f"own text {letters[i] * 5}\nPage {i} of 12\nTel: 555-{i}100\nCopyright 20{i}4\n| {i} | {i}2 |\n{i}\n2024-01-0{i} 12:33:1{i} INFO started") for i in range(6)]
+    got = line_dedup.drop_templates(make(spark, pages)).collect()
+    assert all(r.kept == f"own text {letters[r.doc_id] * 5}\n| {r.doc_id} | {r.doc_id}2 |\n{r.doc_id}" for r in got)
 
 
 def test_mixing_odd(spark, odd_texts):
