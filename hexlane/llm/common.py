@@ -69,12 +69,12 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
 
 
 class KeyFilter:
-    """One-hash Bloom filter over 64-bit hashes: SPARSE bits a key, but at most 2**most bits (32 MB), so it may be broadcast.
+    """One-hash Bloom filter over 64-bit hashes: SPARSE bits a key, but at most 2**most bits (16 MB), so it may be broadcast.
 
     False positives only cost work: every user of the filter joins or counts exactly afterwards.
     """
 
-    def __init__(self, keys: DataFrame, column: str, most: int = 28):
+    def __init__(self, keys: DataFrame, column: str, most: int = 27):
         keys = written(keys.select(column), "filter-keys")
         bits = min(most, max(12, (SPARSE * keys.count()).bit_length()))
         slot = F.shiftrightunsigned(F.col(column), 64 - bits)
@@ -113,17 +113,16 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
             raise RuntimeError("components have not settled")
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
         near = written(both.groupBy("node").agg(F.least("node", F.min("to")).alias("next")), "pointers")
-        far = skew_join(near, near.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", "far")
+        far = near.join(near.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", "far")
         far = written(far, "pointers")
         pointers.append(far)
-        ends = skew_join(left, far.select(F.col("node").alias("a"), F.col("far").alias("x")), "a")
-        ends = ends.join(far.select(F.col("node").alias("b"), F.col("far").alias("y")), "b")  # b is the greater: seldom a hub
+        ends = left.join(far.select(F.col("node").alias("a"), F.col("far").alias("x")), "a").join(far.select(F.col("node").alias("b"), F.col("far").alias("y")), "b")
         left = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not pointers:
         return edges.sparkSession.createDataFrame([], edges.select(F.col(a).alias("node"), F.col(a).alias("component")).schema)
     root = pointers.pop()
     while pointers:
         onward = root.select(F.col("node").alias("far"), F.col("far").alias("root"))
-        root = written(skew_join(pointers.pop(), onward, "far", "left").select("node", F.coalesce("root", "far").alias("far")), "pointers")
+        root = written(pointers.pop().join(onward, "far", "left").select("node", F.coalesce("root", "far").alias("far")), "pointers")
     least = root.groupBy("far").agg(F.min("node.id").alias("component"))
-    return written(skew_join(root, least, "far").select(F.col("node.id").alias("node"), "component"), "components")
+    return written(root.join(least, "far").select(F.col("node.id").alias("node"), "component"), "components")
