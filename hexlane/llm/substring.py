@@ -4,7 +4,8 @@ Every window of `window` words is filed under one anchor: the least hash among i
 Equal windows have equal anchors, and neighbouring windows mostly share one, so a run holds about a tenth as many hashes as
 there are windows. A batch becomes an immutable run sorted by hash; it is merge-joined with each older run, and windows
 whose anchor occurs more than once are counted by a 96-bit fingerprint of the whole window. A window counted once cannot
-repeat, belongs to one document and is sent back there; all other candidates repeat. Runs are compacted as they add up.
+repeat, belongs to one document and is sent back there; all other candidates repeat. Runs are compacted by levels as they add
+up, and a manifest lets a later job open the index and go on.
 
 Nulls and edges: a null or empty text has no words; rows with equal doc_id and text are separate documents, so all their
 windows repeat; a null doc_id is kept; texts shorter than a window lose nothing; an empty table gives an empty result.
@@ -13,6 +14,7 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,20 +56,45 @@ def anchor_rows(window: int, anchor: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (h, n) in the shared folder, newest last; `repeated` gathers hashes seen more than once."""
+    """Sorted immutable runs (h, n) in the shared folder; `repeated` gathers hashes seen more than once.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT):
-        self.spark, self.window, self.anchor, self.fanout = spark, window, anchor, fanout
-        self.runs: list[str] = []
+    Runs are tiered: `fanout` runs of a level are merged into one of the next, so a hash is rewritten as often as there are
+    levels. Each append or merge adds a version to the manifest, a small table beside the runs, by which a later job opens
+    the index again; runs that a version no longer names stay for readers of older ones.
+    """
+
+    MANIFEST = "version int, kind string, level int, path string, window int, anchor int, fanout int"
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT, root: str | None = None):
+        self.spark, self.window, self.anchor, self.fanout = spark, window, anchor, max(2, fanout)
+        self.root, self.version = root or fresh_path(spark, "index"), 0
+        self.runs: list[tuple[int, str]] = []
         self.found: list[str] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index as its last version left it."""
+        versions = spark.read.schema(cls.MANIFEST).parquet(f"{root}/manifest")
+        last = versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).collect()  # a row a run
+        index = cls(spark, last[0]["window"], last[0]["anchor"], last[0]["fanout"], root)
+        index.version = last[0]["version"]
+        index.runs = sorted(((r["level"], r["path"]) for r in last if r["kind"] == "run"), key=lambda r: (-r[0], r[1]))
+        index.found = sorted(r["path"] for r in last if r["kind"] == "hits")
+        return index
+
     def _write(self, df: DataFrame, name: str) -> str:
-        path = fresh_path(self.spark, name)
+        path = f"{self.root}/{name}-{self.version + 1:06d}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         return path
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h long, n long").parquet(path)
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema("h long, n long").parquet(*paths)
+
+    def _commit(self) -> None:
+        self.version += 1
+        rows = [("run", level, path) for level, path in self.runs] + [("hits", 0, path) for path in self.found]
+        rows = [(self.version, kind, level, path, self.window, self.anchor, self.fanout) for kind, level, path in rows]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
     def append(self, docs: DataFrame) -> DataFrame:
         """Add a batch's run; return the hashes (h) that it repeats, of older runs or its own."""
@@ -75,23 +102,35 @@ class FingerprintIndex:
         run = self._write(counted.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "run")
         new = self._read(run)
         hits = new.where("n > 1").select("h")
-        for old in self.runs:
+        for _, old in self.runs:
             hits = hits.union(new.hint("merge").join(self._read(old), "h", "left_semi").select("h"))
-        self.runs.append(run)
-        self.found.append(self._write(hits.distinct().withColumn("n", F.lit(2).cast("long")), "hits"))
-        if len(self.runs) >= self.fanout:
-            self.compact()
-        return self._read(self.found[-1]).select("h")
+        self.runs.append((0, run))
+        hit = self._write(hits.distinct().withColumn("n", F.lit(2).cast("long")), "hits")
+        self.found.append(hit)
+        self._commit()
+        self.compact()
+        return self._read(hit).select("h")
 
     def compact(self) -> None:
-        """Merge all runs into one; readers of the old runs are not disturbed."""
-        if len(self.runs) > 1:
-            merged = self.spark.read.schema("h long, n long").parquet(*self.runs).groupBy("h").agg(F.sum("n").alias("n"))
-            self.runs = [self._write(merged.sortWithinPartitions("h"), "run")]
+        """Merge the runs of every level that has `fanout` of them, and hits of as many batches; old files stay for their readers."""
+        changed = False
+        level = 0
+        while level <= max((lv for lv, _ in self.runs), default=-1):
+            same = [path for lv, path in self.runs if lv == level]
+            if len(same) >= self.fanout:
+                merged = self._write(self._read(*same).groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "run")
+                self.runs = [r for r in self.runs if r[0] > level] + [(level + 1, merged)] + [r for r in self.runs if r[0] < level]
+                changed = True
+            level += 1
+        if len(self.found) > self.fanout:
+            self.found = [self._write(self._read(*self.found).select("h").distinct().withColumn("n", F.lit(2).cast("long")), "hits")]
+            changed = True
+        if changed:
+            self._commit()
 
     def repeated(self) -> DataFrame:
         """All hashes seen more than once in any batches so far."""
-        return self.spark.read.schema("h long, n long").parquet(*self.found).select("h")
+        return self._read(*self.found).select("h").distinct()
 
 
 def candidate_windows(window: int, anchor: int, known: KeyFilter):

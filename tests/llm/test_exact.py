@@ -59,12 +59,17 @@ def test_substring(spark, odd_texts):
 
 
 def test_substring_index_is_incremental(spark):
-    text = " ".join(f"t{i}" for i in range(60))
+    say = lambda n: " ".join(f"t{n}x{i}" for i in range(60))
     index = substring.FingerprintIndex(spark, fanout=2)
-    assert index.append(make(spark, [(1, text)])).count() == 0
-    assert index.append(make(spark, [(2, "x " + text)])).count() > 0
-    assert len(index.runs) == 1  # compacted
-    assert index.append(make(spark, [(3, "quite another text")])).count() == 0
+    assert index.append(make(spark, [(1, say(1))])).count() == 0
+    assert index.append(make(spark, [(2, "x " + say(1))])).count() > 0
+    assert [level for level, _ in index.runs] == [1]  # two runs merged
+    again = substring.FingerprintIndex.open(spark, index.root)  # a later job
+    assert (again.runs, again.found, again.version, again.fanout) == (index.runs, index.found, index.version, 2)
+    assert again.append(make(spark, [(3, say(3))])).count() == 0 and [level for level, _ in again.runs] == [1, 0]
+    assert again.append(make(spark, [(4, say(3)), (5, say(1))])).count() > 0 and [level for level, _ in again.runs] == [2]
+    assert again.repeated().count() > 0 and len(again.found) <= 2
+    assert again.append(make(spark, [(6, None)])).count() == 0
 
 
 @pytest.mark.parametrize(("k", "num", "den", "block"), [(4, 85, 100, 2000), (5, 80, 100, 2000), (4, 85, 100, 5)])
