@@ -72,18 +72,23 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens, topic, prob and kept."""
-    docs = described(docs)
+def drawn(docs: DataFrame) -> DataFrame:
+    """Described documents with prob and kept."""
     probs = raked(docs.select(*MARGINALS, "n_tokens")).select(*[F.col(m).alias(f"_{m}") for m in MARGINALS], "prob")
     on = [F.col(m) == F.col(f"_{m}") for m in MARGINALS]
     out = docs.join(probs, on, "left").withColumn("prob", F.coalesce("prob", F.lit(1.0)))
     return out.withColumn("kept", draw(F.col("doc_id")) < F.col("prob")).drop(*[f"_{m}" for m in MARGINALS])
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """docs with n_tokens, topic, prob and kept. Texts are described twice rather than copied."""
+    return drawn(described(docs))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its probability and whether it is drawn."""
-    return sample(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "topic", "prob", "kept")
+    docs = described(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", *MARGINALS)
+    return drawn(written(docs, "described")).select("doc_id", "n_tokens", "topic", "prob", "kept")
 
 
 def oracle() -> str:
