@@ -103,7 +103,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts[:] = [pack(parts)]
     for (lang, apart), parts in held.items():
         code, n = pack(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array([apart] * len(code)), pa.array(code), pa.array(n)], ["lang", "aside", "code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array([apart] * len(code), pa.bool_()), pa.array(code), pa.array(n)], ["lang", "aside", "code", "n"])
 
 
 def tail(code, order: int):
