@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage reads the columns of documents (others are dropped) and works on all rows that it is given. Nulls and edges: a null
+text, or one without a letter, goes with the first stage; a null lang never trains and a null source or lang is a value of its own
+for the mixing; null, repeated and shared doc_ids are told apart by content (equal rows of id and text are one group of the second
+stage, so one stays); empty and very long texts are whole documents; ties end with doc_id or a hash of the row; an empty table
+passes through all stages; where no document has a lang, the first stage rejects all.
+"""
 
 from __future__ import annotations
 

@@ -56,7 +56,7 @@ def source_of(rank: str) -> str:
 
 
 def main_block(wide: DataFrame) -> DataFrame:
-    """race, class_id, y_class, is_hit and 485 features: conditions, race statistics, each role's own values, ranks and gaps,
+    """race, class_id, y_class, is_hit and 495 features: conditions, race statistics, each role's own values, ranks and gaps,
     sums over the three, differences, gaps to the field, strict flags, and fit to the lane."""
     cols: dict[str, Column] = {c: F.col(c) for c in ("race_no", "weather_code", "wind_dir_code", "wind_speed_mps", "wave_cm")}
     cols["venue_code"] = F.col("venue").cast("double")
@@ -116,7 +116,7 @@ DIFFERED = (
 
 
 def pack_block(wide: DataFrame) -> DataFrame:
-    """race, class_id and 182 features less date, venue and combo: a lane's 31 values are computed once a race and lane."""
+    """race, class_id and 179 features (date, venue and combo aside): a lane's 31 values are computed once a race and lane."""
     lane_values: dict[str, list[Column]] = {name: lanes(values(m)) for name, m in PACKED.items()}
     lane_values |= {
         "lane": [F.lit(float(i)) for i in LANES], "lane_advantage": [F.lit(x) for x in ADVANTAGE], "inside_bias": [F.lit(x) for x in BIAS],
