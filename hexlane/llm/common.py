@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_dir, ship
 
 
-HEAVY, SPARSE = 10_000, 32
+HEAVY, SPARSE, FEW = 10_000, 32, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,19 +97,39 @@ class KeyFilter:
         released(self.table)
 
 
+def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, far): a node of its component for each node of FEW edges (a, b) at most."""
+    codes, ids = pd.factorize(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+    parent = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(codes[: len(pdf)].tolist(), codes[len(pdf) :].tolist(), strict=True):
+        parent[find(x)] = find(y)
+    return pd.DataFrame({"node": ids, "far": ids[[find(x) for x in range(len(ids))]]})
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the least node of each connected component of an undirected edge table.
 
     Contraction: each node points to the least of itself and its neighbours, in an order by hash, and on to where that
     one points; edges are then drawn between the nodes so reached. What has no edge left is finished and takes no part
-    in later rounds, so the rounds shrink. The pointers of all rounds are followed back to front at the end. Null nodes
-    and loops are left out. Each round is written out; raises if edges remain after the last.
+    in later rounds, so the rounds shrink; the last FEW edges are settled in one task. The pointers of all rounds are followed
+    back to front at the end. Null nodes and loops are left out. Each round is written out; raises if edges remain after the last.
     """
     ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     left = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null and _a <> _b")
     left = written(left.select(ranked("_a").alias("a"), ranked("_b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     pointers = []
-    while left.take(1):
+    while count := left.count():
+        if count <= FEW:
+            kind = edges.select(a).schema[0].dataType.simpleString()
+            last = left.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(0).alias("all")).groupBy("all").applyInPandas(settled, f"node {kind}, far {kind}")
+            pointers.append(written(last.select(ranked("node").alias("node"), ranked("far").alias("far")), "pointers"))
+            break
         if len(pointers) == rounds:
             raise RuntimeError("components have not settled")
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))

@@ -12,7 +12,7 @@ import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from hexlane.llm import ann, decontaminate, html_extract, jaccard_join, language_id, line_dedup, mixing, registry, sharding, substring, warc_zip
+from hexlane.llm import ann, common, decontaminate, html_extract, jaccard_join, language_id, line_dedup, mixing, registry, sharding, substring, warc_zip
 from hexlane.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, hub string"
@@ -99,9 +99,12 @@ def test_jaccard(spark, odd_texts, k, num, den, block, monkeypatch):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("few", "kind"), [(0, "long"), (20_000, "long"), (5, "string")])
+def test_components(spark, few, kind, monkeypatch):
+    monkeypatch.setattr(common, "FEW", few)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    df = spark.createDataFrame(edges, "a long, b long").select(*[F.lpad(F.col(c).cast("string"), 3, "0").alias(c) if kind == "string" else c for c in "ab"])
+    got = {int(r.node): int(r.component) for r in components(df, "a", "b").collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
