@@ -144,6 +144,7 @@ def v3_block(wide: DataFrame, metric: str) -> DataFrame:
     return with_means(wide, (metric,), spread=True).select("race", "class_id", *[c.alias(name) for name, c in triple_of(metric).items()])
 
 
+# fixed values: the weights and bounds of the formulas below
 def v3_scores(combos: DataFrame) -> DataFrame:
     """Push of the first, follow of the other two, and how level the three are."""
     ex, st = mean(values("exhibit")), mean(values("st"))
@@ -161,6 +162,7 @@ def v3_scores(combos: DataFrame) -> DataFrame:
     return combos.select("race", "class_id", push.alias("push"), follow.alias("follow"), level.alias("balance"))
 
 
+# fixed values: the weights and bounds of the formulas below
 def v2_scores(combos: DataFrame) -> DataFrame:
     """Strength, push and follow with falling metrics turned round; place_rate stands for ability where there is none."""
     three = lambda m: (at("a", m) + at("b", m) + at("c", m)) / 3.0
@@ -173,6 +175,7 @@ def v2_scores(combos: DataFrame) -> DataFrame:
     return combos.select("race", "class_id", strength.alias("strength"), push.alias("push"), follow.alias("follow"))
 
 
+# fixed values: the weights and bounds of the formulas below
 def binary_block(combos: DataFrame) -> DataFrame:
     """Inverted timings, course move, picks by role and four differences."""
     inv_st = lambda lane: F.least(F.greatest(0.3 - at(lane, "st"), F.lit(-1.0)), F.lit(1.0))

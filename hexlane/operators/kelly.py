@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from .scoring import by_race
 
+# fixed values: caps a bet and in all, share staked, steps and their size, outcomes a race, unit of a stake
 CAP, TOTAL, FRACTION, STEPS, RATE, TOP, UNIT, HALVINGS = 0.02, 0.05, 0.25, 200, 0.3, 30, 100, 60
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.panel import at
 
+# fixed values: softmax temperatures by venue code
 TEMPERATURES = {"15": 0.88, "02": 0.92, "16": 0.90, "12": 0.91}
 
 

@@ -38,6 +38,7 @@ ZONE = {
     "02": (10, (20, 1.05), (45, 1.12), (70, 1.10)),
     "default": (8, (15, 1.08), (30, 1.12), (50, 1.06)),
 }
+# fixed values: factor of the number of points by venue
 POINT_FACTOR = {"15": 0.82, "02": 1.08}
 
 
