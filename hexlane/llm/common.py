@@ -38,6 +38,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def byte_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of this many bytes and a thousand rows at most; the package goes along."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def released(share: Broadcast) -> None:
     """Free a broadcast value on all machines; nothing that still has to run may use it."""
     share.destroy()
