@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_dir
 from ..sources.tables import parquet
-from ..streaming import logs
-from .base import query
+from ..streaming import completion, logs, upsert
+from .base import RUNNERS, query, rd, rounded, runners
 
 
 def folder(spark) -> str:
@@ -49,3 +49,31 @@ def stream_dedupe(spark, d):
     """Repeated log rows of a user and kind within ten minutes dropped."""
     events = events_stream(spark, d).select("user_id", "event_type", F.col("at").alias("logged_at"))
     return logs.drain(logs.without_refreshes(events, ["user_id", "event_type"]), "append", folder(spark))
+
+
+def dealt_runners(spark, d):
+    """Runner rows dealt over six files by row, so that every race is cut, with some rows lost and some logged twice."""
+    rows = runners(spark, d).select("race", "lane", "motor", "win_rate", "finish", "date").where((F.col("race") * 7 + F.col("lane")) % 23 != 0)
+    rows = rows.unionByName(rows.where("motor % 10 = 3"))
+    path = f"{folder(spark)}/dealt"
+    rows.repartition(6, F.xxhash64("race", "lane")).write.option("maxRecordsPerFile", 0).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_complete_races", RUNNERS + """ , kept AS (SELECT race, lane, motor, win_rate, finish, date FROM runners WHERE (race * 7 + lane) % 23 <> 0)
+SELECT race, lane, motor, CAST(win_rate AS DOUBLE) AS win_rate, finish, date FROM kept WHERE race IN (SELECT race FROM kept GROUP BY race HAVING count(*) = 6)""")
+def stream_complete_races(spark, d):
+    """Races whose rows come in six batches, whole and once; the SQL is the batch filter."""
+    rows = dealt_runners(spark, d).withColumn("at", F.to_timestamp("date", "yyyyMMdd")).withWatermark("at", "3650 days")
+    stream = completion.complete_groups(rows, "race", "lane", 6, hold_ms=86_400_000, event_time="at")
+    return rounded(logs.drain(stream, "append", folder(spark)).drop("is_complete", "at"))
+
+
+@query("stream_upsert_results", RUNNERS + f""" , log AS (SELECT race, date, lane AS logged_at, motor, win_rate FROM runners WHERE (race * 7 + lane) % 23 <> 0)
+SELECT race, date, arg_max(motor, logged_at) AS motor, {rd('arg_max(win_rate, logged_at)', 'win_rate')} FROM log GROUP BY race, date""")
+def stream_upsert_results(spark, d):
+    """The last log row of each race, merged batch by batch into a versioned table by date; the SQL is the batch result."""
+    log = dealt_runners(spark, d).select("race", "date", F.col("lane").alias("logged_at"), "motor", "win_rate")
+    target = upsert.VersionedTable(spark, f"{folder(spark)}/results", log.schema, ["race", "date"], "logged_at", "date")
+    upsert.run(log, target, f"{folder(spark)}/checkpoint")
+    return rounded(target.read().drop("logged_at"))
