@@ -34,7 +34,7 @@ from .common import released, row_id, small_batches, table, written
 from .words import Words, slices
 
 FEATURE_BITS, HALF, PIECES, PIECE_WORDS = 18, 32, 50_000, 48
-RANK, SPARE, POWER, LOT, SKETCH_ROWS = 160, 8, 1, 100, 50_000
+RANK, SPARE, POWER, LOT, SKETCH_ROWS, SPLITS = 160, 8, 1, 100, 50_000, 40
 LCS, PARAPHRASE, LOOSE, POOL, SHARE, NEAR, PRESENT = 0.8, 0.6, 0.45, 0.35, 0.5, 0.8, 0.1
 PLAIN = np.arange(256, dtype=np.uint8)
 for _c in range(128):
@@ -275,7 +275,12 @@ def judge(share):
                 dot, norm = np.einsum("ij,ij->i", latent, m.latent[piece]), np.einsum("ij,ij->i", m.latent, m.latent)
                 there = norm[piece] >= PRESENT * m.total[piece]
                 candidate = there & (dot >= m.least[piece] * norm[piece])
-                cosine = dot / np.sqrt(np.maximum(norm[piece] * np.einsum("ij,ij->i", latent, latent), 1e-9))
+                length = norm[piece]
+                if m.last:
+                    # no space of fewer passages would hold more of them: what must be looked at is, by its plain cosine
+                    candidate |= sure
+                    length = np.where(there, length, m.total[piece])
+                cosine = dot / np.sqrt(np.maximum(length * np.einsum("ij,ij->i", latent, latent), 1e-9))
             for i in range(batch.num_rows):
                 if not candidate[i]:
                     if sure[i]:
@@ -323,13 +328,18 @@ def latent_space(passages: DataFrame, space: Space, count: int) -> Space:
 
 
 def lot_leaks(passages: DataFrame, index: Postings, low: int, high: int, squared: np.ndarray) -> list[DataFrame]:
-    """Leaks among passages of the pieces from low to high - 1."""
+    """Leaks among passages of the pieces from low to high - 1.
+
+    Passages that must be candidates but that a space has no room for get a space of fewer passages. That ends: RANK passages or
+    fewer fit whole into their space, where all of them are judged, as at SPLITS rounds; other rounds halve the rows, or deal
+    different rows in two.
+    """
     spark, found, rng = passages.sparkSession, [], np.random.default_rng(5)
     terms = np.unique(index.terms[index.first[low] : index.first[high]])
     weight = np.sqrt(squared[terms])
-    queue = [(passages, passages.count())]
+    queue = [(passages, passages.count(), 0)]
     while queue:
-        rows, count = queue.pop()
+        rows, count, depth = queue.pop()
         if not count:
             continue
         start = Space(terms, weight, rng.normal(size=(len(terms), min(RANK, len(terms)) + SPARE)))
@@ -337,7 +347,7 @@ def lot_leaks(passages: DataFrame, index: Postings, low: int, high: int, squared
         latent = space.products([index.terms[index.first[p] : index.first[p + 1]].astype(np.int32).tobytes() for p in range(low, high)])[3]
         total = index.total[low:high]
         share = spark.sparkContext.broadcast(SimpleNamespace(
-            space=space, latent=latent, total=total, low=low, words=index.words[low:high], items=index.items[low:high], least=np.minimum(SHARE, 0.9 * index.need[low:high] / total)
+            space=space, latent=latent, total=total, low=low, last=count <= RANK or depth >= SPLITS, words=index.words[low:high], items=index.items[low:high], least=np.minimum(SHARE, 0.9 * index.need[low:high] / total)
         ))
         judged = written(rows.mapInArrow(judge(share), f"{PASSAGE}, item_id long, cosine double, lcs double"), "judged-passages")
         released(share)
@@ -345,10 +355,13 @@ def lot_leaks(passages: DataFrame, index: Postings, low: int, high: int, squared
         left = judged.where("item_id is null").select(rows.columns)
         n = left.count()
         if 2 * n <= count:
-            queue.append((left, n))
+            queue.append((left, n, depth + 1))
         else:
-            parts = [left.where(F.pmod(F.xxhash64("rk", "piece", "terms", F.lit(count)), F.lit(2)) == i) for i in range(2)]
-            queue += [(p, p.count()) for p in parts]
+            different = ["rk", "piece", "terms", "region"]
+            half = F.pmod(F.xxhash64(*different, F.lit(depth)), F.lit(2))
+            left = written(left.dropDuplicates(different).withColumn("half", half), "split-passages")
+            parts = [left.where(F.col("half") == i).drop("half") for i in range(2)]
+            queue += [(p, p.count(), depth + 1) for p in parts]
     return found
 
 
