@@ -33,7 +33,7 @@ from .words import U, Words, mix, slices
 
 LONGEST, SUPPORT, TOP, COVER = 5, 100, 2000, 100
 BITS, DEPTH, CHUNK_BITS, FAN = 25, 2, 16, 64
-SLICE = 1 << 21
+SLICE = 1 << 20
 STOPS = np.zeros(256, bool)
 STOPS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 
@@ -98,10 +98,11 @@ def sketch(longest: int, support: int, bits: int):
             for first, to, data, offsets in slices(batch.column(1), SLICE):
                 lang, names = languages(batch.column(0)[first:to])
                 p = Phrases(data, offsets, lang)
-                key = np.concatenate([keys(p, k, p.starts(k), names) for k in range(1, longest + 1)])
-                for row in range(DEPTH):
-                    at, n = np.unique(slot(key, row, bits), return_counts=True)
-                    counters[row, at] = np.minimum(counters[row, at] + n, support)
+                for k in range(1, longest + 1):
+                    key = keys(p, k, p.starts(k), names)
+                    for row in range(DEPTH):
+                        at, n = np.unique(slot(key, row, bits), return_counts=True)
+                        counters[row, at] = np.minimum(counters[row, at] + n, support)
         part = TaskContext.get().partitionId()
         for row in range(DEPTH):
             for c in range(len(counters[row]) // chunk):
