@@ -40,6 +40,8 @@ ZONE = {
 }
 # fixed values: factor of the number of points by venue
 POINT_FACTOR = {"15": 0.82, "02": 1.08}
+# orders are by values of so many digits, so that the last bit of a sum doesn't decide
+DIGITS = 9
 
 
 def settings(spark: SparkSession, overlay: list[tuple] | None = TUNED, fixed_points: int | None = None) -> DataFrame:
@@ -122,6 +124,13 @@ def buy_score(df: DataFrame) -> DataFrame:
     return df.withColumn("buy_score", own(power * mix * zone_bonus(odds) * high_penalty(odds) * low_penalty(odds)))
 
 
+def point_factor() -> Column:
+    factor = F.lit(1.0)
+    for venue, f in POINT_FACTOR.items():
+        factor = F.when(F.col("venue") == venue, f).otherwise(factor)
+    return factor
+
+
 def dynamic_points(df: DataFrame) -> DataFrame:
     """Add entropy and points to all rows of a race: how many bets it deserves, by shortfalls of its leading candidates.
 
@@ -129,7 +138,7 @@ def dynamic_points(df: DataFrame) -> DataFrame:
     probabilities, as a share of what it could be.
     """
     w, p = by_race(), F.col("prob")
-    df = df.withColumn("_k", F.row_number().over(w.orderBy(F.desc("is_candidate"), F.desc("prob"), "class_id")))
+    df = df.withColumn("_k", F.row_number().over(w.orderBy(F.desc("is_candidate"), F.desc(F.round("prob", DIGITS)), "class_id")))
     top = lambda n: F.coalesce(F.sum(F.when(F.col("is_candidate") & (F.col("_k") <= n), p)).over(w), F.lit(0.0))
     df = df.withColumn("_s1", top(1)).withColumn("_s2", top(2)).withColumn("_s3", top(3)).withColumn("_s5", top(5)).withColumn("_s10", top(10))
     leading = F.col("is_candidate") & (F.col("_k") <= 10)
@@ -141,9 +150,7 @@ def dynamic_points(df: DataFrame) -> DataFrame:
     def short(limit: float, have: Column, weight: float) -> Column:
         return (limit - F.least(have, F.lit(limit))) / limit * weight
 
-    factor = F.lit(1.0)
-    for venue, f in POINT_FACTOR.items():
-        factor = F.when(F.col("venue") == venue, f).otherwise(factor)
+    factor = point_factor()
     t1, lo, hi = F.col("_s1"), F.col("min_points"), F.col("max_points")
     gap = F.greatest(F.lit(0.0), t1 - (F.col("_s2") - t1))
     need = short(0.12, t1, 0.42) + short(0.24, F.col("_s3"), 0.22) + short(0.36, F.col("_s5"), 0.14) + short(0.03, gap, 0.08) + F.col("entropy") * 0.28
@@ -164,11 +171,11 @@ def best_bets(df: DataFrame, conf: DataFrame, top_n: int = 12) -> DataFrame:
     w = by_race()
     df = dynamic_points(buy_score(with_settings(df.where("combo <> ''"), conf)))
     n = F.greatest(F.lit(3), F.least(F.lit(12), F.lit(top_n), F.col("points")))
-    order = (F.desc("buy_score"), F.desc("prob"), F.desc("ev"), "class_id")
+    order = (*[F.desc(F.round(c, DIGITS)) for c in ("buy_score", "prob", "ev")], "class_id")
     df = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc("is_candidate"), *order)))
     df = df.withColumn("_picked", F.col("is_candidate") & (F.col("_r") <= n)).withColumn("_have", F.sum(F.col("_picked").cast("int")).over(w))
     spare = ~F.col("_picked") & F.coalesce(F.col("odds") > 0, F.lit(False)) & (F.col("_have") > 0)
-    df = df.withColumn("_spare", spare).withColumn("_f", F.row_number().over(w.orderBy(F.desc("_spare"), F.desc("prob"), "class_id")))
+    df = df.withColumn("_spare", spare).withColumn("_f", F.row_number().over(w.orderBy(F.desc("_spare"), F.desc(F.round("prob", DIGITS)), "class_id")))
     fill = F.col("_spare") & (F.col("_f") <= n - F.col("_have"))
     df = df.withColumn("is_backfill", fill.cast("int")).where(F.col("_picked") | (F.col("is_backfill") == 1))
     df = df.withColumn("buy_score", F.when(F.col("is_backfill") == 1, F.col("prob")).otherwise(F.col("buy_score")))
@@ -219,5 +226,9 @@ def setting_score(df: DataFrame, bets: DataFrame) -> DataFrame:
         F.count("*").alias("races"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), share(F.col("hit") > 0).alias("hit_rate"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_points"),
         F.coalesce(F.try_divide(F.sum("back").cast("double"), F.sum("n") * 100.0), F.lit(0.0)).alias("roi"), *[share(F.col("at") <= k).alias(f"top{k}") for k in (1, 3, 5)],
     )
+    return with_score(out)
+
+
+def with_score(out: DataFrame) -> DataFrame:
     score = sum((F.col(c) * w for c, w in SCORE.items()), F.lit(0.0)) - F.greatest(F.col("avg_points") - PENALTY_FROM, F.lit(0.0)) * PENALTY
     return out.withColumn("score", score)

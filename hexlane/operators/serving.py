@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import GRADES, LANES, code_map
+from .scoring import by_race
 
 # fixed values: prefixes of the columns that a venue's trainer takes, and the names it never does
 PREFIXES = ("lane1_", "lane2_", "lane3_", "lane4_", "lane5_", "lane6_", "race_", "inside_", "outside_", "inside_outside_", "combo_", "weather_", "wind_", "wave_")
 EXCLUDED = frozenset(("date", "venue", "race_key", "race_no", "combo", "y_combo", "y_class"))
 
 
-def with_fallback(df: DataFrame, bets: DataFrame, top_n: int) -> DataFrame:
-    """race, class_id, rank, is_fallback: the bets, and for races without any the first top_n by rank_prob."""
-    rest = df.where(F.col("rank_prob") <= top_n).join(bets.select("race").distinct(), "race", "left_anti")
-    return bets.select("race", "class_id", "rank", F.lit(0).alias("is_fallback")).unionByName(rest.select("race", "class_id", F.col("rank_prob").alias("rank"), F.lit(1).alias("is_fallback")))
+def with_fallback(df: DataFrame, wanted: Column, order: list[Column], top_n: int) -> DataFrame:
+    """race, class_id, rank, is_fallback: of each race the first top_n wanted outcomes in an order; without any, the first top_n by rank_prob."""
+    w = by_race()
+    df = df.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
+    df = df.withColumn("_some", F.max("_wanted").over(w)).withColumn("_place", F.row_number().over(w.orderBy(F.desc("_wanted"), *order)))
+    own, spare = F.col("_wanted") & (F.col("_place") <= top_n), ~F.col("_some") & (F.col("rank_prob") <= top_n)
+    return df.where(own | spare).select("race", "class_id", F.when(F.col("_some"), F.col("_place")).otherwise(F.col("rank_prob")).alias("rank"), (~F.col("_some")).cast("int").alias("is_fallback"))
 
 
 def raw_score(table: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -102,8 +102,8 @@ scored AS MATERIALIZED (SELECT * EXCLUDE (n), CAST(round(odds * 100) AS BIGINT)
 
 VALUED = SCORED + """,
 v0 AS (SELECT *, CASE WHEN odds >= 1 THEN prob * odds END AS ev FROM scored),
-valued AS MATERIALIZED (SELECT *, ev - 1 AS edge, CASE WHEN ev IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY race ORDER BY ev DESC NULLS LAST, class_id) AS INTEGER) END AS ev_rank,
-  CAST(row_number() OVER (PARTITION BY race ORDER BY prob DESC, class_id) AS INTEGER) AS rank_prob FROM v0)"""
+valued AS MATERIALIZED (SELECT *, ev - 1 AS edge, CASE WHEN ev IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY race ORDER BY round(ev, 9) DESC NULLS LAST, class_id) AS INTEGER) END AS ev_rank,
+  CAST(row_number() OVER (PARTITION BY race ORDER BY round(prob, 9) DESC, class_id) AS INTEGER) AS rank_prob FROM v0)"""
 
 LOG = VALUED + """,
 l0 AS (SELECT *, CAST(rank_prob <= 5 AS INTEGER) AS is_selected, CAST(race % 12 + 1 AS INTEGER) AS race_no FROM valued),

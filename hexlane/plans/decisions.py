@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import kelly, selection
 from .base import VALUED, query, rd, rounded, valued
 from .relational import CONFIG
+from .relational import _values as tuple_values
 
 
 def s_steps(odds: str, table: dict, kind: str) -> str:
@@ -48,12 +49,17 @@ t5 AS (SELECT *, CASE WHEN t1 >= 0.10 AND s3 >= 0.23 THEN least(n0, 3) WHEN t1 >
 points AS (SELECT race, entropy, CAST(least(greatest(CASE WHEN entropy >= 0.88 AND t1 <= 0.05 THEN least(hi, n1 + 1) ELSE n1 END, 3), 12) AS INTEGER) AS points FROM t5)"""
 
 BETS = POINTS + """,
-k0 AS (SELECT *, row_number() OVER (PARTITION BY race ORDER BY buy_score DESC, prob DESC, ev DESC, class_id) AS r FROM cand),
+k0 AS (SELECT *, row_number() OVER (PARTITION BY race ORDER BY round(buy_score, 9) DESC, round(prob, 9) DESC, round(ev, 9) DESC, class_id) AS r FROM cand),
 k1 AS MATERIALIZED (SELECT k0.*, greatest(3, least(12, points)) AS final_n FROM k0 JOIN points USING (race) WHERE r <= greatest(3, least(12, points))),
 k2 AS (SELECT race, count(*) AS have, min(final_n) AS final_n FROM k1 GROUP BY race HAVING count(*) < min(final_n)),
-k3 AS (SELECT v.*, row_number() OVER (PARTITION BY race ORDER BY prob DESC, class_id) AS r, final_n - have AS miss FROM valued v JOIN k2 USING (race) WHERE odds > 0 AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.race = v.race AND k1.class_id = v.class_id)),
+k3 AS (SELECT v.*, row_number() OVER (PARTITION BY race ORDER BY round(prob, 9) DESC, class_id) AS r, final_n - have AS miss FROM valued v JOIN k2 USING (race) WHERE odds > 0 AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.race = v.race AND k1.class_id = v.class_id)),
 k4 AS (SELECT race, venue, class_id, combo, prob, odds, ev, buy_score, 0 AS is_backfill FROM k1 UNION ALL SELECT race, venue, class_id, combo, prob, odds, ev, prob, 1 FROM k3 WHERE r <= miss),
-bets AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY race ORDER BY buy_score DESC, prob DESC, ev DESC, class_id) AS INTEGER) AS rank FROM k4)"""
+bets AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY race ORDER BY round(buy_score, 9) DESC, round(prob, 9) DESC, round(ev, 9) DESC, class_id) AS INTEGER) AS rank FROM k4)"""
+
+
+def bets_sql(overlay: list[tuple]) -> str:
+    """BETS under another overlay; an empty one as a row of a venue that no race has."""
+    return BETS.replace(tuple_values(selection.TUNED), tuple_values(overlay or [("none", *selection.BASE[-1][1:])]))
 
 
 def bought(spark, d):

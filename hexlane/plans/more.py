@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..dims import LANES
-from ..operators import features, reports, scoring, selection, serving
+from ..operators import features, reports, serving
 from ..sources import web_text
 from ..sources.tables import parquet
-from .base import COMBOS, RUNNERS, VALUED, betting_log, combos, query, ranked, rd, rounded, runners, scored, valued
+from .base import COMBOS, RUNNERS, VALUED, betting_log, combos, query, ranked, rd, rounded, runners, valued
 
 _STATS = "avg_st nat_win nat_2 nat_3 loc_win loc_2 loc_3 motor_no motor_2 motor_3 boat_no boat_2 boat_3".split()
 
@@ -24,15 +22,12 @@ def stats_lines(spark, d):
     return parquet(spark, d, "supplier").select("s_suppkey", *web_text.statistics(text))
 
 
-@query("fallback_pick", VALUED + """ , few AS (SELECT race, class_id, CAST(row_number() OVER (PARTITION BY race ORDER BY ev DESC, class_id) AS INTEGER) AS rank FROM valued WHERE odds > 104 AND prob > 0.02),
-p AS (SELECT race, class_id, rank, 0 AS is_fallback FROM few WHERE rank <= 5 UNION ALL SELECT race, class_id, rank_prob, 1 FROM valued WHERE rank_prob <= 5 AND race NOT IN (SELECT race FROM few))
-SELECT race, class_id, rank, is_fallback FROM p""")
+@query("fallback_pick", VALUED + """ , w AS (SELECT race, class_id, rank_prob, ev, coalesce(odds > 104 AND prob > 0.02, false) AS wanted FROM valued),
+p AS (SELECT *, bool_or(wanted) OVER (PARTITION BY race) AS has, CAST(row_number() OVER (PARTITION BY race ORDER BY wanted DESC, round(ev, 9) DESC NULLS LAST, class_id) AS INTEGER) AS place FROM w)
+SELECT race, class_id, CASE WHEN has THEN place ELSE rank_prob END AS rank, CAST(NOT has AS INTEGER) AS is_fallback FROM p WHERE (wanted AND place <= 5) OR (NOT has AND rank_prob <= 5)""")
 def fallback_pick(spark, d):
     """The likeliest outcomes of races for which nothing is chosen."""
-    df = ranked(spark, d)
-    place = F.row_number().over(scoring.by_race().orderBy(F.desc("ev"), "class_id"))
-    bets = df.where("odds > 104 and prob > 0.02").withColumn("rank", place).where("rank <= 5").select("race", "class_id", "rank")
-    return serving.with_fallback(df, bets, 5)
+    return serving.with_fallback(ranked(spark, d), F.expr("odds > 104 and prob > 0.02"), [F.round("ev", 9).desc_nulls_last(), F.col("class_id")], 5)
 
 
 _RAW = {"motor": 0.4, "boat": 0.1, "st": 1.5, "exhibit": 0.8, "course": 0.2}
@@ -90,17 +85,6 @@ def worst_hits(spark, d):
     return rounded(got, 9)
 
 
-@query("setting_search")
-def setting_search(spark, d):
-    """Three seeded draws of the venues' settings, each run through the selection over all races and scored; tested against single runs."""
-    df = scoring.expected_value(scored(spark, d))
-    out = []
-    for trial, overlay in enumerate(selection.drawn_settings(3)):
-        bets = selection.best_bets(df, selection.settings(spark, overlay))
-        out.append(rounded(selection.setting_score(df, bets)).select(F.lit(trial).alias("trial"), "*"))
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
 @query("log_roi", VALUED + f""" , s AS (SELECT venue, race, sum(CASE WHEN rank_prob <= 5 THEN 100 ELSE 0 END) AS cost, sum(CASE WHEN rank_prob <= 5 AND is_hit = 1 THEN coalesce(payout, 0) ELSE 0 END) AS back FROM valued GROUP BY venue, race)
 SELECT venue, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(back) AS BIGINT) AS back, CASE WHEN sum(back) / CAST(sum(cost) AS DOUBLE) >= 1.2 THEN 'high' WHEN sum(back) / CAST(sum(cost) AS DOUBLE) >= 1.0 THEN 'plus' ELSE 'minus' END AS roi_band FROM s GROUP BY venue""")
 def log_roi(spark, d):

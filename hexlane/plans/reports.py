@@ -86,37 +86,6 @@ def event_counters(spark, d):
     return parquet(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.sum((F.col("value") > 50).cast("long")).alias("kept"), F.countDistinct("user_id").alias("users"))
 
 
-@query("strategy_score", LOG + f""" , cfg(k) AS (VALUES (1), (3), (5), (8), (12)),
-r AS (SELECT k, race, count(*) AS n, sum(is_hit) AS h, sum(CASE WHEN is_hit = 1 THEN coalesce(payout, 0) ELSE 0 END) AS back, max(CASE WHEN is_hit = 1 AND rank_prob <= 3 THEN 1 ELSE 0 END) AS t3, max(CASE WHEN is_hit = 1 AND rank_prob <= 5 THEN 1 ELSE 0 END) AS t5 FROM log, cfg WHERE rank_prob <= k GROUP BY k, race),
-a AS (SELECT k, sum(back) / (sum(n) * 100.0::DOUBLE) AS roi, avg(CAST(h AS DOUBLE)) AS hit, avg(CAST(t3 AS DOUBLE)) AS t3, avg(CAST(t5 AS DOUBLE)) AS t5, avg(CAST(n AS DOUBLE)) AS pts FROM r GROUP BY k)
-SELECT k, {rd('roi', 'roi')}, {rd('0.62 * roi + 0.18 * hit + 0.10 * t3 + 0.10 * t5 - 0.01 * greatest(0.0, pts - 10)', 'score')} FROM a""")
-def strategy_score(spark, d):
-    """A small grid of settings (points a race) tried on all races and scored."""
-    cfg = spark.createDataFrame([(k,) for k in (1, 3, 5, 8, 12)], "k int")
-    df = betting_log(spark, d).crossJoin(F.broadcast(cfg)).where("rank_prob <= k")
-    hit = lambda n: F.max(((F.col("is_hit") == 1) & (F.col("rank_prob") <= n)).cast("double"))
-    by_race = df.groupBy("k", "race").agg(F.count("*").cast("double").alias("n"), F.sum("is_hit").cast("double").alias("h"), F.sum(F.when(F.col("is_hit") == 1, F.coalesce("payout", F.lit(0))).otherwise(0)).cast("double").alias("back"), hit(3).alias("t3"), hit(5).alias("t5"))
-    a = by_race.groupBy("k").agg((F.sum("back") / (F.sum("n") * 100)).alias("roi"), F.avg("h").alias("hit"), F.avg("t3").alias("t3"), F.avg("t5").alias("t5"), F.avg("n").alias("pts"))
-    score = 0.62 * F.col("roi") + 0.18 * F.col("hit") + 0.10 * F.col("t3") + 0.10 * F.col("t5") - 0.01 * F.greatest(F.lit(0.0), F.col("pts") - 10)
-    return rounded(a.select("k", "roi", score.alias("score")))
-
-
-@query("weight_search", VALUED + f""" , cfg(k, w) AS (VALUES (1, 0.0), (2, 0.5), (3, 1.0)),
-x AS (SELECT k, race, is_hit, row_number() OVER (PARTITION BY k, race ORDER BY score * (1 - w) - (a * 100 + b * 10 + c) * w * 0.01, class_id) AS r FROM valued, cfg),
-y AS (SELECT k, avg(CAST(r <= 1 AS DOUBLE)) AS t1, avg(CAST(r <= 3 AS DOUBLE)) AS t3, avg(CAST(r <= 5 AS DOUBLE)) AS t5 FROM x WHERE is_hit = 1 GROUP BY k)
-SELECT k, {rd('3 * t1 + t3 + 0.4 * t5', 'score')} FROM y ORDER BY score DESC, k LIMIT 20""".replace("w * 0.01", "w::DOUBLE * 0.01::DOUBLE").replace("(1 - w)", "(1 - w::DOUBLE)"))
-def weight_search(spark, d):
-    """Settings of a blend of two scores, the best twenty by 3 top1 + top3 + 0.4 top5."""
-    from pyspark.sql import Window
-
-    cfg = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 1.0)], "k int, w double")
-    value = F.col("score") * (1 - F.col("w")) - (F.col("a") * 100 + F.col("b") * 10 + F.col("c")) * F.col("w") * 0.01
-    df = valued(spark, d).crossJoin(F.broadcast(cfg)).withColumn("v", value)
-    df = df.withColumn("r", F.row_number().over(Window.partitionBy("k", "race").orderBy("v", "class_id"))).where("is_hit = 1")
-    y = df.groupBy("k").agg(*[F.avg((F.col("r") <= n).cast("double")).alias(f"t{n}") for n in (1, 3, 5)])
-    return rounded(y.select("k", (3 * F.col("t1") + F.col("t3") + 0.4 * F.col("t5")).alias("score"))).orderBy(F.desc("score"), "k").limit(20)
-
-
 @query("log_races", LOG + " SELECT venue, date, CAST(count(*) AS BIGINT) AS n, CAST(sum(profit_yen) AS BIGINT) AS profit FROM log WHERE is_selected = 1 GROUP BY venue, date")
 def log_races(spark, d):
     return betting_log(spark, d).where("is_selected = 1").groupBy("venue", "date").agg(F.count("*").alias("n"), F.sum("profit_yen").alias("profit")).select("venue", "date", *as_long("n", "profit"))
