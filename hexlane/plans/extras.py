@@ -25,14 +25,6 @@ def weight_normalize(spark, d):
     return rounded(out.select("grp", "weight"))
 
 
-@query("feature_groups")
-def feature_groups(spark, d):
-    """Importance by inferred feature group; its groups are tested by name, so it has no SQL."""
-    names = ["lane1_motor", "first_boat", "a_exhibit", "x_avg_st", "win_rate", "quinella", "grade_num", "ability_index", "course_diff", "wind_code", "lane_sum", "combo_mean", "first_st"]
-    f = spark.createDataFrame([(models.feature_group(n), 1.0 / (i + 1)) for i, n in enumerate(names)], "grp string, importance double")
-    return rounded(f.groupBy("grp").agg(F.sum("importance").alias("total"), F.avg("importance").alias("mean"), F.count("*").alias("n")))
-
-
 @query("roi_simulation", LOG + f""" , t AS (SELECT venue, race, count(*) * 100 AS invest, sum(CASE WHEN is_hit = 1 THEN coalesce(payout, 0) * 100 // 100 ELSE 0 END) AS back FROM log WHERE rank_prob <= 3 GROUP BY venue, race)
 SELECT venue, count(*) AS races, CAST(sum(invest) AS BIGINT) AS invest, CAST(sum(back) AS BIGINT) AS back, count(*) FILTER (WHERE back > 0) AS hits, {rd('sum(back) / CAST(sum(invest) AS DOUBLE)', 'roi')} FROM t GROUP BY venue""")
 def roi_simulation(spark, d):
