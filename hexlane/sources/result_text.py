@@ -91,6 +91,36 @@ def payouts(secs: DataFrame) -> DataFrame:
     return rows.groupBy("file", "section", "race_no").agg(F.max_by("combo", "pos").alias("combo"), F.max_by("payout", "pos").alias("payout"))
 
 
+def payout_tables(lines: DataFrame, venues: dict[str, str]) -> DataFrame:
+    """date, venue, race_no, combo, payout, file from tables under [払戻金], with the venue and date of the lines before them.
+
+    A line that says ボートレース sets the venue if it names one of `venues` (names by code), a date anywhere in a line the date;
+    both hold to the end of the file only. A table is the lines after its mark while they are payouts; a line that is none but has
+    an R in it is passed over, an empty line or any other ends it, and lines inside it set nothing. Tables without a venue or date
+    are left out. Of a race that is there twice the last line of the last file counts.
+    """
+    text = narrow(F.col("line"))
+    bare = F.regexp_replace(text, r"[\s　]", "")
+    venue = None
+    for name in venues.values():
+        venue = F.when(bare.contains(name), name) if venue is None else venue.when(bare.contains(name), name)
+    row = r"^\s*(\d{1,2})R\s+([1-6]-[1-6]-[1-6])\s+([\d,]+)"
+    day = r"(\d{4})/\s*(\d{1,2})/\s*(\d{1,2})"
+    part = lambda p, i: F.regexp_extract(text, p, i)
+    out = lines.withColumn("_mark", F.col("line").contains("[払戻金]")).withColumn("_pay", text.rlike(row))
+    out = out.withColumn("_ends", ~F.col("_mark") & ~F.col("_pay") & ((bare == "") | ~text.contains("R")))
+    # a table is open from its mark to the first line that ends it
+    out = carried(out, ["file"], ["pos"], F.when(F.col("_mark"), F.lit(True)).when(F.col("_ends"), F.lit(False)), "_in")
+    inside = F.coalesce("_in", F.lit(False)) & ~F.col("_mark")
+    ymd = F.when(part(day, 1) != "", F.concat(part(day, 1), F.lpad(part(day, 2), 2, "0"), F.lpad(part(day, 3), 2, "0")))
+    out = carried(out, ["file"], ["pos"], F.when(~inside & F.col("line").contains("ボートレース"), venue), "venue")
+    out = carried(out, ["file"], ["pos"], F.when(~inside, ymd), "date")
+    rows = out.where(inside & F.col("_pay") & F.col("venue").isNotNull() & F.col("date").isNotNull())
+    rows = rows.select("date", "venue", part(row, 1).cast("int").alias("race_no"), part(row, 2).alias("combo"), F.regexp_replace(part(row, 3), ",", "").try_cast("long").alias("payout"), "file", "pos")
+    last = rows.groupBy("date", "venue", "race_no").agg(F.max_by(F.struct("combo", "payout", "file"), F.struct("file", "pos")).alias("x"))
+    return last.select("date", "venue", "race_no", "x.*")
+
+
 def race_blocks(secs: DataFrame) -> DataFrame:
     """file, section, race_no, start, stop: detail blocks at the first `nR … H…m` line of each race, up to the next block."""
     text = narrow(F.col("line"))
