@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, decisions, extras, features, learned, more, parsing, relational, reports, searches, streams  # noqa: F401
+from . import blocks, decisions, extras, features, learned, more, pages, parsing, relational, reports, searches, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
