@@ -77,3 +77,10 @@ def stream_upsert_results(spark, d):
     target = upsert.VersionedTable(spark, f"{folder(spark)}/results", log.schema, ["race", "date"], "logged_at", "date")
     upsert.run(log, target, f"{folder(spark)}/checkpoint")
     return rounded(target.read().drop("logged_at"))
+
+
+@query("stream_cache")
+def stream_cache(spark, d):
+    """Events that a cache of thirty minutes and at most 640 users would have had to fetch; tested against a plain cache."""
+    events = events_stream(spark, d).select("user_id", "at").withWatermark("at", "10 minutes")
+    return logs.drain(logs.bounded_cache(events, "user_id", "at", 1_800_000, 640), "append", folder(spark)).select(F.col("key").alias("user_id"), "at")

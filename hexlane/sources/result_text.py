@@ -6,7 +6,7 @@ non-null value over a file's lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import VENUES
@@ -82,12 +82,14 @@ def section_heads(secs: DataFrame) -> DataFrame:
     )
 
 
-def payouts(secs: DataFrame) -> DataFrame:
+def payouts(secs: DataFrame, seen: Observation | None = None) -> DataFrame:
     """file, section, race_no, combo, payout from the lines `nR a-b-c payout`; the last of a race counts."""
     text = narrow(F.col("line"))
     pattern = r"^\s*(\d{1,2})R\s+([1-6])\s*-\s*([1-6])\s*-\s*([1-6])\s+([\d,]+)"
     part = lambda i: F.regexp_extract(text, pattern, i)
     rows = secs.where(text.rlike(pattern)).select("file", "section", "pos", part(1).cast("int").alias("race_no"), F.concat_ws("-", part(2), part(3), part(4)).alias("combo"), F.regexp_replace(part(5), ",", "").try_cast("long").alias("payout"))
+    if seen is not None:
+        rows = rows.observe(seen, F.count("*").alias("payout_lines"), F.count_if(F.size(F.array_distinct(F.split("combo", "-"))) < 3).alias("invalid_labels"))
     return rows.groupBy("file", "section", "race_no").agg(F.max_by("combo", "pos").alias("combo"), F.max_by("payout", "pos").alias("payout"))
 
 
@@ -153,15 +155,33 @@ def runner_columns(line: Column) -> list[Column]:
     ]
 
 
-def runners(secs: DataFrame) -> DataFrame:
+def runners(secs: DataFrame, seen: Observation | None = None) -> DataFrame:
     """The first six runners of each block; races with fewer are left out."""
     blocks = race_blocks(secs)
     rows = secs.join(blocks, ["file", "section"]).where((F.col("pos") > F.col("start")) & (F.col("pos") < F.col("stop")) & narrow(F.col("line")).rlike(RUNNER))
     race = Window.partitionBy("file", "section", "race_no")
-    rows = rows.withColumn("_k", F.row_number().over(race.orderBy("pos"))).withColumn("_n", F.count("*").over(race)).where("_n >= 6 and _k <= 6")
+    rows = rows.withColumn("_k", F.row_number().over(race.orderBy("pos"))).withColumn("_n", F.count("*").over(race))
+    if seen is not None:
+        rows = rows.observe(seen, F.count_if(F.col("_k") == 1).alias("races"), F.count_if((F.col("_k") == 1) & (F.col("_n") < 6)).alias("short_races"))
+    rows = rows.where("_n >= 6 and _k <= 6")
     return rows.select("file", "section", "race_no", *runner_columns(F.col("line")))
 
 
+def counted_records(lines: DataFrame) -> tuple[DataFrame, dict[str, Observation]]:
+    """race_records with counters that any action on it fills, in the same pass: an observation each of lines, races and labels.
+
+    lines: files, lines, section marks and runner lines. races: block races with a runner, and those of them with fewer than six,
+    which are left out. labels: payout lines, and those whose combo isn't three different lanes; these stay in the records.
+    """
+    seen = {name: Observation(name) for name in ("lines", "races", "labels")}
+    # each is below an exchange that takes all rows, so that no join ends it early
+    text = narrow(F.col("line"))
+    lines = lines.observe(seen["lines"], F.count_if(F.col("pos") == 0).alias("files"), F.count("*").alias("lines"), F.count_if(F.col("line").rlike(r"^\s*\d{2}KBGN")).alias("section_marks"), F.count_if(text.rlike(RUNNER)).alias("runner_lines"))
+    secs = sections(lines)
+    out = runners(secs, seen["races"]).join(section_heads(secs), ["file", "section"])
+    return out.join(payouts(secs, seen["labels"]), ["file", "section", "race_no"], "left"), seen
+
+
 def race_records(lines: DataFrame) -> DataFrame:
     """All runners with their race's head and payout."""
     secs = sections(lines)

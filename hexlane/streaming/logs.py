@@ -45,6 +45,48 @@ def cached_values(stream: DataFrame, key: str, value: str, ttl_ms: int) -> DataF
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, {value} double", f"{value} double", "append", "ProcessingTimeTimeout")
 
 
+def bounded_cache(stream: DataFrame, key: str, at: str, ttl_ms: int, size: int, buckets: int = 64) -> DataFrame:
+    """Rows (key, at) that a cache would have had to fetch: whose key it doesn't hold, or holds for longer than ttl_ms of event time.
+
+    Keys are dealt to buckets by hash, each a cache of its own with room for size / buckets keys: a sweep after each row that makes
+    it larger drops what lapsed twice ttl_ms ago and then the oldest beyond the room, so state is bounded. A timer at twice ttl_ms
+    empties buckets that get no more rows. The stream must have a watermark on `at`; within a batch rows go by time, then key. Rows
+    without a key or time are left out.
+    """
+    room = max(1, size // buckets)
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    usable = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), F.col(at).alias("at"))
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        now, fetched = state.getCurrentWatermarkMs(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "key"], ignore_index=True)
+            ms = [int(t.timestamp() * 1000) for t in rows["at"].dt.tz_localize(zone, ambiguous=True, nonexistent="shift_forward")]
+            for i, (k, t) in enumerate(zip(rows["key"], ms, strict=True)):
+                now = max(now, t)
+                if k in held and t - held[k] <= ttl_ms:
+                    continue
+                held.pop(k, None)
+                held[k] = t  # last in the order of insertion, which is that of fetching
+                fetched.append(i)
+                if len(held) > room:
+                    held = {x: y for x, y in held.items() if t - y <= 2 * ttl_ms}
+                    for x in sorted(held, key=held.get)[: max(0, len(held) - room)]:
+                        del held[x]
+        held = {x: y for x, y in held.items() if now - y <= 2 * ttl_ms}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(max(held.values()) + 2 * ttl_ms, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        if fetched:
+            yield rows.loc[fetched, ["key", "at"]]
+
+    kind = stream.schema[key].dataType.simpleString()
+    return usable.groupBy("bucket").applyInPandasWithState(step, f"key {kind}, at timestamp", f"keys array<{kind}>, times array<long>", "append", "EventTimeTimeout")
+
+
 def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over what is there now and return its rows, which it writes below a fresh shared folder.
 

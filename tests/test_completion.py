@@ -118,3 +118,30 @@ def test_one_day_is_replaced_alone(spark, tmp_path):
     upsert.replace_parts(make([("d1", 9)]), path, "date")
     upsert.replace_parts(make([("d1", 9)]), path, "date")
     assert sorted((r.date, r.n) for r in spark.read.parquet(path).select("date", F.col("n")).collect()) == [("d1", 9), ("d2", 3)]
+
+
+def test_bounded_cache_is_a_plain_one(spark, tmp_path):
+    import datetime as dt
+
+    rng = random.Random(7)
+    start = dt.datetime(2025, 1, 1)
+    events = sorted((start + dt.timedelta(seconds=rng.randrange(7200)), rng.randrange(40)) for _ in range(600))
+    rows = [(None if k == 39 else k, 1, t, 0.0, "") for t, k in events]
+    stream = files(spark, tmp_path, [rows[i : i + 150] for i in range(0, 600, 150)]).withWatermark("at", "1 hour")
+    for buckets, size, n in ((1, 10, 0), (1, 1000, 1), (4, 20, 2)):
+        got = logs.drain(logs.bounded_cache(stream, "race", "at", 600_000, size, buckets), "append", f"file://{tmp_path}/out{n}").collect()
+        bucket = {r.k: r.b for r in spark.range(40).select(F.col("id").alias("k"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("b")).collect()}
+        held, want = {}, set()
+        for t, k in events:
+            if k == 39:
+                continue
+            own = held.setdefault(bucket[k], {})
+            if k in own and (t - own[k]).total_seconds() <= 600:
+                continue
+            own[k] = t
+            want.add((k, t))
+            if len(own) > size // buckets:
+                held[bucket[k]] = own = {x: y for x, y in own.items() if (t - y).total_seconds() <= 1200}
+                for x in sorted(own, key=own.get)[: max(0, len(own) - size // buckets)]:
+                    del own[x]
+        assert {(r.key, r.at) for r in got} == want and len(got) == len(want)
