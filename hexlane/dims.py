@@ -21,6 +21,11 @@ VENUES = {
 # fixed values: grades, weather and wind codes
 GRADES = {"A1": 4, "A2": 3, "B1": 2, "B2": 1}
 WEATHER = {"晴": 1, "晴れ": 1, "曇": 2, "曇り": 2, "くもり": 2, "雨": 3, "雪": 4, "霧": 5}
+# the weather codes of the four builders: training features, the binary model, the current race, the triple block
+WEATHER_TRAIN = {"晴": 1, "晴れ": 1, "曇": 2, "曇り": 2, "くもり": 2, "雨": 3, "雪": 4}
+WEATHER_MODEL = {"晴": 1, "晴れ": 1, "曇": 2, "曇り": 2, "雨": 3, "雪": 4}
+WEATHER_CURRENT = {"晴": 1, "晴れ": 1, "曇": 2, "くもり": 2, "雨": 3, "雪": 4}
+WEATHER_TRIPLE = {"晴れ": 1, "くもり": 2, "曇り": 2, "雨": 3, "雪": 4}
 WINDS = {"無風": 0, "北": 1, "北東": 2, "東": 3, "南東": 4, "南": 5, "南西": 6, "西": 7, "北西": 8}
 
 

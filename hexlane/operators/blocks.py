@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import LANES, WEATHER, WINDS, code_map
+from ..dims import LANES, WEATHER, WEATHER_MODEL, WINDS, code_map
 from ..sources.panel import at, expand
 from .features import ADVANTAGE, BIAS, lanes, mean, rank_in, std, triple_of, values, with_means
 
@@ -171,6 +171,96 @@ def triple_block(wide: DataFrame) -> DataFrame:
     return rows.select("race", "class_id", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in cols.items()])
 
 
+# fixed values: the metrics of the second block by the array they stand in, and those of which less is better
+SECOND = {"win_rate": "win_rate", "place_rate": "place_rate", "motor_rate": "motor", "boat_rate": "boat", "ability_index": "ability_index", "grade_num": "grade", "exhibit": "exhibit", "st": "st"}
+LESS = ("exhibit", "st")
+# fixed values: weights of the second block's scores
+STRENGTH = {"ability_index": 0.35, "win_rate": 0.20, "place_rate": 0.15, "motor_rate": 0.10, "boat_rate": 0.05}
+PUSH = {"ability_index": 0.35, "win_rate": 0.20, "place_rate": 0.10, "motor_rate": 0.10, "boat_rate": 0.05}
+FOLLOW = (("b", "ability_index", 0.30), ("c", "ability_index", 0.25), ("b", "place_rate", 0.20), ("c", "place_rate", 0.15))
+STRENGTH_LEAD, PUSH_LEAD, FOLLOW_LEAD = 0.75, 1.0, 0.5
+
+
+def second_block(wide: DataFrame) -> DataFrame:
+    """race, class_id and 90 features: of each of eight metrics the three's sum, mean, extremes, differences and leads over the race and
+    the other three (a lead is positive where less is better too), order flags, lanes, and three scores."""
+    rows = with_means(wide, tuple(set(SECOND.values())))
+    a, b, c = (F.col(x) for x in "abc")
+    cols: dict[str, Column] = {}
+    for m, array in SECOND.items():
+        f, s, t = (at(x, array).cast("double") for x in "abc")
+        sign = -1.0 if m in LESS else 1.0
+        total, high, low, race = f + s + t, F.greatest(f, s, t), F.least(f, s, t), F.col(f"mean_{array}")
+        cols |= {f"combo_sum_{m}_v2": total, f"combo_mean_{m}_v2": total / 3.0, f"combo_max_{m}_v2": high, f"combo_min_{m}_v2": low, f"combo_range_{m}_v2": high - low}
+        cols |= {f"combo_diff_first_second_{m}_v2": (f - s) * sign, f"combo_diff_first_third_{m}_v2": (f - t) * sign, f"combo_diff_second_third_{m}_v2": (s - t) * sign}
+        cols |= {f"combo_vs_race_{m}_adv_v2": (total / 3.0 - race) * sign, f"combo_vs_others_{m}_adv_v2": (total / 3.0 - (race * 6.0 - total) / 3.0) * sign}
+    cols |= {
+        "combo_forward_order_flag_v2": (a < b) & (b < c), "combo_reverse_order_flag_v2": (a > b) & (b > c), "combo_first_inner2_flag_v2": a <= 2, "combo_second_inner3_flag_v2": b <= 3, "combo_third_outer3_flag_v2": c >= 4,
+        "combo_lane_std_v2": std([a, b, c], sample=True), "combo_lane_mean_v2": (a + b + c) / 3.0,
+    }
+    total_of = lambda parts: sum(parts[1:], parts[0])
+    lead = lambda lane, m: F.col(f"mean_{m}") - at(lane, m)
+    cols["combo_strength_score_v2"] = total_of([cols[f"combo_mean_{m}_v2"] * w for m, w in STRENGTH.items()] + [cols[f"combo_vs_others_{m}_adv_v2"] * STRENGTH_LEAD for m in LESS])
+    cols["combo_first_push_score_v2"] = total_of([at("a", SECOND[m]).cast("double") * w for m, w in PUSH.items()] + [lead("a", m) * PUSH_LEAD for m in LESS])
+    cols["combo_follow_score_v2"] = total_of([at(x, SECOND[m]) * w for x, m, w in FOLLOW] + [lead(x, "st") * FOLLOW_LEAD for x in "bc"])
+    return rows.select("race", "class_id", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(n) for n, x in cols.items()])
+
+
+# fixed values: metrics of the binary model's block, whole numbers among them, and the bounds of its inverted timings
+BINARY = ("st", "exhibit", "course", "motor", "boat", "racer_no")
+WHOLE = ("course", "motor", "boat", "racer_no")
+INVERTED = {"st": (0.3, 1.0), "exhibit": (7.5, 2.0)}
+
+
+def inverted(x: Column, m: str) -> Column:
+    top, bound = INVERTED[m]
+    return F.least(F.greatest(top - x, F.lit(-bound)), F.lit(bound))
+
+
+def binary_features(wide: DataFrame) -> DataFrame:
+    """race, class_id and all 83 columns of the binary model's block: lanes of the combo, conditions, each lane's six values (missing
+    as 0), inverted timings and course move, each role's six values, and four differences. 80 of them are the model's features; its
+    trainer leaves the lanes of the combo out."""
+    safe = {m: F.array(*[F.coalesce(F.element_at(m, F.lit(i)).cast("double"), F.lit(0.0)) for i in LANES]).alias(f"_{m}") for m in BINARY}
+    coded = of_race(wide).withColumn("weather_code", F.coalesce(code_map(WEATHER_MODEL, F.col("weather")), F.lit(0)).cast("double"))
+    rows = expand(coded.select("race", "weather_code", "wind_dir_code", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("wind_speed_mps", "wave_cm")], *safe.values()))
+    cols: dict[str, Column] = {"combo_first_lane": F.col("a"), "combo_second_lane": F.col("b"), "combo_third_lane": F.col("c")}
+    cols |= {c: F.col(c) for c in ("wind_dir_code", "weather_code", "wind_speed_mps", "wave_cm")}
+    for i in LANES:
+        own = {m: F.element_at(f"_{m}", F.lit(i)) for m in BINARY}
+        cols |= {f"lane{i}_{m}": x for m, x in own.items()} | {f"lane{i}_{m}_inv": inverted(own[m], m) for m in INVERTED} | {f"lane{i}_course_diff": own["course"] - i}
+    for role, lane in ROLES.items():
+        cols |= {f"{role}_{m}": at(lane, f"_{m}") for m in BINARY}
+    cols |= {f"first_{role}_{m}_diff": at("a", f"_{m}") - at(lane, f"_{m}") for m in ("st", "exhibit") for role, lane in (("second", "b"), ("third", "c"))}
+    return rows.select("race", "class_id", *[x.cast("double").alias(n) for n, x in cols.items()])
+
+
+# fixed values: the metrics of the render block by the array they stand in: gaps to lane 1, inner against outer lanes, the first runner's own
+GAPS = ("win_rate", "place_rate", "ability_index", "prev_ability_index", "motor_rate", "boat_rate", "exhibit", "st", "avg_st")
+SIDES = ("ability_index", "prev_ability_index", "win_rate", "place_rate", "exhibit", "st", "avg_st")
+FIRSTS = (*GAPS, "grade_num")
+
+
+def render_features(wide: DataFrame) -> DataFrame:
+    """race, class_id and 84 features: place of the combo, each lane's gap to lane 1, inner and outer means, the first runner's own values.
+
+    Ranks of race means over all races aren't here: they are one number a race, and global_rank gives them.
+    """
+    source = lambda m: SECOND.get(m, m)
+    race: dict[str, Column] = {f"lane{i}_{m}_gap_from_lane1": F.element_at(source(m), F.lit(i)) - F.element_at(source(m), F.lit(1)) for m in GAPS for i in LANES if i > 1}
+    for m in SIDES:
+        inner, outer = mean(lanes(values(m), 1, 3)), mean(lanes(values(m), 4, 3))
+        race |= {f"inside_{m}_mean_v2": inner, f"outside_{m}_mean_v2": outer, f"inside_outside_{m}_gap_v2": inner - outer}
+    rows = expand(wide.select("race", *dict.fromkeys(source(m) for m in FIRSTS), *[x.cast("double").alias(n) for n, x in race.items()]))
+    a, b, c = (F.col(x) for x in "abc")
+    cols = {
+        "combo_first_lane": a, "combo_second_lane": b, "combo_third_lane": c, "combo_first_inside_flag": a <= 2, "combo_first_center_flag": a.between(3, 4), "combo_first_outside_flag": a >= 5,
+        "combo_lane_sum": a + b + c, "combo_lane_range": F.greatest(a, b, c) - F.least(a, b, c),
+    }
+    cols |= {n: F.col(n) for n in race} | {f"combo_first_{m}": at("a", source(m)) for m in FIRSTS}
+    return rows.select("race", "class_id", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(n) for n, x in cols.items()])
+
+
 def by_outcome(block: DataFrame) -> DataFrame:
     """Mean of every feature by outcome over all races: a digest of a wide block."""
     features = [c for c in block.columns if c not in ("race", "class_id")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import GRADES, LANES, code_map
+from ..dims import GRADES, LANES, code_map, outcomes
 from .scoring import by_race
 
 # fixed values: prefixes of the columns that a venue's trainer takes, and the names it never does
@@ -56,3 +56,64 @@ def prerace_filled(entries: DataFrame, info: DataFrame, columns: tuple[str, ...]
     empty = lambda c: F.coalesce(F.col(c) == 0, F.lit(True))
     filled = {c: F.coalesce(F.when(empty(c) & ~empty(f"_{c}"), F.col(f"_{c}")).otherwise(F.col(c)), F.lit(0)) for c in columns}
     return joined.select(*[filled[c].cast(entries.schema[c].dataType).alias(c) if c in filled else c for c in entries.columns])
+
+
+# fixed values: names under which an entry's columns come, in order of preference
+ENTRY_NAMES = {
+    "lane": ("lane", "艇番", "枠"), "racer_no": ("racer_no", "register_no", "登番", "登録番号"), "motor": ("motor", "motor_no", "モーター", "モーター番号"), "boat": ("boat", "boat_no", "ボート", "ボート番号"),
+    "exhibit": ("exhibit", "tenji_time", "展示タイム"), "st": ("st", "avg_st", "ST", "平均ST", "start_timing"), "course": ("course", "進入", "course_no"),
+}
+TIMES = ("exhibit", "st")
+
+
+def picked(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of the columns, in order, whose text isn't empty; null where there is none."""
+    found = [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in names if n in df.columns]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def serving_rows(entries: DataFrame, before: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The rows that a scorer is given: 120 a race, with race_key, date, venue, venue_code, race_no, combo and its three lanes, the
+    conditions, and boat, course, exhibit, motor, racer_no and st of all six lanes.
+
+    entries (race and a column under any of ENTRY_NAMES) are one row a lane, the first by pos if a lane is there twice; what they lack
+    is filled from before (race, lane, exhibit, st, course), a course that neither has is the lane, other numbers 0. conditions has
+    race, date, venue, venue_code, race_no, weather, wind_dir, wind_speed_mps, wave_cm. Races without six lanes give no rows.
+    """
+    text = {n: picked(entries, names) for n, names in ENTRY_NAMES.items()}
+    kind = lambda n: "double" if n in TIMES else "int"
+    own = entries.select("race", "pos", *[(c.try_cast("double").cast("int") if kind(n) == "int" else c.try_cast("double")).alias(n) for n, c in text.items()]).where("lane between 1 and 6")
+    first = own.groupBy("race", "lane").agg(F.min_by(F.struct("racer_no", "motor", "boat", "exhibit", "st", "course"), "pos").alias("e")).select("race", "lane", "e.*")
+    page = before.select("race", "lane", *[F.col(c).alias(f"_{c}") for c in ("exhibit", "st", "course")])
+    rows = first.join(page, ["race", "lane"], "left").select(
+        "race", "lane", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("racer_no", "motor", "boat")], *[F.coalesce(c, f"_{c}", F.lit(0.0)).alias(c) for c in TIMES], F.coalesce("course", "_course", "lane").cast("int").alias("course")
+    )
+    fields = ("boat", "course", "exhibit", "motor", "racer_no", "st")
+    wide = rows.groupBy("race").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("lane") == i, F.col(c))).alias(f"lane{i}_{c}") for i in LANES for c in fields]).where("_n = 6").drop("_n")
+    head = conditions.select(
+        "race", F.concat_ws("_", "venue", "date", F.col("race_no").cast("string")).alias("race_key"), "date", "venue", "venue_code", "race_no",
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("wave_cm", "wind_speed_mps")], *[F.coalesce(c, F.lit("")).alias(c) for c in ("weather", "wind_dir")],
+    )
+    dims = outcomes(entries.sparkSession).select("class_id", "combo", F.col("a").alias("combo_first_lane"), F.col("b").alias("combo_second_lane"), F.col("c").alias("combo_third_lane"))
+    return head.join(wide, "race").crossJoin(F.broadcast(dims))
+
+
+def lane_stats_filled(entries: DataFrame, stats: DataFrame, numbers: tuple[str, ...] = ("motor", "boat"), rates: tuple[str, ...] = ("win_rate", "place_rate")) -> DataFrame:
+    """Entries (race, lane) with the statistics of their lane: numbers where their own are missing or 0, rates always, if there is such a lane."""
+    page = stats.select("race", "lane", F.lit(True).alias("_found"), *[F.col(c).alias(f"_{c}") for c in (*numbers, *rates)])
+    joined = entries.join(page, ["race", "lane"], "left")
+    put = {c: F.when(F.coalesce(F.col(c) == 0, F.lit(True)), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in numbers}
+    put |= {c: F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c)) for c in rates}
+    return joined.select(*[put[c].alias(c) if c in put else c for c in entries.columns])
+
+
+def first_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """The first rows in an order; each task keeps so many at most, so nothing is sorted whole."""
+    return df.orderBy(*order).limit(rows)
+
+
+def first_races(df: DataFrame, races: int) -> DataFrame:
+    """All rows of the first races by number: only the numbers are sorted, so many at most in a task."""
+    few = df.select("race").distinct().orderBy("race").limit(races)
+    last = few.agg(F.max("race").alias("_last"))
+    return df.join(F.broadcast(last), F.col("race") <= F.col("_last"), "left_semi")  # one row

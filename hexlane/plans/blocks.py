@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..dims import LANES, WEATHER, WINDS
+from ..dims import LANES, WEATHER, WEATHER_MODEL, WINDS
 from ..operators import blocks
 from ..sources import panel
 from .base import RUNNERS, query, rounded, runners
@@ -137,6 +137,45 @@ def triple_columns() -> dict[str, str]:
     return out | {"wind_st_pressure_v3": f"wind_speed_mps * {of3('st')}", "wave_exhibit_pressure_v3": f"wave_cm * {of3('exhibit')}"}
 
 
+def second_columns() -> dict[str, str]:
+    of = {"win_rate": "win_rate", "place_rate": "place_rate", "motor_rate": "motor", "boat_rate": "boat", "ability_index": "ability_index", "grade_num": "grade", "exhibit": "exhibit", "st": "st"}
+    out = {}
+    for n, m in of.items():
+        three, s, g = f"[{m}[a], {m}[b], {m}[c]]", f"({m}[a] + {m}[b] + {m}[c])", "-1" if n in ("exhibit", "st") else "1"
+        out |= {f"combo_sum_{n}_v2": s, f"combo_mean_{n}_v2": f"{s} / 3.0", f"combo_max_{n}_v2": f"list_max({three})", f"combo_min_{n}_v2": f"list_min({three})", f"combo_range_{n}_v2": f"list_max({three}) - list_min({three})"}
+        out |= {f"combo_diff_{p}_{n}_v2": f"{g} * ({m}[{x}] - {m}[{y}])" for p, x, y in (("first_second", "a", "b"), ("first_third", "a", "c"), ("second_third", "b", "c"))}
+        out |= {f"combo_vs_race_{n}_adv_v2": f"{g} * ({s} / 3.0 - {s_mean(m)})", f"combo_vs_others_{n}_adv_v2": f"{g} * ({s} / 3.0 - (list_sum({m}) - {s}) / 3.0)"}
+    out |= {"combo_forward_order_flag_v2": "a < b AND b < c", "combo_reverse_order_flag_v2": "a > b AND b > c", "combo_first_inner2_flag_v2": "a IN (1, 2)", "combo_second_inner3_flag_v2": "b IN (1, 2, 3)", "combo_third_outer3_flag_v2": "c IN (4, 5, 6)"}
+    out |= {"combo_lane_std_v2": s_std("[a, b, c]", 3, 1), "combo_lane_mean_v2": "(a + b + c) / 3.0"}
+    mean3 = lambda m: f"(({m}[a] + {m}[b] + {m}[c]) / 3.0)"
+    others = lambda m: f"((list_sum({m}) - {m}[a] - {m}[b] - {m}[c]) / 3.0 - {mean3(m)})"
+    out["combo_strength_score_v2"] = f"{mean3('ability_index')} * 0.35 + {mean3('win_rate')} * 0.20 + {mean3('place_rate')} * 0.15 + {mean3('motor')} * 0.10 + {mean3('boat')} * 0.05 + {others('exhibit')} * 10.0 * 0.075 + {others('st')} * 10.0 * 0.075"
+    out["combo_first_push_score_v2"] = f"ability_index[a] * 0.35 + win_rate[a] * 0.20 + place_rate[a] * 0.10 + motor[a] * 0.10 + boat[a] * 0.05 + ({s_mean('st')} - st[a]) * 10.0 * 0.10 + ({s_mean('exhibit')} - exhibit[a]) * 10.0 * 0.10"
+    out["combo_follow_score_v2"] = f"ability_index[b] * 0.30 + ability_index[c] * 0.25 + place_rate[b] * 0.20 + place_rate[c] * 0.15 + ({s_mean('st')} - st[b]) * 10.0 * 0.05 + ({s_mean('st')} - st[c]) * 10.0 * 0.05"
+    return out
+
+
+def binary_columns() -> dict[str, str]:
+    metrics = ("st", "exhibit", "course", "motor", "boat", "racer_no")
+    out = {"combo_first_lane": "a", "combo_second_lane": "b", "combo_third_lane": "c", "wind_dir_code": "wind_dir_code", "weather_code": sql_case(WEATHER_MODEL, f"({_WEATHER})[race % {len(WEATHER)} + 1]"), "wind_speed_mps": "wind_speed_mps", "wave_cm": "wave_cm"}
+    for i in LANES:
+        out |= {f"lane{i}_{m}": f"{m}[{i}]" for m in metrics} | {f"lane{i}_st_inv": f"least(greatest(0.3 - st[{i}], -1.0), 1.0)", f"lane{i}_exhibit_inv": f"least(greatest(7.5 - exhibit[{i}], -2.0), 2.0)", f"lane{i}_course_diff": f"course[{i}] - {i}"}
+    for r, x in (("first", "a"), ("second", "b"), ("third", "c")):
+        out |= {f"{r}_{m}": f"{m}[{x}]" for m in metrics}
+    return out | {f"first_{r}_{m}_diff": f"{m}[a] - {m}[{x}]" for m in ("st", "exhibit") for r, x in (("second", "b"), ("third", "c"))}
+
+
+def render_columns() -> dict[str, str]:
+    array = lambda m: {"motor_rate": "motor", "boat_rate": "boat", "grade_num": "grade"}.get(m, m)
+    gaps = "win_rate place_rate ability_index prev_ability_index motor_rate boat_rate exhibit st avg_st".split()
+    out = {"combo_first_lane": "a", "combo_second_lane": "b", "combo_third_lane": "c", "combo_first_inside_flag": "a <= 2", "combo_first_center_flag": "a IN (3, 4)", "combo_first_outside_flag": "a >= 5", "combo_lane_sum": "a + b + c", "combo_lane_range": "greatest(a, b, c) - least(a, b, c)"}
+    out |= {f"lane{i}_{m}_gap_from_lane1": f"{array(m)}[{i}] - {array(m)}[1]" for m in gaps for i in range(2, 7)}
+    for m in "ability_index prev_ability_index win_rate place_rate exhibit st avg_st".split():
+        inner, outer = f"list_sum({m}[1:3]) / 3.0", f"list_sum({m}[4:6]) / 3.0"
+        out |= {f"inside_{m}_mean_v2": inner, f"outside_{m}_mean_v2": outer, f"inside_outside_{m}_gap_v2": f"{inner} - {outer}"}
+    return out | {f"combo_first_{m}": f"{array(m)}[a]" for m in (*gaps, "grade_num")}
+
+
 PART = 90  # columns of a query, so that each stage of it is compiled as one
 _MAIN = list(main_columns().items())
 
@@ -163,3 +202,21 @@ def pack_block(spark, d):
 def triple_block(spark, d):
     """The triple block of all races, as means by outcome."""
     return rounded(blocks.by_outcome(blocks.triple_block(races(spark, d))))
+
+
+@query("second_block", digest(second_columns()))
+def second_block(spark, d):
+    """The second block of all races, as means by outcome."""
+    return rounded(blocks.by_outcome(blocks.second_block(races(spark, d))))
+
+
+@query("binary_features", digest(binary_columns()))
+def binary_features(spark, d):
+    """The binary model's whole block of all races, as means by outcome."""
+    return rounded(blocks.by_outcome(blocks.binary_features(races(spark, d))))
+
+
+@query("render_features", digest(render_columns()))
+def render_features(spark, d):
+    """The render block of all races, as means by outcome."""
+    return rounded(blocks.by_outcome(blocks.render_features(races(spark, d))))
