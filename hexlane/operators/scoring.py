@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dims import LANES
 from ..sources.panel import at
 
 # ranks are by values of so many digits, so that the last bit of a sum doesn't decide
@@ -17,15 +21,32 @@ def by_race() -> Window:
     return Window.partitionBy("race")
 
 
-def linear_score() -> Column:
+def linear_score(pick: Callable[[str, str], Column] = at) -> Column:
     """A fixed linear scorer over the three runners of an outcome; any trained scorer may stand in its place."""
     return (
-        at("a", "win_rate") * 0.05 + at("b", "win_rate") * 0.03 + at("c", "win_rate") * 0.02
-        + at("a", "place_rate") * 10.0 + at("b", "place_rate") * 6.0 + at("c", "place_rate") * 3.0
-        - at("a", "st") * 8.0 - at("b", "st") * 4.0 - at("c", "st") * 2.0
+        pick("a", "win_rate") * 0.05 + pick("b", "win_rate") * 0.03 + pick("c", "win_rate") * 0.02
+        + pick("a", "place_rate") * 10.0 + pick("b", "place_rate") * 6.0 + pick("c", "place_rate") * 3.0
+        - pick("a", "st") * 8.0 - pick("b", "st") * 4.0 - pick("c", "st") * 2.0
     )
 
 
+def with_softmax_parts(races: DataFrame, score: Callable[[Callable[[str, str], Column]], Column], temperature: Column) -> DataFrame:
+    """Races with _max and _sum, the largest score of their outcomes and the sum of exp((score - _max) / t), in one pass over the outcomes.
+
+    On the race's row they cost no window: the 120 rows that follow need neither a sort nor a second look. The sum is carried
+    on when a larger score comes up, so each outcome is scored once and nothing overflows.
+    """
+    lanes = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("abc", o, strict=True)]) for o in permutations(LANES, 3)])
+
+    def step(acc: Column, x: Column) -> Column:
+        most = F.greatest(acc["m"], x)
+        return F.struct(most.alias("m"), (acc["s"] * F.exp((acc["m"] - most) / temperature) + F.exp((x - most) / temperature)).alias("s"))
+
+    scores = F.transform(lanes, lambda o: score(lambda lane, metric: F.element_at(F.col(metric), o[lane])))
+    folded = F.reduce(scores, F.struct(F.lit(-1e300).alias("m"), F.lit(0.0).alias("s")), step)
+    return races.withColumn("_fold", folded).select("*", F.col("_fold.m").alias("_max"), F.col("_fold.s").alias("_sum")).drop("_fold")
+
+
 def softmax(df: DataFrame, score: str = "score", out: str = "prob", temperature: Column | float = 1.0) -> DataFrame:
     """exp((x - max) / t) over its sum in the race."""
     t = temperature if isinstance(temperature, Column) else F.lit(temperature)

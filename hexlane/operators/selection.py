@@ -162,6 +162,19 @@ def dynamic_points(df: DataFrame) -> DataFrame:
     return df.withColumn("points", F.least(F.greatest(n, F.lit(3)), F.lit(12))).drop("_k", "_s1", "_s2", "_s3", "_s5", "_s10", "_h", "_n", "_p")
 
 
+def leading(df: DataFrame, most: int = 12) -> DataFrame:
+    """The rows of each race that a selection of `most` bets can come to: its candidates, and as many again as may be filled up.
+
+    Bets are candidates or, in order of probability, priced outcomes that aren't picked; so twice `most` of these suffice.
+    """
+    w = by_race()
+    odds = F.coalesce(F.col("odds") > 0, F.lit(False))
+    priced = odds & F.coalesce(F.col("ev") > 0, F.lit(False))
+    likely = priced & (F.col("prob") >= F.col("min_prob"))
+    df = df.withColumn("_place", F.row_number().over(w.orderBy(F.desc(odds), F.desc(F.round("prob", DIGITS)), "class_id"))).withColumn("_any", F.max(likely).over(w))
+    return df.where((odds & (F.col("_place") <= 2 * most)) | likely | (priced & ~F.col("_any"))).drop("_place", "_any")
+
+
 def best_bets(df: DataFrame, conf: DataFrame, top_n: int = 12) -> DataFrame:
     """Chosen outcomes of each race with their rank.
 
@@ -169,7 +182,7 @@ def best_bets(df: DataFrame, conf: DataFrame, top_n: int = 12) -> DataFrame:
     outcomes, whose score is their probability, and all are sorted once more (so a filled row may lead).
     """
     w = by_race()
-    df = dynamic_points(buy_score(with_settings(df.where("combo <> ''"), conf)))
+    df = dynamic_points(buy_score(leading(with_settings(df.where("combo <> ''"), conf))))
     n = F.greatest(F.lit(3), F.least(F.lit(12), F.lit(top_n), F.col("points")))
     order = (*[F.desc(F.round(c, DIGITS)) for c in ("buy_score", "prob", "ev")], "class_id")
     df = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc("is_candidate"), *order)))

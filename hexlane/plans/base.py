@@ -46,9 +46,11 @@ def combos(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """race, date, venue, class_id, combo, a, b, c, is_hit, score, prob, odds, payout."""
-    df = panel.labelled(combos(spark, d)).withColumn("score", scoring.linear_score())
-    df = df.select("race", "date", "venue", "class_id", "combo", "a", "b", "c", "is_hit", "score")
-    df = scoring.softmax(df, temperature=scoring.venue_temperature())
+    t = scoring.venue_temperature()
+    wide = scoring.with_softmax_parts(races(spark, d), scoring.linear_score, t)
+    df = panel.labelled(panel.expand(wide)).withColumn("score", scoring.linear_score())
+    df = df.withColumn("prob", F.exp((F.col("score") - F.col("_max")) / t) / F.col("_sum"))
+    df = df.select("race", "date", "venue", "class_id", "combo", "a", "b", "c", "is_hit", "score", "prob")
     return df.withColumn("odds", scoring.synthetic_odds()).withColumn("payout", F.round(F.col("odds") * 100).cast("long"))
 
 
