@@ -59,12 +59,12 @@ def settings(spark: SparkSession, overlay: list[tuple] | None = TUNED, fixed_poi
     return out.withColumn("max_points", F.greatest(F.least(F.greatest(high, F.lit(3)), F.lit(12)), low)).withColumn("min_points", low)
 
 
-def with_settings(df: DataFrame, conf: DataFrame) -> DataFrame:
+def with_settings(df: DataFrame, conf: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Add the settings of each row's venue, or the default's; conf is a few rows."""
-    own = conf.select("venue", *[F.col(f).alias(f"own_{f}") for f in FIELDS])
-    other = conf.where("venue = 'default'").select(*[F.col(f).alias(f"any_{f}") for f in FIELDS])
+    own = conf.select("venue", *[F.col(f).alias(f"own_{f}") for f in fields])
+    other = conf.where("venue = 'default'").select(*[F.col(f).alias(f"any_{f}") for f in fields])
     df = df.join(F.broadcast(own), "venue", "left").crossJoin(F.broadcast(other))
-    return df.select(*[c for c in df.columns if not c.startswith(("own_", "any_"))], *[F.coalesce(f"own_{f}", f"any_{f}").alias(f) for f in FIELDS])
+    return df.select(*[c for c in df.columns if not c.startswith(("own_", "any_"))], *[F.coalesce(f"own_{f}", f"any_{f}").alias(f) for f in fields])
 
 
 def _by_venue(build) -> Column:
@@ -182,7 +182,8 @@ def best_bets(df: DataFrame, conf: DataFrame, top_n: int = 12) -> DataFrame:
     outcomes, whose score is their probability, and all are sorted once more (so a filled row may lead).
     """
     w = by_race()
-    df = dynamic_points(buy_score(leading(with_settings(df.where("combo <> ''"), conf))))
+    df = leading(with_settings(df.where("combo <> ''"), conf, ("min_prob",))).drop("min_prob")
+    df = dynamic_points(buy_score(with_settings(df, conf)))
     n = F.greatest(F.lit(3), F.least(F.lit(12), F.lit(top_n), F.col("points")))
     order = (*[F.desc(F.round(c, DIGITS)) for c in ("buy_score", "prob", "ev")], "class_id")
     df = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc("is_candidate"), *order)))
