@@ -1,9 +1,10 @@
 """Nearest neighbours by inner product: inverted lists scanned dimension block by dimension block.
 
-Centroids are fitted on a sample of at most SAMPLE vectors; every vector is filed in its nearest centroid's list. So many
-lists are probed as ASKED queries need in the sample for a recall of TARGET. In a probed list, randomly rotated vectors are compared block by block: the rest of the inner product is taken as normal with a spread
-of |q||x| over the dimensions left, and a candidate is abandoned when even EPSILON spreads would not lift it to the query's
-twentieth best so far. Survivors are scored exactly, in double precision, on the original vectors.
+Centroids are fitted on a sample of at most SAMPLE vectors; every vector is filed in its nearest centroid's list. ASKED queries are
+compared with every vector first, and so many lists are probed as give these a recall of TARGET. In a probed list, randomly rotated
+vectors are compared block by block: of an inner product s, the blocks that hold the share u of |q|^2 show s * u, with a spread of
+sqrt((|q|^2|x|^2 - s^2) u(1 - u) / (dimensions - 1)); a candidate is abandoned when it shows less than the query's twentieth best so
+far would, by more than EPSILON spreads. Survivors are scored exactly, in double precision, on the original vectors.
 
 Nulls and edges: null vectors and ids, zero vectors, vectors with null or non-finite components, and those not of the most
 frequent length take no part; a query is never its own answer, also where its id is repeated; equal scores go to the smaller
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import released, small_batches, table, written
 
-SAMPLE, LOT_VECTORS, LOT_QUERIES, EPSILON, STEP = 20_000, 4096, 1024, 3.0, 16
-ASKED, TARGET = 256, 0.96  # queries of the sample from which the number of probed lists is set, and the recall it must reach there
+SAMPLE, LOT_VECTORS, LOT_QUERIES, EPSILON, STEP, SLACK = 20_000, 4096, 1024, 3.5, 16, 1e-5
+ASKED, TARGET = 256, 0.96  # queries compared with every row, from which the number of probed lists is set, and the recall it must reach for them
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -50,17 +51,42 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
 
 
-def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
-    """Lists to probe so that queries of the sample find TARGET of their k nearest in it."""
-    asked = sample[:: max(1, len(sample) // ASKED)]
-    score = asked @ sample.T
-    score[np.arange(len(asked)), np.arange(0, len(sample), max(1, len(sample) // ASKED))] = -np.inf
-    top = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
-    order = np.argsort(-(asked @ centres.T), axis=1)
+def nearest_lists(filed: DataFrame, asked: np.ndarray, asked_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query's place in asked, list) of the k truly nearest of each asked query, by comparison with every filed row."""
+    share = filed.sparkSession.sparkContext.broadcast((asked, asked_ids))
+
+    def best(batches):
+        queries, query_ids = share.value
+        n = len(queries)
+        score, ids, own = np.empty((n, 0)), np.empty((n, 0), np.int64), np.empty((n, 0), np.int32)
+        for b in batches:
+            new = b.column(0).to_numpy()
+            with np.errstate(over="ignore", invalid="ignore"):
+                dot = queries @ matrix(b.column(1)).T
+            dot[query_ids[:, None] == new[None, :]] = -np.inf
+            score = np.concatenate([score, dot], axis=1)
+            ids = np.concatenate([ids, np.broadcast_to(new, (n, len(new)))], axis=1)
+            own = np.concatenate([own, np.broadcast_to(b.column(2).to_numpy(), (n, len(new)))], axis=1)
+            if score.shape[1] > k:
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, ids, own = (np.take_along_axis(v, top, axis=1) for v in (score, ids, own))
+        at, place = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(score[at, place]), pa.array(ids[at, place]), pa.array(own[at, place])], ["q", "score", "vec_id", "list"])
+
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    found = filed.mapInArrow(best, "q int, score double, vec_id long, list int").withColumn("rank", rank).where(F.col("rank") <= k)
+    got = found.select("q", "list").toArrow()  # k rows an asked query
+    released(share)
+    return got.column("q").to_numpy(), got.column("list").to_numpy()
+
+
+def probes_needed(asked: np.ndarray, centres: np.ndarray, true: tuple[np.ndarray, np.ndarray]) -> int:
+    """Lists to probe so that the asked queries find TARGET of their truly nearest."""
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), axis=1)
-    rank = np.take_along_axis(place, nearest(sample, centres)[top], axis=1)
-    found = np.cumsum(np.bincount(rank.ravel(), minlength=len(centres))) / max(1, rank.size)
+    rank = place[true]
+    found = np.cumsum(np.bincount(rank, minlength=len(centres))) / max(1, rank.size)
     return min(len(centres), int((found < TARGET).sum()) + 1)
 
 
@@ -68,23 +94,32 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     """Best k of the rows for each query, by partial products with early abandonment; queries and rows are in double precision."""
     dim = rows.shape[1]
     # single precision is for pruning alone, and scaled, so that no product overflows
-    q, x = ((v / max(float(np.abs(v).max(initial=0)), 1e-300)).astype(np.float32) @ turn for v in (queries, rows))
+    unit = lambda v, axis: v / np.maximum(np.abs(v).max(axis=axis, keepdims=True, initial=0), 1e-300)
+    q, x = unit(queries, 1), unit(rows, None)
+    q /= np.sqrt((q**2).sum(axis=1, keepdims=True))
+    length = np.sqrt((x**2).sum(axis=1)).astype(np.float32)
+    q, x = q.astype(np.float32) @ turn, x.astype(np.float32) @ turn
     ends = list(range(STEP, dim, STEP)) + [dim]
-    q_left = [np.sqrt(np.maximum((q[:, e:] ** 2).sum(axis=1), 0)) for e in ends]
-    x_left = [np.sqrt(np.maximum((x[:, e:] ** 2).sum(axis=1), 0)) for e in ends]
+    share = [np.minimum((q[:, :e] ** 2).sum(axis=1), 1) for e in ends]
     head = min(len(rows), max(8 * k, 256))
     first = q @ x[:head].T
     first[query_ids[:, None] == ids[None, :head]] = -np.inf
     bar = np.partition(first, head - min(k, head), axis=1)[:, head - min(k, head)] if head >= k else np.full(len(q), -np.inf)
-    bar = np.where(np.isfinite(bar), bar - 1e-4 * np.abs(bar) - 1e-6, -np.inf).astype(np.float32)
+    bar = np.where(np.isfinite(bar), bar, -1e30).astype(np.float32)
+
+    def stays(i: int, at_q, at_x, value: np.ndarray) -> np.ndarray:
+        """False where a product as high as the bar would have shown more in the blocks so far, by more than EPSILON spreads."""
+        least, size = bar[at_q], length[at_x]
+        spread = np.sqrt(np.maximum(size**2 - np.maximum(least, 0) ** 2, 0)) * np.sqrt(share[i] * (1 - share[i]) / max(dim - 1, 1))[at_q]
+        return value + EPSILON * spread + SLACK * size + 1e-30 >= least * share[i][at_q]
+
     part = q[:, : ends[0]] @ x[:, : ends[0]].T
-    spread = EPSILON / np.sqrt(max(dim - ends[0], 1))
-    at_q, at_x = np.nonzero((part + spread * q_left[0][:, None] * x_left[0][None, :] >= bar[:, None]) & (query_ids[:, None] != ids[None, :]))
+    every_q, every_x = np.arange(len(q))[:, None], np.arange(len(x))[None, :]
+    at_q, at_x = np.nonzero(stays(0, every_q, every_x, part) & (query_ids[:, None] != ids[None, :]))
     value = part[at_q, at_x]
     for i in range(1, len(ends)):
         value = value + np.einsum("ij,ij->i", q[at_q, ends[i - 1] : ends[i]], x[at_x, ends[i - 1] : ends[i]])
-        room = EPSILON / np.sqrt(dim - ends[i]) * q_left[i][at_q] * x_left[i][at_x] if ends[i] < dim else 0
-        stay = value + room >= bar[at_q]
+        stay = stays(i, at_q, at_x, value)
         at_q, at_x, value = at_q[stay], at_x[stay], value[stay]
     score = (queries[at_q] * rows[at_x]).sum(axis=1)
     order = np.lexsort((ids[at_x], -score, at_q))
@@ -116,11 +151,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(matrix(b.column(1)), model.value[0]).astype(np.int32))], ["vec_id", "embedding", "list"])
 
+    asked = queries.orderBy(F.xxhash64("vec_id", "embedding")).limit(ASKED).toArrow()
     filed = written(vectors.mapInArrow(file, f"vec_id long, embedding {kind}, list int"), "vector-lists")
     sizes = np.zeros(lists, np.int64)
     for r in filed.groupBy("list").count().collect():  # a row a list
         sizes[r["list"]] = r["count"]
-    probes = probes_needed(sample, centres, k)
+    asked_ids, asked = asked.column(0).to_numpy(), matrix(asked.column(1)) if len(asked) else np.empty((0, dim))
+    probes = probes_needed(asked, centres, nearest_lists(filed, asked, asked_ids, k))
 
     def probe(batches):
         for b in batches:

@@ -403,3 +403,21 @@ def test_html_of_split_articles(spark):
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     plain = lambda *parts: " ".join(re.sub(r"<[^>]*>", "", p).strip() for p in parts)
     assert got == {1: plain(first, second, "End."), 2: plain(first, second), 3: plain(first, third)}
+
+
+@pytest.mark.parametrize("kind", ["groups", "lengths", "few"])
+def test_ann_of_other_rows(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    if kind == "groups":  # forty near vectors in each of a hundred places
+        x = rng.normal(size=(100, 64))[np.arange(4000) % 100] + 0.15 * x
+    elif kind == "lengths":
+        x *= rng.lognormal(0, 1, size=(4000, 1))
+    else:  # queries differ from the other rows
+        x[::20] = np.abs(x[::20]) + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(df, df.where("vec_id % 20 = 0")).toPandas().groupby("query_id").vec_id.agg(set)
+    score = x[::20] @ x.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.93 * 4000
