@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import compiled_methods_only
 from ..operators import scoring
 from ..operators.reports import profit_and_loss
 from ..sources import panel
@@ -19,7 +21,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            compiled_methods_only(spark)
+            return f(spark, d)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f
