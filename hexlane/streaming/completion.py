@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState
 
 from ..cluster import ship
 
+LOTS, UNTIL = 1024, "_until"
+
 
 def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
     sink = pa.BufferOutputStream()
@@ -37,6 +41,8 @@ def complete_groups(stream: DataFrame, key: str, place: str, size: int, hold_ms:
     forgotten, or comes out as it is with is_complete false if keep_incomplete. Time is the clock's (a query with such timers runs
     on until it is stopped, also with the trigger availableNow), or with event_time the watermark of that column, which the stream
     must have; rows behind the watermark are dropped by Spark before they come here. Without hold_ms nothing is ever forgotten.
+    Groups are held in LOTS lots by the hash of their key, and a lot's state is read and written whole in each batch that brings rows
+    for it: a call of Python costs milliseconds, too much for each group of a batch.
     State holds at most size - 1 rows a group, and one mark a finished group until its time is over. Rows whose key or place is
     null belong to no group and are left out.
     """
@@ -45,48 +51,66 @@ def complete_groups(stream: DataFrame, key: str, place: str, size: int, hold_ms:
     ship(stream.sparkSession)
     columns = list(stream.columns)
     # pandas has timestamps in the session's zone, without naming it; they are held the same way
-    held_schema = pa.schema([pa.field(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in to_arrow_schema(stream.schema)])
+    held_schema = pa.schema([*[pa.field(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in to_arrow_schema(stream.schema)], pa.field(UNTIL, pa.int64())])
+    mark_schema = pa.schema([held_schema.field(key), held_schema.field(UNTIL)])
     zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
     out_schema = T.StructType([*stream.schema.fields, T.StructField("is_complete", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("done", T.BooleanType()), T.StructField("rows", T.BinaryType())])
+    state_schema = T.StructType([T.StructField("rows", T.BinaryType()), T.StructField("marks", T.BinaryType())])
 
-    def lease(state: GroupState, rows: pd.DataFrame) -> None:
+    def ends(rows: pd.DataFrame, state: GroupState) -> pd.Series:
+        """Until when the group of each key is held, by key, from the rows that came or are held."""
         if hold_ms is None:
-            return
+            return rows.groupby(key, sort=False).size() * 0
         if event_time is None:
-            state.setTimeoutDuration(hold_ms)
-        else:
-            latest = rows[event_time].max()
-            last = 0 if pd.isna(latest) else int(latest.tz_localize(zone, ambiguous=True, nonexistent="shift_forward").timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + hold_ms)
-
-    def out(rows: pd.DataFrame, complete: bool) -> pd.DataFrame:
-        return rows.sort_values(place, kind="stable")[columns].assign(is_complete=complete)
+            return rows.groupby(key, sort=False).size() * 0 + state.getCurrentProcessingTimeMs() + hold_ms
+        latest = rows.groupby(key, sort=False)[event_time].max()
+        at = latest.dt.tz_localize(zone, ambiguous=np.ones(len(latest), bool), nonexistent="shift_forward").dt.tz_convert("UTC").dt.tz_localize(None)
+        ms = pd.Series(np.where(at.isna(), 0, at.astype("datetime64[ms]").astype("int64")), index=latest.index)
+        return ms.clip(lower=state.getCurrentWatermarkMs()) + hold_ms
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, packed = state.get if state.exists else (False, None)
-        if state.hasTimedOut:
-            state.remove()
-            if keep_incomplete and not done and packed is not None:
-                yield out(_unpacked(packed), False)
-            return
-        new = pd.concat(list(batches), ignore_index=True)
-        if done:
-            lease(state, new)
+        packed, marked = state.get if state.exists else (None, None)
+        held = _unpacked(packed) if packed is not None else held_schema.empty_table().to_pandas()
+        marks = _unpacked(marked) if marked is not None else mark_schema.empty_table().to_pandas()
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches), ignore_index=True)[columns]
+            late = new[key].isin(marks[key])
+            if late.any():
+                again = ends(new[late], state)
+                marks[UNTIL] = marks[key].map(again).fillna(marks[UNTIL]).astype("int64")
+                new = new[~late]
+            if len(new):
+                new = new.sort_values(columns, kind="stable", ignore_index=True)
+                met = held[key].isin(new[key])
+                rows = pd.concat([held[met][columns], new], ignore_index=True) if met.any() else new
+                rows = rows.drop_duplicates([key, place], ignore_index=True)
+                rows = rows.assign(**{UNTIL: rows[key].map(ends(rows, state)).astype("int64")})
+                whole = rows.groupby(key, sort=False)[place].transform("size") >= size
+                if whole.any():
+                    done = rows[whole]
+                    yield done.sort_values([key, place], kind="stable")[columns].assign(is_complete=True)
+                    done = done.drop_duplicates(key)[[key, UNTIL]]
+                    marks = pd.concat([marks, done], ignore_index=True) if len(marks) else done
+                    rows = rows[~whole]
+                held = pd.concat([held[~met], rows], ignore_index=True) if len(rows) and not met.all() else rows if len(rows) else held[~met]
+        if hold_ms is not None:
+            now = state.getCurrentProcessingTimeMs() if event_time is None else state.getCurrentWatermarkMs()
+            over = held[UNTIL] <= now
+            if keep_incomplete and over.any():
+                yield held[over].sort_values([key, place], kind="stable")[columns].assign(is_complete=False)
+            held, marks = held[~over], marks[marks[UNTIL] > now]
+        if not len(held) and not len(marks):
+            if state.exists:
+                state.remove()
             return
-        new = new.sort_values(columns, kind="stable", ignore_index=True) if len(new) > 1 else new
-        before = _unpacked(packed) if packed is not None else new.iloc[:0]
-        rows = (pd.concat([before, new], ignore_index=True) if len(before) else new).drop_duplicates(place, ignore_index=True)
-        if len(rows) >= size:
-            yield out(rows, True)
-            state.update((True, None))
-            lease(state, rows)
-        elif len(rows) > len(before):
-            state.update((False, _packed(rows, held_schema)))
-            lease(state, rows)
-        else:
-            lease(state, rows)  # a repeat brings no new row, but a timer has to be set anew in each call
+        state.update((_packed(held, held_schema) if len(held) else None, _packed(marks, mark_schema) if len(marks) else None))
+        if hold_ms is not None:
+            first = int(min(t[UNTIL].min() for t in (held, marks) if len(t)))
+            if event_time is None:
+                state.setTimeoutDuration(max(1, first - now))
+            else:
+                state.setTimeoutTimestamp(first)
 
     usable = stream.where(stream[key].isNotNull() & stream[place].isNotNull())
     kind = "NoTimeout" if hold_ms is None else "ProcessingTimeTimeout" if event_time is None else "EventTimeTimeout"
-    return usable.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", kind)
+    return usable.withColumn("_lot", F.pmod(F.xxhash64(key), F.lit(LOTS))).groupBy("_lot").applyInPandasWithState(step, out_schema, state_schema, "append", kind)

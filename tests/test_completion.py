@@ -61,6 +61,15 @@ def test_short_groups_lapse_by_the_watermark(spark, tmp_path, keep):
         assert got == whole
 
 
+def test_many_groups_share_their_state(spark, tmp_path):
+    batches = [[row(r, p) for r in range(3000)] for p in (1, 2)]
+    stream = completion.complete_groups(files(spark, tmp_path, batches).where("place = 1 or race % 2 = 0"), "race", "place", 2)
+    query = stream.writeStream.format("memory").queryName("many_groups").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("many_groups").count() == 3000
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= completion.LOTS
+
+
 def table(spark, tmp_path):
     stream = spark.createDataFrame([], "race long, date string, logged_at long, combo string, payout double")
     return upsert.VersionedTable(spark, f"file://{tmp_path}/results", stream.schema, ["race", "date"], "logged_at", "date"), stream.schema
