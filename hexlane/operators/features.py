@@ -176,15 +176,15 @@ def v2_scores(combos: DataFrame) -> DataFrame:
 
 
 # fixed values: the weights and bounds of the formulas below
-def binary_block(combos: DataFrame) -> DataFrame:
-    """Inverted timings, course move, picks by role and four differences."""
+def binary_block(combos: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Inverted timings, course move, picks by role and four differences; columns to keep stand before them."""
     inv_st = lambda lane: F.least(F.greatest(0.3 - at(lane, "st"), F.lit(-1.0)), F.lit(1.0))
     inv_ex = lambda lane: F.least(F.greatest(7.5 - at(lane, "exhibit"), F.lit(-2.0)), F.lit(2.0))
     cols = []
     for role, lane in ROLES.items():
         cols += [inv_st(lane).alias(f"{role}_st_inv"), inv_ex(lane).alias(f"{role}_exhibit_inv"), (at(lane, "course") - F.col(lane)).cast("int").alias(f"{role}_course_diff"), at(lane, "motor").alias(f"{role}_motor"), at(lane, "boat").alias(f"{role}_boat")]
     cols += [(inv_st("a") - inv_st("b")).alias("fs_st_inv"), (inv_ex("a") - inv_ex("b")).alias("fs_exhibit_inv"), (at("a", "motor") - at("b", "motor")).alias("fs_motor"), (at("a", "boat") - at("b", "boat")).alias("fs_boat")]
-    return combos.select("race", "class_id", *cols)
+    return combos.select("race", "class_id", *keep, *cols)
 
 
 # fixed values: lane advantage and inner bias by lane

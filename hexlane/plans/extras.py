@@ -104,9 +104,9 @@ def best_ev_by_venue(spark, d):
 @query("trained_topk")
 def trained_topk(spark, d):
     """A boosted scorer trained on the earlier races and evaluated by venue on the later ones; without SQL."""
-    wide = combos(spark, d)
-    rows = binary_block(wide).join(wide.select("race", "date", "venue", "class_id", "y_class"), ["race", "class_id"]).withColumn("is_hit", (F.col("class_id") == F.col("y_class")).cast("int"))
-    features = [c for c in binary_block(wide).columns if c not in ("race", "class_id")]
+    kept = ("date", "venue", "y_class")
+    rows = binary_block(combos(spark, d), kept).withColumn("is_hit", (F.col("class_id") == F.col("y_class")).cast("int"))
+    features = [c for c in rows.columns if c not in ("race", "class_id", *kept, "is_hit")]
     model = models.train_binary(rows.where("date <= '19991231'"), features, trees=5, depth=3)
     later = models.score_binary(model, rows.where("date > '19991231'"))
     place = F.row_number().over(Window.partitionBy("race").orderBy(F.desc("prob"), "class_id"))
