@@ -1,13 +1,14 @@
 """Tables of pages as rows of cells on a grid, and what racelist, odds and pre-race pages say in them.
 
-Reading the tags needs a state machine, so each page goes through the standard HTML parser in an Arrow batch; all that follows
-(which table, which row is whose, what fills what) is joins and windows over the cells. A page's cells are all in one task, as the
-page was.
+Reading the tags needs a state machine, so each page goes through the standard HTML parser in an Arrow batch (pages of plain tags
+through a short one that reads the same); all that follows (which table, which row is whose, what fills what) is expressions over
+the page's arrays of rows or cells. A page stays one row until its lanes are told, so it is parsed once and nothing is exchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,13 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from ..dims import LANES, outcomes
+from ..dims import LANES, OUTCOMES, outcomes
 from ..functions.scalars import narrow
-from .web_text import best_table, clean, entry, first_by_lane
+from .web_text import clean, entry, first_by_lane
 
 LARGEST_SPAN = 1000
 CELL = "table_no int, table_id string, table_class string, body int, row int, col int, cell int, tag string, cell_class string, text string, origin boolean"
-NAMES = [c.split()[0] for c in CELL.split(", ")]
 SILENT = ("script", "style")
 
 
@@ -104,6 +104,23 @@ class Grid(HTMLParser):
                     self.cells.append((t["no"], t["id"], t["class"], t["body"], r, k, t["number"], c["tag"], c["class"], text, (r, k) == (row, col)))
         t["number"] += 1
 
+    def read(self, page: str) -> list[tuple]:
+        """The cells of a whole page."""
+        if not UNUSUAL.search(page):
+            tokens = TOKEN.findall(page)
+            if sum(map(len, (t[0] for t in tokens))) == len(page):
+                for whole, end, tag, attributes in tokens:
+                    if not tag:
+                        self.handle_data(whole)
+                    elif end:
+                        self.handle_endtag(tag)
+                    else:
+                        # a repeated attribute counts by its last value, as in the parser's list made a dict
+                        self.handle_starttag(tag, [(n, v[1:-1] if v[:1] in QUOTES else v) for n, v in ATTRIBUTE.findall(attributes)] if attributes else ())
+                return self.finish()
+        self.feed(page)
+        return self.finish()
+
     def finish(self) -> list[tuple]:
         self.close()
         while self.open:
@@ -115,29 +132,80 @@ class Grid(HTMLParser):
         return [c for c in self.cells if c[4] <= last[c[0]]]  # a span ends with its table
 
 
+# pages of lower-case tags with valued attributes and text without references are read by TOKEN; UNUSUAL has all else that HTMLParser knows
+NAME, VALUE = "[a-z][a-z0-9-]*", r"\"[^\"<>&]*\"|'[^'<>&]*'|[^\s\"'<>&=/`]+"
+TOKEN = re.compile(rf"((?:<(/?)({NAME})((?:[ \t\n\r\f]+{NAME}=(?:{VALUE}))*)>)|[^<>&]+)")
+ATTRIBUTE = re.compile(rf"({NAME})=({VALUE})")
+UNUSUAL = re.compile(r"[&\x00]|<[!?]|</[^>]*\s|<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext|svg|math)\b", re.I)
+QUOTES = ("'", '"')
+
+
 def span(value: str | None) -> int:
     return min(max(int(value), 1), LARGEST_SPAN) if value and value.strip().isdigit() else 1
 
 
-def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and the cells of all tables of pages (a null page has none)."""
+FLUSH = 20_000  # cells of a batch that goes back
+
+
+def parsed(pages: DataFrame, keep: tuple[str, ...], fields: str, shape: Callable[[list[tuple]], list[tuple]], html: str = "html") -> DataFrame:
+    """keep and `grid`, an array of what shape makes of the cells of each page (a null page has none). Rows are as many as pages."""
     ship(pages.sparkSession)
-    kind = pages.schema[key].dataType.simpleString()
+    kinds = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep]
+    names, types = zip(*((c.split()[0], ARROW[c.split()[1]]) for c in fields.split(", ")), strict=True)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, page in enumerate(b.column(1)):
-                grid = Grid()
-                grid.feed(page.as_py())
-                found = grid.finish()
-                if found:
-                    columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), TYPES, strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(found))), *columns], [key, *NAMES])
+            start, found, ends, many = 0, [], [0], 0
+            for i, page in enumerate(b.column(len(keep)).to_pylist()):
+                if page is not None:
+                    cells = Grid().read(page)
+                    many += len(cells)
+                    found.extend(shape(cells))
+                ends.append(len(found))
+                if many >= FLUSH or i + 1 == b.num_rows:
+                    columns = zip(*found, strict=True) if found else [()] * len(names)
+                    items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    kept = [b.column(k).slice(start, len(ends) - 1) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], [*keep, "grid"])
+                    start, found, ends, many = i + 1, [], [0], 0
 
-    return pages.where(F.col(html).isNotNull()).select(key, html).mapInArrow(task, f"`{key}` {kind}, {CELL}")
+    return pages.select(*keep, html).mapInArrow(task, ", ".join([*kinds, f"grid array<struct<{', '.join(c.replace(' ', ':') for c in fields.split(', '))}>>"]))
 
 
-TYPES = [{"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in CELL.split(", ")]
+ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+ROW = "table_no int, table_id string, table_class string, body int, row int, texts array<string>, tags array<string>"
+
+
+def as_rows(found: list[tuple]) -> list[tuple]:
+    """Rows of a page in order of table and row: the texts and tags of their own cells; body is the last their cells are in."""
+    rows: dict[tuple[int, int], list] = {}
+    for no, table_id, table_class, body, row, _, _, tag, _, text, origin in found:
+        if origin:
+            r = rows.setdefault((no, row), [no, table_id, table_class, body, row, [], []])
+            r[3] = max(r[3], body)
+            r[5].append(text)
+            r[6].append(tag)
+    return [tuple(rows[k]) for k in sorted(rows)]
+
+
+def page_rows(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """keep and `grid`: each page's rows as as_rows gives them."""
+    return parsed(pages, keep, ROW, as_rows)
+
+
+def cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and the cells of all tables of pages (a null page has none)."""
+    return parsed(pages.where(F.col(html).isNotNull()), (key,), CELL, list, html).select(key, F.inline("grid"))
+
+
+def named(**fields: Column) -> Column:
+    """A struct; aliases inside of lambdas may get lost."""
+    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: a column's expression may be put into a lambda, where each element would work it out."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def has_class(column: str, name: str) -> Column:
@@ -160,36 +228,39 @@ def odds_cells(pages: DataFrame, pattern: str, mark: str) -> DataFrame:
     """
     dims = outcomes(pages.sparkSession).select("class_id", "fixed_pos")  # 120 rows
     fast = pages.select("page_id", "html", F.filter(F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), clean), lambda x: x != "").alias("v"))
-    full = F.size("v") >= 120
-    marked = cells(fast.where(~full)).where(F.col("origin") & has_class("cell_class", mark))
-    slow = marked.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "row", "col", "text"))), lambda x: x["text"]).alias("s"))
-    values = fast.select("page_id", "v").join(slow, "page_id", "left").select("page_id", F.when(full, F.col("v")).otherwise(F.coalesce("s", F.array().cast("array<string>"))).alias("v"))
+    both = parsed(fast.select("page_id", "v", F.when(F.size("v") < OUTCOMES, F.col("html")).alias("html")), ("page_id", "v"), CELL, list)
+    marked = F.filter("grid", lambda c: c["origin"] & F.coalesce(F.array_contains(F.split(c["cell_class"], r"\s+"), mark), F.lit(False)))
+    slow = F.transform(F.array_sort(F.transform(marked, lambda c: named(table_no=c["table_no"], row=c["row"], col=c["col"], text=c["text"]))), lambda x: x["text"])
+    values = both.select("page_id", F.when(F.size("v") >= OUTCOMES, F.col("v")).otherwise(F.coalesce(slow, F.array().cast("array<string>"))).alias("v"))
     return values.crossJoin(F.broadcast(dims)).select("page_id", "class_id", F.coalesce(F.get("v", F.col("fixed_pos")), F.lit("")).alias("cell"))
 
 
 # racelists
 
 
-def preferred_tables(grid: DataFrame, table_id: str = "table2", table_class: str = "is-w495") -> DataFrame:
-    """page_id, table_no of the table with the id; else the second of the class; else the second of all; else the one that scores best by lanes."""
-    tables = grid.groupBy("page_id", "table_no").agg(F.first("table_id", True).alias("id"), F.first("table_class", True).alias("class"))
-    named, own = F.col("id") == table_id, has_class("class", table_class)
-    nth = lambda c: F.get(F.array_sort(F.collect_list(F.when(c, F.col("table_no")))), F.lit(1))
-    picked = tables.groupBy("page_id").agg(F.coalesce(F.min(F.when(named, F.col("table_no"))), nth(own), nth(F.lit(True))).alias("table_no"))
-    rows = row_texts(grid).select("page_id", "table_no", *entry(F.col("text"))[:2])
-    scored = best_table(rows).select("page_id", F.col("table_no").alias("_best")).distinct()
-    return picked.join(scored, "page_id", "left").select("page_id", F.coalesce("table_no", "_best").alias("table_no"))
+def preferred_table(rows: Column, table_id: str = "table2", table_class: str = "is-w495") -> Column:
+    """Number of the table with the id among a page's rows; else the second of the class; else the second of all; else the only one."""
+    tables = F.array_distinct(F.transform(rows, lambda r: named(no=r["table_no"], id=r["table_id"], kind=r["table_class"])))
+    own = lambda t: F.coalesce(F.array_contains(F.split(t["kind"], r"\s+"), table_class), F.lit(False))
+    nth = lambda found, i: F.get(found, F.lit(i))["no"]
+    return bound(tables, lambda t: F.coalesce(nth(F.filter(t, lambda x: x["id"] == table_id), 0), nth(F.filter(t, own), 1), nth(t, 1), nth(t, 0)))
+
+
+def preferred_tables(grid: DataFrame) -> DataFrame:
+    """page_id, table_no of the preferred table of pages as cells."""
+    tables = grid.groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct("table_no", "table_id", "table_class"))).alias("grid"))
+    return tables.select("page_id", preferred_table(F.col("grid")).alias("table_no"))
 
 
 def racelist(pages: DataFrame) -> DataFrame:
     """page_id and one entry a lane of each page's preferred table: from the first row of each row group, or all rows where it has none."""
-    grid = cells(pages)
-    rows = row_texts(grid).join(preferred_tables(grid), ["page_id", "table_no"])
-    table = Window.partitionBy("page_id", "table_no")
-    rows = rows.withColumn("_groups", F.max("body").over(table)).withColumn("_first", F.min("row").over(Window.partitionBy("page_id", "table_no", "body")))
-    rows = rows.where((F.col("_groups") == 0) | ((F.col("body") > 0) & (F.col("row") == F.col("_first"))))
-    found = rows.select("page_id", F.col("row").alias("pos"), *entry(F.col("text"))).where("lane is not null")
-    return first_by_lane(found).drop("pos")
+    # the rows of a group follow one another, so its first is one that the row before it isn't of
+    first = lambda g: F.filter(g, lambda r, i: (r["body"] > 0) & ((i == 0) | (F.get(g, i - 1)["body"] != r["body"])))
+    table = bound(preferred_table(F.col("grid")), lambda no: F.filter("grid", lambda r: r["table_no"] == no))
+    heads = bound(table, lambda g: F.when(F.exists(g, lambda r: r["body"] > 0), first(g)).otherwise(g))
+    found = page_rows(pages)
+    rows = found.select("page_id", F.explode(heads).alias("r")).select("page_id", F.col("r.row").alias("pos"), F.array_join("r.texts", " ").alias("text"))
+    return first_by_lane(rows.select("page_id", "pos", *entry(F.col("text"))).where("lane is not null")).drop("pos")
 
 
 # pre-race pages
@@ -206,29 +277,26 @@ def marked_spans(html: Column, mark: str) -> Column:
     return F.transform(found, lambda x: F.trim(narrow(clean(x))))
 
 
-def start_display(pages: DataFrame) -> DataFrame:
-    """page_id, lane, course (place in the display), st (text, with the 0 before its point), of pages that show six boats and six times."""
-    both = pages.select("page_id", marked_spans(F.col("html"), NUMBER_MARK).alias("n"), marked_spans(F.col("html"), TIME_MARK).alias("t")).where((F.size("n") == 6) & (F.size("t") == 6))
-    rows = both.select("page_id", F.posexplode(F.arrays_zip("n", "t")).alias("i", "x"))
-    st = F.when(F.startswith(F.col("x.t"), F.lit(".")), F.concat(F.lit("0"), F.col("x.t"))).otherwise(F.col("x.t"))
-    rows = rows.select("page_id", F.col("x.n").try_cast("int").alias("lane"), (F.col("i") + 1).alias("course"), st.alias("st")).where("lane between 1 and 6")
-    return rows.groupBy("page_id", "lane").agg(F.max_by("st", "course").alias("st"), F.max("course").alias("course"))
-
-
 def prerace_lanes(pages: DataFrame) -> DataFrame:
     """page_id, lane, exhibit, tilt, parts, st, course (texts; null where the page doesn't say) of each lane of a pre-race page.
 
     The first table that says 展示 has a row of eight cells or more a lane; of two rows of a lane the later counts. A lane cell
-    over several rows is read once. Course is the place in the start display, where the boats stand in that order.
+    over several rows is read once. Course is the place in the start display (of pages that show six boats and six times), where
+    the boats stand in that order; of a boat shown twice the last place counts. st has the 0 before its point.
     """
-    grid = cells(pages)
-    says = row_texts(grid).where(F.col("text").contains("展示")).groupBy("page_id").agg(F.min("table_no").alias("table_no"))
-    own = F.filter(F.arrays_zip("texts", "tags"), lambda c: c["tags"] == "td")
-    rows = row_texts(grid).join(says, ["page_id", "table_no"]).select("page_id", "row", F.transform(own, lambda c: narrow(c["texts"])).alias("c")).where(F.size("c") >= LEAST_COLS)
-    text = lambda i: F.nullif(F.trim(F.get("c", F.lit(i))), F.lit(""))
-    rows = rows.select("page_id", "row", F.trim(F.get("c", F.lit(0))).try_cast("int").alias("lane"), text(EXHIBIT_COL).alias("exhibit"), text(TILT_COL).alias("tilt"), text(PARTS_COL).alias("parts")).where("lane between 1 and 6")
-    last = rows.groupBy("page_id", "lane").agg(F.max_by(F.struct("exhibit", "tilt", "parts"), "row").alias("x")).select("page_id", "lane", "x.*")
-    return last.join(start_display(pages), ["page_id", "lane"], "left").select("page_id", "lane", "exhibit", "tilt", "parts", "st", "course")
+    shown = pages.select("page_id", "html", marked_spans(F.col("html"), NUMBER_MARK).alias("n"), marked_spans(F.col("html"), TIME_MARK).alias("t"))
+    found = page_rows(shown, ("page_id", "n", "t"))
+    says = F.get(F.filter("grid", lambda r: F.array_join(r["texts"], " ").contains("展示")), F.lit(0))["table_no"]
+    own = lambda r: F.transform(F.filter(r["texts"], lambda x, i: F.get(r["tags"], i) == "td"), narrow)
+    rows = F.filter(F.transform(bound(says, lambda no: F.filter("grid", lambda r: r["table_no"] == no)), own), lambda c: F.size(c) >= LEAST_COLS)
+    text = lambda c, i: F.nullif(F.trim(F.get(c, F.lit(i))), F.lit(""))
+    said = F.transform(rows, lambda c: named(lane=F.trim(F.get(c, F.lit(0))).try_cast("int"), exhibit=text(c, EXHIBIT_COL), tilt=text(c, TILT_COL), parts=text(c, PARTS_COL)))
+    st = lambda x: F.when(F.startswith(x, F.lit(".")), F.concat(F.lit("0"), x)).otherwise(x)
+    display = F.when((F.size("n") == 6) & (F.size("t") == 6), F.transform("n", lambda x, i: named(lane=x.try_cast("int"), st=st(F.get("t", i)), course=i + 1)))
+    last = lambda rows, lane: F.get(F.reverse(F.filter(rows, lambda r: r["lane"] == lane)), F.lit(0))
+    found = found.select("page_id", said.alias("said"), display.alias("display"), F.explode(F.array(*map(F.lit, LANES))).alias("lane"))
+    found = found.select("page_id", "lane", last("said", F.col("lane")).alias("x"), last("display", F.col("lane")).alias("y")).where("x is not null")
+    return found.select("page_id", "lane", "x.exhibit", "x.tilt", "x.parts", "y.st", "y.course")
 
 
 def racelist_prerace(pages: DataFrame) -> DataFrame:

@@ -117,3 +117,28 @@ end of it 2025/04/01
     got = {tuple(r) for r in result_text.payout_tables(df, {"15": "丸亀", "16": "児島"}).collect()}
     assert got == {("20250330", "丸亀", 1, "4-5-6", 41, "b.txt"), ("20250330", "丸亀", 12, "6-5-4", 50, "a.txt"), ("20250330", "丸亀", 2, "2-1-3", 999, "a.txt"), ("20250401", "児島", 3, "3-1-2", 77, "a.txt")}
     assert result_text.payout_tables(df.where(F.lit(False)), {"15": "丸亀"}).count() == 0
+
+
+def test_short_reader_reads_as_the_parser():
+    """Pages of plain tags go through TOKEN; what it finds is what the parser finds."""
+    plain = [
+        "<table class=is-w495 id='t'><tr><th rowspan=\"2\">a <b>b</b></th><td colspan=2>c</td></tr><tr><td>d<br>e<td>f</tr></table>x",
+        "<tr><td>out</td></tr><table><td>1<table id=in><tr><td>2</td></tr></table>3</td><tbody><tr><td>4</tbody></table>",
+        "<table id=a id=b><tr><td class='x y' rowspan=3>1</td></tr><tr><td>  2\n 3</td></tr></table>",
+    ]
+    odd = ["<TABLE><TR><TD>1 &amp; 2</TABLE>", "<table><tr><td nowrap>1<!-- <td> --></td></table>", "<table><tr><td>1 > 0</td><script>'<td>'</script></table>", "<table><tr><td>a<br/>b</td><td", ""]
+    for page in plain + odd:
+        slow = pt.Grid()
+        slow.feed(page)
+        assert pt.Grid().read(page) == slow.finish()
+    assert all(not pt.UNUSUAL.search(p) and "".join(t[0] for t in pt.TOKEN.findall(p)) == p for p in plain)
+
+
+def test_pages_are_parsed_once(spark):
+    """One Python step and no aggregation between the pages and their lanes; before, each parsed its pages two or three times."""
+    df = spark.createDataFrame([(i, "<table><tr><td>1 1234 A1</td></tr></table>") for i in range(300)], "page_id long, html string")
+    for got in (pt.racelist(df), pt.prerace_lanes(df), pt.odds_cells(df, "<td class=x>(.*?)</td>", "x"), pt.cells(df)):
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert "Aggregate" not in plan
+    assert pt.cells(df).count() == 300
