@@ -102,3 +102,28 @@ def test_cached_values(spark, tmp_path):
         assert sorted(r.k for r in spark.table("cache_test").collect()) == [1, 2]
     finally:
         query.stop()
+
+
+def test_kelly_shift_is_exact_and_rows_stop_when_done():
+    """The shift against plain halvings, and stakes against all steps taken; before, every row took 200 times 60 rounds."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.05, (500, kelly.TOP))
+    low, high = x.min(axis=1) - kelly.CAP, x.max(axis=1)
+    for _ in range(100):
+        shift = (low + high) / 2
+        much = np.clip(x - shift[:, None], 0, kelly.CAP).sum(axis=1) > kelly.TOTAL
+        low, high = np.where(much, shift, low), np.where(much, high, shift)
+    plain = np.where((np.clip(x, 0, kelly.CAP).sum(axis=1) > kelly.TOTAL)[:, None], np.clip(x - high[:, None], 0, kelly.CAP), np.clip(x, 0, kelly.CAP))
+    assert np.abs(kelly.capped(x) - plain).max() < 1e-13
+    rounds, capped = [], kelly.capped
+    kelly.capped = lambda y: (rounds.append(len(y)), capped(y))[1]
+    try:
+        f = kelly.fractions(np.tile([0.4, 0.3, 0.2, 0.0], (50, 1)), np.tile([5.0, 6.0, 9.0, 1.0], (50, 1)))
+    finally:
+        kelly.capped = capped
+    assert len(rounds) < kelly.STEPS / 4 and (f[:, 3] == 0).all()
+    kept, kelly.SMALLEST = kelly.SMALLEST, -1.0  # no row is ever done
+    try:
+        assert np.abs(f - kelly.fractions(np.tile([0.4, 0.3, 0.2, 0.0], (50, 1)), np.tile([5.0, 6.0, 9.0, 1.0], (50, 1)))).max() < 1e-13
+    finally:
+        kelly.SMALLEST = kept
