@@ -51,13 +51,13 @@ def combos(spark: SparkSession, d: str) -> DataFrame:
     return panel.expand(races(spark, d))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """race, date, venue, class_id, combo, a, b, c, is_hit, score, prob, odds, payout."""
+def scored(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """race, date, venue, class_id, combo, a, b, c, is_hit, score, prob, odds, payout, and what of the race's columns is to be kept."""
     t = scoring.venue_temperature()
     wide = scoring.with_softmax_parts(races(spark, d), scoring.linear_score, t)
     df = panel.labelled(panel.expand(wide)).withColumn("score", scoring.linear_score())
     df = df.withColumn("prob", F.exp((F.col("score") - F.col("_max")) / t) / F.col("_sum"))
-    df = df.select("race", "date", "venue", "class_id", "combo", "a", "b", "c", "is_hit", "score", "prob")
+    df = df.select("race", "date", "venue", "class_id", "combo", "a", "b", "c", "is_hit", "score", "prob", *keep)
     return df.withColumn("odds", scoring.synthetic_odds()).withColumn("payout", F.round(F.col("odds") * 100).cast("long"))
 
 

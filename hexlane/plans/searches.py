@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import search, selection
 from ..operators.features import binary_block
-from .base import VALUED, combos, query, rd, rounded, scored, valued
+from .base import VALUED, query, rd, rounded, scored, valued
 from .decisions import bets_sql
 from .features import ROLES, s_inv
 
@@ -79,9 +79,10 @@ def weight_settings(count: int) -> list[dict]:
 
 
 def weighted(spark, d, count: int):
-    block = binary_block(combos(spark, d))
-    sums = block.select("race", "class_id", *search.group_sums(block, [c for c in block.columns if c not in ("race", "class_id")]))
-    df = scored(spark, d).select("race", "venue", "class_id", "is_hit", "prob").join(sums, ["race", "class_id"])
+    # the scored rows keep their race's arrays, so the features need no join, and all of a race is where it was scored
+    kept = ("venue", "is_hit", "prob")
+    block = binary_block(scored(spark, d, ("st", "exhibit", "course", "motor", "boat")), kept)
+    df = block.select("race", "class_id", *kept, *search.group_sums(block, [c for c in block.columns if c not in ("race", "class_id", *kept)]))
     return search.best_weights(search.weight_trials(df, weight_settings(count)))
 
 

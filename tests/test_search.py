@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hexlane.operators import search, selection
@@ -103,3 +104,25 @@ def test_group_sums_by_name(spark):
     block = spark.createDataFrame([(2.0, 3.0, None, 5.0, 7)], "a_motor double, a_exhibit double, x_st double, first_boat double, odd int")
     row = block.select(*search.group_sums(block, block.columns)).first()
     assert row.sum_motor == 2 and row.sum_exhibit == -3 and row.sum_st == 0 and row.sum_boat == -5 and row.sum_other == 7
+
+
+def test_weight_search_joins_no_outcomes(spark, sf):
+    """The scored rows carry their features: only lines with orders, and races with the 120 outcomes; before, five joins."""
+    from hexlane.plans import registry
+
+    plan = registry.QUERIES["weight_search"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+
+
+def test_order_keys_and_orders_that_no_setting_changes():
+    """ranks is the order by four keys that sorting them one by one gives."""
+    rng = np.random.default_rng(5)
+    n, many = 40, search.OUTCOMES
+    values = {"prob": rng.integers(1, 5, (n, many)) / 100.0, "odds": rng.integers(5, 9, (n, many)) * 1.0, "ev": rng.integers(1, 3, (n, many)) / 2.0, "steps": np.ones((n, many)), "factor": np.ones((n, many))}
+    offsets = pa.array(np.arange(n + 1) * many, pa.int32())
+    races = search.Races(pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in values.values()], list(values)))
+    own, score = rng.random((n, many)) < 0.7, rng.integers(0, 4, (n, many)) / 3.0
+    order = np.lexsort((-races.ev, -np.round(races.prob, 9), -np.round(score, 9), ~own), axis=1)
+    plain = np.argsort(order, axis=1)
+    assert (races.ranks(own, score) == plain)[own].all()
+    assert not hasattr(races, "by")
