@@ -183,6 +183,9 @@ def scale(x: np.ndarray, own: np.ndarray) -> np.ndarray:
         return np.where(high > low, (x - low) / (high - low), 0.0)
 
 
+LAST = 2.0**45  # beyond any score in units of the rounding; times 120 still a whole number of doubles
+
+
 class Races:
     """Races as arrays, and what of the selection doesn't depend on a setting."""
 
@@ -193,6 +196,10 @@ class Races:
         key = np.where(self.priced, -np.round(self.prob, selection.DIGITS), np.inf)
         order = np.argsort(key, axis=1, kind="stable")
         self.sorted = np.where(np.take_along_axis(self.priced, order, 1), np.take_along_axis(self.prob, order, 1), 0.0)
+        # orders that no setting changes: by probability, and by probability and value, both then by class
+        prob, ev = (-np.round(x, selection.DIGITS) for x in (self.prob, self.ev))
+        self.by_prob = np.argsort(prob, axis=1, kind="stable")
+        self.ties = np.argsort(np.lexsort((ev, prob), axis=1), axis=1)
 
     def points(self, m: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Number of bets of races whose first m priced outcomes are candidates."""
@@ -225,18 +232,20 @@ class Races:
         picked = own & (self.ranks(own, buy) < n[:, None])
         have = picked.sum(axis=1)
         spare = ~picked & (self.odds > 0) & (have > 0)[:, None]
-        fill = spare & (self.by(spare, -np.round(self.prob, selection.DIGITS)) < (n - have)[:, None])
+        place = np.empty_like(self.by_prob)
+        np.put_along_axis(place, self.by_prob, np.cumsum(np.take_along_axis(spare, self.by_prob, 1), axis=1) - 1, 1)
+        fill = spare & (place < (n - have)[:, None])
         score = np.where(fill, self.prob, buy)
         taken = picked | fill
         return np.where(taken, self.ranks(taken, score) + 1, 0), score
 
-    def by(self, own: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-        """Place from 0 of own outcomes in the order of keys, then class; others after them."""
-        order = np.lexsort((*reversed(keys), ~own), axis=1)
-        return np.argsort(order, axis=1, kind="stable")
-
     def ranks(self, own: np.ndarray, score: np.ndarray) -> np.ndarray:
-        return self.by(own, -np.round(score, selection.DIGITS), -np.round(self.prob, selection.DIGITS), -np.round(self.ev, selection.DIGITS))
+        """Place from 0 of own outcomes by rounded score, probability and value, then class; others after them."""
+        # one whole number an outcome: its score in units of the rounding, then its place in the order that no setting changes
+        key = np.where(own, -np.rint(score * 10.0**selection.DIGITS), LAST) * OUTCOMES + self.ties
+        place = np.empty(key.shape, np.int64)
+        np.put_along_axis(place, np.argsort(key, axis=1), np.arange(OUTCOMES)[None, :], 1)
+        return place
 
 
 TRIAL = "trial int, venue string, races long, n long, hits long, back double, top1 long, top3 long, top5 long"
