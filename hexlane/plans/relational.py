@@ -86,8 +86,9 @@ f2 AS (SELECT v.venue, l.x AS a, m.x AS b, (coalesce(k, 0) + 1) / CAST(coalesce(
 
 
 def priors(spark, d):
-    df = scored(spark, d)
-    return reports.lane_priors(df.where("is_hit = 1").select("venue", "a", "b"), df.select("venue").distinct())
+    # a race has one winning outcome, so its own row tells the first two lanes
+    df = races(spark, d).select("venue", F.col("w1").alias("a"), F.col("w2").alias("b"))
+    return reports.lane_priors(df, df.select("venue").distinct())
 
 
 @query("lane_priors", PRIORS + f" SELECT venue, 'first' AS kind, CAST(a AS VARCHAR) AS key, {rd('first_prior', 'prior')} FROM f1 UNION ALL SELECT venue, 'pair', a || '-' || b, round(pair_prior, 6) + 0.0 FROM f2")
@@ -261,8 +262,7 @@ def alias_columns(spark, d):
 SELECT race, class_id, is_selected, CAST(combo = actual AS INTEGER) AS is_hit, bet_cost_yen, return_yen, profit_yen FROM log JOIN res USING (race) WHERE r = 1""")
 def merge_results(spark, d):
     """Predictions with the latest result of their race, and the realised profit."""
-    wide = races(spark, d)
-    won = panel.expand(wide).where("class_id = y_class").select("race", F.col("combo").alias("actual"))
+    won = races(spark, d).select("race", F.concat_ws("-", "w1", "w2", "w3").alias("actual"))
     results = won.crossJoin(spark.createDataFrame([(0,), (1,)], "logged_at int"))
     last = reports.latest(results, ["race"], [F.desc("logged_at")])
     df = ranked(spark, d).select("race", "class_id", "combo", "payout", (F.col("rank_prob") <= 5).cast("int").alias("is_selected")).join(last, "race", "left")
