@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +93,15 @@ def relative(runners: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return runners.select("race", "lane", *cols)
 
 
-def with_means(wide: DataFrame, metrics: tuple[str, ...], spread: bool = False) -> DataFrame:
-    """mean_<metric>, and where asked spread_<metric> (sample deviation), once a race; then its 120 outcomes."""
+def with_race_means(wide: DataFrame, metrics: tuple[str, ...], spread: bool = False) -> DataFrame:
+    """mean_<metric>, and where asked spread_<metric> (sample deviation), once a race."""
     cols = [mean(values(m)).alias(f"mean_{m}") for m in metrics] + [std(values(m), sample=True).alias(f"spread_{m}") for m in metrics if spread]
-    return expand(wide.select("*", *cols))
+    return wide.select("*", *cols)
+
+
+def with_means(wide: DataFrame, metrics: tuple[str, ...], spread: bool = False) -> DataFrame:
+    """with_race_means, then the race's 120 outcomes."""
+    return expand(with_race_means(wide, metrics, spread))
 
 
 def main_roles(wide: DataFrame, metrics: tuple[str, ...], falling: dict[str, bool]) -> DataFrame:
@@ -128,16 +135,26 @@ def main_pairs(wide: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return with_means(wide, metrics).select("race", "class_id", *cols, moves.alias("course_move_top3"))
 
 
+def triple_parts(metric: str) -> dict[str, tuple[Callable[..., Column], str, bool]]:
+    """Sum, mean, extremes, range and differences of the three, and their mean against the race's and the other three's: each as a
+    function of lanes, the places of these, and whether their order doesn't matter."""
+    of = lambda x: at(x, metric).cast("double")
+    total3 = lambda x, y, z: of(x) + of(y) + of(z)
+    high, low = (lambda x, y, z: F.greatest(of(x), of(y), of(z))), (lambda x, y, z: F.least(of(x), of(y), of(z)))
+    field, spread = F.col(f"mean_{metric}"), F.col(f"spread_{metric}")
+    gap = lambda *x: total3(*x) / 3.0 - field
+    all3 = {"sum": total3, "mean": lambda *x: total3(*x) / 3.0, "max": high, "min": low, "range": lambda *x: high(*x) - low(*x)}
+    out = {n: (f, "abc", True) for n, f in all3.items()}
+    diff, apart = (lambda x, y: of(x) - of(y)), (lambda x, y: F.abs(of(x) - of(y)))
+    for name, pair in (("first_second", "ab"), ("first_third", "ac"), ("second_third", "bc")):
+        out |= {f"diff_{name}": (diff, pair, False), f"absdiff_{name}": (apart, pair, True)}
+    z = lambda *x: F.when(spread > 1e-12, F.try_divide(gap(*x), spread)).otherwise(0.0)
+    return out | {"vs_race_diff": (gap, "abc", True), "vs_race_z": (z, "abc", True), "vs_others_diff": (lambda *x: total3(*x) / 3.0 - (field * 6 - total3(*x)) / 3.0, "abc", True)}
+
+
 def triple_of(metric: str) -> dict[str, Column]:
-    """Sum, mean, extremes, range and differences of the three, and their mean against the race's and the other three's."""
-    x = [at(lane, metric).cast("double") for lane in "abc"]
-    s, field, spread = x[0] + x[1] + x[2], F.col(f"mean_{metric}"), F.col(f"spread_{metric}")
-    high, low = F.greatest(*x), F.least(*x)
-    out = {"sum": s, "mean": s / 3.0, "max": high, "min": low, "range": high - low}
-    for name, i, j in (("first_second", 0, 1), ("first_third", 0, 2), ("second_third", 1, 2)):
-        out |= {f"diff_{name}": x[i] - x[j], f"absdiff_{name}": F.abs(x[i] - x[j])}
-    gap = s / 3.0 - field
-    return out | {"vs_race_diff": gap, "vs_race_z": F.when(spread > 1e-12, F.try_divide(gap, spread)).otherwise(0.0), "vs_others_diff": s / 3.0 - (field * 6 - s) / 3.0}
+    """triple_parts of an outcome's row."""
+    return {n: f(*[F.col(x) for x in places]) for n, (f, places, _) in triple_parts(metric).items()}
 
 
 def v3_block(wide: DataFrame, metric: str) -> DataFrame:
