@@ -77,3 +77,13 @@ def venue_code(text: Column) -> Column:
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def round_to(x: Column | str, digits: int) -> Column:
+    """A double rounded as the SQL rounds it: the product with 10^digits to a whole number, halves away from zero, and divided again.
+
+    F.round goes by the decimal text instead, which takes another side where a short decimal ends in a 5: 1.44366125 to 7 digits is
+    1.4436613 there, but the product is 14436612.499999998.
+    """
+    unit = 10.0**digits
+    return F.round((F.col(x) if isinstance(x, str) else x) * unit) / unit

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import LANES
+from ..functions.scalars import round_to
 from ..sources.panel import at
 
 # ranks are by values of so many digits, so that the last bit of a sum doesn't decide
@@ -84,12 +85,12 @@ def expected_value(df: DataFrame, least_odds: float = 1.0) -> DataFrame:
     """ev, edge and ev_rank (ties by class_id); null where the odds are missing or too low."""
     ok = F.col("odds").isNotNull() & (F.col("odds") >= least_odds)
     df = df.withColumn("ev", F.when(ok, F.col("prob") * F.col("odds"))).withColumn("edge", F.col("ev") - 1)
-    rank = F.row_number().over(by_race().orderBy(F.round("ev", DIGITS).desc_nulls_last(), "class_id"))
+    rank = F.row_number().over(by_race().orderBy(round_to("ev", DIGITS).desc_nulls_last(), "class_id"))
     return df.withColumn("ev_rank", F.when(F.col("ev").isNotNull(), rank))
 
 
 def prob_rank(df: DataFrame, out: str = "rank_prob") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(by_race().orderBy(F.desc(F.round("prob", DIGITS)), "class_id")))
+    return df.withColumn(out, F.row_number().over(by_race().orderBy(F.desc(round_to("prob", DIGITS)), "class_id")))
 
 
 def blend(df: DataFrame, base: str, other: str, ratio: float, out: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_to
 from .scoring import by_race, minmax
 
 # fixed values: venue, min_prob, odds_cap, ev_cap, w_prob, w_ev, w_odds, prob_exp, ev_exp, base_bonus, min_points, max_points
@@ -138,7 +139,7 @@ def dynamic_points(df: DataFrame) -> DataFrame:
     probabilities, as a share of what it could be.
     """
     w, p = by_race(), F.col("prob")
-    df = df.withColumn("_k", F.row_number().over(w.orderBy(F.desc("is_candidate"), F.desc(F.round("prob", DIGITS)), "class_id")))
+    df = df.withColumn("_k", F.row_number().over(w.orderBy(F.desc("is_candidate"), F.desc(round_to("prob", DIGITS)), "class_id")))
     top = lambda n: F.coalesce(F.sum(F.when(F.col("is_candidate") & (F.col("_k") <= n), p)).over(w), F.lit(0.0))
     df = df.withColumn("_s1", top(1)).withColumn("_s2", top(2)).withColumn("_s3", top(3)).withColumn("_s5", top(5)).withColumn("_s10", top(10))
     leading = F.col("is_candidate") & (F.col("_k") <= 10)
@@ -171,7 +172,7 @@ def leading(df: DataFrame, most: int = 12) -> DataFrame:
     odds = F.coalesce(F.col("odds") > 0, F.lit(False))
     priced = odds & F.coalesce(F.col("ev") > 0, F.lit(False))
     likely = priced & (F.col("prob") >= F.col("min_prob"))
-    df = df.withColumn("_place", F.row_number().over(w.orderBy(F.desc(odds), F.desc(F.round("prob", DIGITS)), "class_id"))).withColumn("_any", F.max(likely).over(w))
+    df = df.withColumn("_place", F.row_number().over(w.orderBy(F.desc(odds), F.desc(round_to("prob", DIGITS)), "class_id"))).withColumn("_any", F.max(likely).over(w))
     return df.where((odds & (F.col("_place") <= 2 * most)) | likely | (priced & ~F.col("_any"))).drop("_place", "_any")
 
 
@@ -185,11 +186,11 @@ def best_bets(df: DataFrame, conf: DataFrame, top_n: int = 12) -> DataFrame:
     df = leading(with_settings(df.where("combo <> ''"), conf, ("min_prob",))).drop("min_prob")
     df = dynamic_points(buy_score(with_settings(df, conf)))
     n = F.greatest(F.lit(3), F.least(F.lit(12), F.lit(top_n), F.col("points")))
-    order = (*[F.desc(F.round(c, DIGITS)) for c in ("buy_score", "prob", "ev")], "class_id")
+    order = (*[F.desc(round_to(c, DIGITS)) for c in ("buy_score", "prob", "ev")], "class_id")
     df = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc("is_candidate"), *order)))
     df = df.withColumn("_picked", F.col("is_candidate") & (F.col("_r") <= n)).withColumn("_have", F.sum(F.col("_picked").cast("int")).over(w))
     spare = ~F.col("_picked") & F.coalesce(F.col("odds") > 0, F.lit(False)) & (F.col("_have") > 0)
-    df = df.withColumn("_spare", spare).withColumn("_f", F.row_number().over(w.orderBy(F.desc("_spare"), F.desc(F.round("prob", DIGITS)), "class_id")))
+    df = df.withColumn("_spare", spare).withColumn("_f", F.row_number().over(w.orderBy(F.desc("_spare"), F.desc(round_to("prob", DIGITS)), "class_id")))
     fill = F.col("_spare") & (F.col("_f") <= n - F.col("_have"))
     df = df.withColumn("is_backfill", fill.cast("int")).where(F.col("_picked") | (F.col("is_backfill") == 1))
     df = df.withColumn("buy_score", F.when(F.col("is_backfill") == 1, F.col("prob")).otherwise(F.col("buy_score")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import compiled_methods_only
+from ..functions.scalars import round_to
 from ..operators import scoring
 from ..operators.reports import profit_and_loss
 from ..sources import panel
@@ -36,7 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, and -0.0 made 0.0, so results compare across engines."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(round_to(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def runners(spark: SparkSession, d: str) -> DataFrame:

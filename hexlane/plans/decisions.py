@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_to
 from ..operators import kelly, selection
 from .base import VALUED, query, rd, rounded, valued
 from .relational import CONFIG
@@ -80,7 +81,7 @@ def odds_steps(spark, d):
 @query("buy_score", BOUGHT + f" SELECT race, class_id, {rd('pn', 'pn')}, {rd('en', 'en')}, {rd('buy_score', 'buy_score', 7)} FROM cand")
 def buy_score(spark, d):
     out = bought(spark, d).where("is_candidate")
-    return out.select("race", "class_id", (F.round("pn", 6) + 0.0).alias("pn"), (F.round("en", 6) + 0.0).alias("en"), (F.round("buy_score", 7) + 0.0).alias("buy_score"))
+    return out.select("race", "class_id", (round_to("pn", 6) + 0.0).alias("pn"), (round_to("en", 6) + 0.0).alias("en"), (round_to("buy_score", 7) + 0.0).alias("buy_score"))
 
 
 @query("dynamic_points", POINTS + f" SELECT race, {rd('entropy', 'entropy')}, points FROM points")
@@ -91,7 +92,7 @@ def dynamic_points(spark, d):
 
 @query("best_bets", BETS + f" SELECT race, class_id, combo, rank, is_backfill, {rd('buy_score', 'buy_score', 7)} FROM bets")
 def best_bets(spark, d):
-    return chosen(spark, d).select("race", "class_id", "combo", "rank", "is_backfill", (F.round("buy_score", 7) + 0.0).alias("buy_score"))
+    return chosen(spark, d).select("race", "class_id", "combo", "rank", "is_backfill", (round_to("buy_score", 7) + 0.0).alias("buy_score"))
 
 
 @query("race_signal", BETS + f""" , p AS (SELECT race, list(prob ORDER BY prob DESC)[1:2] AS p FROM valued GROUP BY race), q AS (SELECT race, count(*) AS n_bets, max(coalesce(ev, 0.0)) AS top_ev FROM bets GROUP BY race),

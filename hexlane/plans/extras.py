@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..dims import VENUES
+from ..functions.scalars import round_to
 from ..operators import models, reports
 from ..operators.features import binary_block
 from ..sources.tables import parquet
@@ -44,7 +45,7 @@ def display_bands(spark, d):
     lo, hi = F.min("odds").over(w), F.max("odds").over(w)
     ev = F.when(F.col("ev") >= 2.0, "hot").when(F.col("ev") >= 1.2, "good").otherwise("")
     p = F.when(F.col("rank_prob") == 1, "top1").when(F.col("rank_prob") <= 3, "top3").when(F.col("rank_prob") <= 10, "top10").otherwise("")
-    return ranked(spark, d).select("race", "class_id", ev.alias("ev_band"), p.alias("prob_band"), (F.round(F.when(hi > lo, F.try_divide(F.col("odds") - lo, hi - lo)), 6) + 0.0).alias("odds_position"), (F.round(F.least(1.0 / F.greatest("prob", F.lit(1e-6)), F.lit(100.0)), 4) + 0.0).alias("pseudo_odds"))
+    return ranked(spark, d).select("race", "class_id", ev.alias("ev_band"), p.alias("prob_band"), (round_to(F.when(hi > lo, F.try_divide(F.col("odds") - lo, hi - lo)), 6) + 0.0).alias("odds_position"), (round_to(F.least(1.0 / F.greatest("prob", F.lit(1e-6)), F.lit(100.0)), 4) + 0.0).alias("pseudo_odds"))
 
 
 @query("top_gap", VALUED + f" SELECT race, {rd('max(CASE WHEN rank_prob = 1 THEN prob END) - max(CASE WHEN rank_prob = 2 THEN prob END)', 'gap', 8)} FROM valued GROUP BY race")

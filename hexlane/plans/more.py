@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..dims import LANES, WEATHER_CURRENT, WEATHER_MODEL, WEATHER_TRAIN, WEATHER_TRIPLE, code_map
-from ..functions.scalars import combo_lane
+from ..functions.scalars import combo_lane, round_to
 from ..operators import features, reports, serving
 from ..sources import web_text
 from ..sources.tables import parquet
@@ -28,7 +28,7 @@ p AS (SELECT *, bool_or(wanted) OVER (PARTITION BY race) AS has, CAST(row_number
 SELECT race, class_id, CASE WHEN has THEN place ELSE rank_prob END AS rank, CAST(NOT has AS INTEGER) AS is_fallback FROM p WHERE (wanted AND place <= 5) OR (NOT has AND rank_prob <= 5)""")
 def fallback_pick(spark, d):
     """The likeliest outcomes of races for which nothing is chosen."""
-    return serving.with_fallback(ranked(spark, d), F.expr("odds > 104 and prob > 0.02"), [F.round("ev", 9).desc_nulls_last(), F.col("class_id")], 5)
+    return serving.with_fallback(ranked(spark, d), F.expr("odds > 104 and prob > 0.02"), [round_to("ev", 9).desc_nulls_last(), F.col("class_id")], 5)
 
 
 _RAW = {"motor": 0.4, "boat": 0.1, "st": 1.5, "exhibit": 0.8, "course": 0.2}

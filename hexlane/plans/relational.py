@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import GRADES, LANES, LIVE_VENUES, class_id, code_map, outcomes
 from ..functions import scalars
+from ..functions.scalars import round_to
 from ..operators import reports, scoring, selection
 from ..sources import panel
 from ..sources.tables import first_alias, parquet
@@ -30,7 +31,7 @@ def class_ids(spark, d):
 
 @query("softmax_temp", SCORED + f" SELECT race, class_id, {rd('score', 'score')}, {rd('prob', 'prob', 9)} FROM scored")
 def softmax_temp(spark, d):
-    return scored(spark, d).select("race", "class_id", (F.round("score", 6) + 0.0).alias("score"), (F.round("prob", 9) + 0.0).alias("prob"))
+    return scored(spark, d).select("race", "class_id", (round_to("score", 6) + 0.0).alias("score"), (round_to("prob", 9) + 0.0).alias("prob"))
 
 
 @query("odds_join", SCORED + f" SELECT race, class_id, coalesce(odds, 0.0) AS odds, {rd('prob * coalesce(odds, 0.0)', 'ev')} FROM scored")
@@ -67,7 +68,7 @@ SELECT race, class_id, {rd('manual_score', 'manual_score', 9)}, {rd('e / sum(e)
 def manual_prob(spark, d):
     df = combos(spark, d).select("race", "class_id", panel.at("a", "win_rate").alias("first_win_rate"), panel.at("a", "st").alias("first_st"), panel.at("a", "exhibit").alias("first_exhibit"), panel.at("b", "motor").cast("double").alias("second_motor"))
     out = scoring.manual_probability(df, {"first_win_rate": 0.4, "first_st": 0.3, "first_exhibit": 0.2, "second_motor": 0.1})
-    return out.select("race", "class_id", (F.round("manual_score", 9) + 0.0).alias("manual_score"), (F.round("manual_prob", 9) + 0.0).alias("manual_prob"))
+    return out.select("race", "class_id", (round_to("manual_score", 9) + 0.0).alias("manual_score"), (round_to("manual_prob", 9) + 0.0).alias("manual_prob"))
 
 
 @query("ensemble", SCORED + f""" , p AS (SELECT race, class_id, prob * 0.6::DOUBLE AS p FROM scored UNION ALL SELECT race, class_id, (1.0::DOUBLE / 60) * 0.4::DOUBLE FROM scored WHERE odds IS NOT NULL),

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_to
+
 
 def join_logs(predictions: DataFrame, results: DataFrame, keys: list[str], delay: str = "10 minutes", within: str = "1 hour") -> DataFrame:
     """Predictions with results logged within a time of them, by event time; unmatched predictions come out once it has passed."""
@@ -26,7 +28,7 @@ def without_refreshes(predictions: DataFrame, keys: list[str], delay: str = "10
 
 
 def running_totals(stream: DataFrame, keys: list[str]) -> DataFrame:
-    return stream.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last_ts"))
+    return stream.groupBy(*keys).agg(F.count("*").alias("n"), round_to(F.sum("value"), 4).alias("total"), F.max("ts").alias("last_ts"))
 
 
 def cached_values(stream: DataFrame, key: str, value: str, ttl_ms: int) -> DataFrame:

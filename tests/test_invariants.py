@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hexlane.functions.scalars import round_to
 from hexlane.operators import features, kelly, reports, selection
 from hexlane.plans import base
+from hexlane.plans.base import rounded
 from hexlane.plans.decisions import chosen
 from hexlane.sources import tables
 
@@ -127,3 +129,16 @@ def test_kelly_shift_is_exact_and_rows_stop_when_done():
         assert np.abs(f - kelly.fractions(np.tile([0.4, 0.3, 0.2, 0.0], (50, 1)), np.tile([5.0, 6.0, 9.0, 1.0], (50, 1)))).max() < 1e-13
     finally:
         kelly.SMALLEST = kept
+
+
+def test_rounding_takes_the_side_that_the_sql_takes(spark):
+    """Short decimals that end in a 5: the buy score of a race's leading bet on six-fold tables, and others."""
+    import duckdb
+
+    for digits in (4, 6, 7, 9):
+        values = [1.44366125, *[sign * (i * 10 + 5) / 10.0 ** (digits + 1) for i in range(1, 4000, 7) for sign in (1, -1)], 0.0, 2.5]
+        got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(round_to("x", digits).alias("x")).collect()]
+        want = duckdb.execute(f"SELECT list_transform($x::DOUBLE[], lambda v: round(v, {digits}))", {"x": values}).fetchone()[0]
+        assert got == want
+    assert spark.sql("SELECT 1.44366125D AS x, CAST(NULL AS DOUBLE) AS y").select(round_to("x", 7), round_to("y", 7)).first()[:] == (1.4436612, None)
+    assert spark.sql("SELECT 1.44366125D AS x").transform(lambda df: rounded(df, 7)).first().x == 1.4436612
