@@ -8,7 +8,6 @@ round. Work is rows * classes * features a level; memory in a task is classes *
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import shared_dir, ship
+from ..cluster import ship, written
 from .models import feature_group
 
 FAN, BUCKET_ROWS = 64, 1000
@@ -138,12 +137,6 @@ def best_splits(hist: np.ndarray, allowed: np.ndarray, p: Params) -> pd.DataFram
 SPLIT = "class int, node int, feature int, bin int, gain double, gl double, hl double, gr double, hr double"
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/boosting/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _matrix(b: pa.RecordBatch, name: str, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(b.column(b.schema.get_field_index(name)).to_pylist()), kind).reshape(-1, width)
 
@@ -163,14 +156,15 @@ def fit(rows: DataFrame, features: list[str], label: str, key: str, params: Para
     """Trees on rows of a label (its values are the classes; null ones are left out) and a key that tells rows apart."""
     spark, p = rows.sparkSession, params
     ship(spark)
-    rows = rows.where(F.col(label).isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # a row a class
+    # the rows are worked out once: counts, quantiles and bins are three passes over what is written here
+    x = rows.where(F.col(label).isNotNull()).select(feature_array(features).alias("x"), F.col(label).alias("y"), F.xxhash64(key).alias("key"))
+    x = written(x, "boosting/given")
+    counts = {r["y"]: r["count"] for r in x.groupBy("y").count().collect()}  # a row a class
     classes = sorted(counts)
     total = sum(counts.values())
     if len(classes) < 2:
         raise ValueError("boosting needs rows of two classes or more")
     base = np.log(np.array([counts[c] / total for c in classes]))
-    x = rows.select(feature_array(features).alias("x"), F.col(label).alias("y"), F.xxhash64(key).alias("key"))
     shares = [i / p.bins for i in range(1, p.bins)]
     quantiles = x.agg(*[F.percentile_approx(F.col("x")[i], shares, 10_000).alias(f"q{i}") for i in range(len(features))]).first()
     model = Boosted(features, [np.unique(q) for q in quantiles], classes, base, p.depth, gains=np.zeros(len(features)))
@@ -184,7 +178,7 @@ def fit(rows: DataFrame, features: list[str], label: str, key: str, params: Para
             y = pa.array([place[v] for v in b.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(2), y, _packed(bins), _packed(np.tile(base, (n, 1)))], ["key", "y", "x", "m"])
 
-    at = _written(x.mapInArrow(start, schema), "rows")
+    at = written(x.mapInArrow(start, schema), "boosting/rows")
     rng = np.random.default_rng(p.seed)
     for number in range(p.rounds):
         allowed = np.zeros(f, bool)
@@ -259,7 +253,7 @@ def advanced(at: DataFrame, tree, k: int, f: int, depth: int) -> tuple[DataFrame
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], _packed(m)], b.schema.names)
 
     got = at.mapInArrow(lost, "loss double, n long").agg(F.sum("loss") / F.sum("n")).first()[0]
-    return (at if tree is None else _written(at.mapInArrow(move, at.schema), "rows")), got
+    return (at if tree is None else written(at.mapInArrow(move, at.schema), "boosting/rows")), got
 
 
 def predict(model: Boosted, rows: DataFrame, carry: list[str]) -> DataFrame:

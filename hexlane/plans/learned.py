@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..dims import LANES, class_id
 from ..operators import boosting, models, reports
 from .base import query, races, rounded
@@ -16,7 +17,8 @@ SMALL = boosting.Params(rounds=6, rate=0.3, depth=3, bins=16)
 def rows(spark, d):
     """One row a race: features by lane, the winner's lane w1, the winning class and the part (train, valid, test) by time."""
     wide = races(spark, d)
-    wide = reports.share_split(wide.select("race", "date", "w1", class_id(F.col("w1"), F.col("w2"), F.col("w3")).alias("y_class"), *[F.element_at(m, i).cast("double").alias(f"lane{i}_{m}") for i in LANES for m in METRICS]))
+    wide = wide.select("race", "date", "w1", class_id(F.col("w1"), F.col("w2"), F.col("w3")).alias("y_class"), *[F.element_at(m, i).cast("double").alias(f"lane{i}_{m}") for i in LANES for m in METRICS])
+    wide = reports.share_split(written(wide, "races"))  # which counts the races by date before it goes over them
     return wide.select("race", "date", "part", "w1", "y_class", *FEATURES)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hexlane.operators import boosting
 from hexlane.operators.boosting import Params
+from hexlane.plans import learned
 
 
 def rows_of(n=900, seed=1):
@@ -119,3 +120,18 @@ def test_missing_numbers_and_one_class(spark):
     assert model.losses[-1] < model.losses[0] and boosting.predict(model, rows, ["k"]).count() == 200
     with pytest.raises(ValueError, match="two classes"):
         boosting.fit(rows.where("y = 0"), ["a"], "y", "k")
+
+
+def test_rows_are_worked_out_once(spark, table, sf):
+    """Counts, quantiles and bins don't each go back to where the rows come from."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = table.mapInArrow(look, table.schema)
+    model = boosting.fit(rows, NAMES, "y", "race", Params(rounds=1, depth=1, bins=4))
+    assert len(model.trees) == 1 and seen.value == table.count()
+    assert not any("lineitem" in f or "orders" in f for f in learned.rows(spark, sf).inputFiles())
