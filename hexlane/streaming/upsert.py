@@ -1,9 +1,10 @@
 """Latest-wins merging of a stream into a table of versions, partitioned, with the same result however often a batch is replayed.
 
 A version is a small manifest: for each partition value the folder that holds its rows, and the number of the last batch. A batch
-rewrites only the partitions it touches, into fresh folders, and then commits by renaming its manifest into place; readers of the
-version before are not disturbed. A batch whose number is already committed is skipped, and a batch that died before its commit
-leaves folders that no manifest names.
+rewrites only the partitions it touches, into one fresh folder, and then commits by renaming its manifest into place; readers of the
+version before are not disturbed. Rows of a partition in folders that the manifest doesn't name for it are of older versions and not
+read. The files of a folder follow the size of the batch, not the number of partitions, and are sorted by partition. A batch whose
+number is already committed is skipped, and a batch that died before its commit leaves a folder that no manifest names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+FEW = 100  # so many partition values are named to the reader, which then skips files of others
+
+
 class VersionedTable:
     """Rows by keys, the one with the greatest `order` winning (ties: the greatest by the other columns)."""
 
@@ -35,7 +39,7 @@ class VersionedTable:
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def manifest(self, version: int | None = None) -> dict[str, str]:
-        """Folder by partition value (as JSON text) of a version, by default the last."""
+        """Folder by partition value (its text, as JSON) of a version, by default the last."""
         have = self.versions()
         if version is None:
             version = have[-1] if have else -1
@@ -45,8 +49,24 @@ class VersionedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
-        paths = sorted(set(self.manifest(version).values()))
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self._rows(self.manifest(version))
+
+    def _text(self):
+        return F.col(self.partition).cast("string")
+
+    def _rows(self, folders: dict[str, str]) -> DataFrame:
+        """The rows of partition values in the folders that hold them."""
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        texts = {v: json.loads(v) for v in folders}
+        rows = self.spark.read.schema(self.schema).parquet(*sorted(set(folders.values())))
+        if len(texts) <= FEW and self.schema[self.partition].dataType == T.StringType():
+            named = F.col(self.partition).isin([v for v in texts.values() if v is not None])
+            rows = rows.where(named | F.col(self.partition).isNull() if None in texts.values() else named)
+        rows = rows.withColumn("_text", self._text()).withColumn("_folder", F.regexp_extract("_metadata.file_path", "/data/([^/]+)/[^/]+$", 1))
+        live = self.spark.createDataFrame([(texts[v], f.rsplit("/", 1)[1]) for v, f in folders.items()], "_live string, _in string")  # a row a partition value
+        rows = rows.join(F.broadcast(live), F.col("_text").eqNullSafe(F.col("_live")) & (F.col("_folder") == F.col("_in")), "left_semi")
+        return rows.select(self.schema.fieldNames())
 
     def _commit(self, version: int, folders: dict[str, str]) -> None:
         text = json.dumps(folders, sort_keys=True)
@@ -65,18 +85,16 @@ class VersionedTable:
         if have and number <= have[-1]:
             return False
         batch = batch.select(self.schema.fieldNames())
-        values = sorted(json.dumps(r[0], default=str) for r in batch.select(self.partition).distinct().collect())  # the partitions of one batch
+        values = sorted(json.dumps(r[0]) for r in batch.select(self._text()).distinct().collect())  # the partitions of one batch
         folders = self.manifest()
-        old = [folders[v] for v in values if v in folders]
-        rows = batch.unionByName(self.spark.read.schema(self.schema).parquet(*old)) if old else batch
+        old = {v: folders[v] for v in values if v in folders}
+        rows = self._rows(old).unionByName(batch) if old else batch
         rest = [c for c in self.schema.fieldNames() if c not in self.keys]
         order = [self.order, *[c for c in rest if c != self.order]]
         latest = rows.groupBy(*self.keys).agg(F.max(F.struct(*order)).alias("_row")).select(*self.keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
         base = f"{self.root}/data/{number:012d}-{uuid.uuid4().hex}"
-        # the column stays in the files too, with its type; the folder's name only deals the rows
-        latest.select(self.schema.fieldNames()).withColumn("_part", F.coalesce(F.to_json(F.struct(F.col(self.partition).alias("v"))), F.lit(""))).withColumn("_part", F.sha2("_part", 256)).write.partitionBy("_part").parquet(base)
-        names = {json.dumps(r[0], default=str): r[1] for r in latest.select(self.partition, F.sha2(F.coalesce(F.to_json(F.struct(F.col(self.partition).alias("v"))), F.lit("")), 256)).distinct().collect()}
-        self._commit(number, folders | {v: f"{base}/_part={names[v]}" for v in values})
+        latest.select(self.schema.fieldNames()).hint("rebalance", F.col(self.partition)).sortWithinPartitions(self.partition).write.parquet(base)
+        self._commit(number, folders | dict.fromkeys(values, base))
         return True
 
     def vacuum(self, keep: int = 2) -> list[str]:
@@ -84,7 +102,7 @@ class VersionedTable:
         have = self.versions()
         for v in have[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifests/{v:012d}.json"), False)
-        live = {p.rsplit("/", 1)[0] for v in have[-keep:] for p in self.manifest(v).values()}
+        live = {p for v in have[-keep:] for p in self.manifest(v).values()}
         gone = []
         data = self._path(f"{self.root}/data")
         for s in self._fs.listStatus(data) if self._fs.exists(data) else []:

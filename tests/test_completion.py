@@ -154,3 +154,20 @@ def test_bounded_cache_is_a_plain_one(spark, tmp_path):
                 for x in sorted(own, key=own.get)[: max(0, len(own) - size // buckets)]:
                     del own[x]
         assert {(r.key, r.at) for r in got} == want and len(got) == len(want)
+
+
+def test_files_follow_the_rows_and_not_the_partitions(spark, tmp_path):
+    """Partitions share a batch's files, and rows of partitions that a later batch rewrote aren't read from there."""
+    schema = "race long, day int, logged_at long, name string"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    target = upsert.VersionedTable(spark, f"file://{tmp_path}/days", make([]).schema, ["race", "day"], "logged_at", "day")
+    first = [(i, i % 200 or None, 5, f"n{i}") for i in range(400)]
+    assert target.merge(make(first), 0)
+    assert len(target.manifest()) == 200 and len(list((tmp_path / "days" / "data").rglob("*.parquet"))) <= 8
+    second = [(0, None, 9, "late"), (7, 7, 1, "old"), (207, 7, 6, "new"), (999, 300, 1, "more")]
+    assert target.merge(make(second), 1)
+    want = {r[:2]: r for r in first} | {(0, None): second[0], (207, 7): second[2], (999, 300): second[3]}
+    got = [tuple(r) for r in target.read().collect()]
+    assert len(got) == len(want) and set(got) == set(want.values())
+    assert {tuple(r) for r in target.read(0).collect()} == set(first)
+    assert target.vacuum(keep=1) == [] and target.read().count() == len(want)
