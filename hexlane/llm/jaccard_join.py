@@ -6,11 +6,14 @@ size, so no further check is needed. The boundary is the largest size at which e
 Heavy (large) sets are first sifted: the hash space is cut into P parts, and as two linked sets differ in at most K shingles,
 at least P - K parts agree entirely. A set goes on only if as many of its parts are repeated as a partner would need. Those
 left are put on inverted lists of shingles: each on the lists of its rarest n - ceil(t * n) + 1 shingles, of which linked sets
-share one, whatever the order. Rarity is taken from a table of fixed size. A list is sent as pointers to its head, a slice of
-texts at a time, so that a shingle that a third of all documents have makes no long list. Sets that lists connect are
+share one, whatever the order; shingles of one set alone need no list. A list is sent as pointers to its head, a lot of sets
+at a time, so that a shingle that a third of all documents have makes no long list. Sets that lists connect are
 compared in lots. In a component of more than BLOCK sets, each block is first compared with a pivot and in itself; then only
 sets that are not yet connected with most of the component meet those of all its blocks.
 
+How often parts and shingles occur is counted, not looked up in a table of fixed size, which fills up as the input grows: the
+sorted hashes of a lot go by bucket to where all lots' hashes of that bucket meet, and come back as a byte each.
+
 Documents with equal sets form one class and are joined once. Nulls and edges: null, empty or blank text is an empty set
 linked with nothing; a null doc_id links like any other, and its component is the least doc_id that is not null; an empty
 table gives an empty result; equal rows are one class. Only doc_id, of any type that has an order, and text are read.
@@ -26,14 +29,14 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, components, released, skew_join, small_batches, table, written
+from .common import KeyFilter, components, skew_join, small_batches, table, written
 from .words import Words, mix, slices
 
 U = np.uint64
-STRONG, BLOCK, MAP_BITS, RARITY_BITS = 2, 2000, 1024, 21
+STRONG, BLOCK, MAP_BITS, LOT_SHINGLES, BROADCAST_CLASSES = 2, 2000, 1024, 1 << 17, 500_000
 LIST_COST = 3  # a part is counted, looked up and its sets compared; a subset is only grouped
 
 
@@ -177,17 +180,86 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
+def in_buckets(hashes: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The order that sorts hashes, and by bucket (their upper 10 bits) the next 32 bits of the sorted ones: a chance match only costs a look."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    bucket = (hashes >> U(54)).astype(np.int32)
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    low = ((hashes >> U(22)) & U(0xFFFFFFFF)).astype(np.uint32)
+    blob = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(hashes)) * 4).astype(np.int32)), pa.py_buffer(low)])
+    return order, pa.array(bucket[at]), blob
+
+
+def size_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lot, bucket, sizes) of (lot, bucket, blob): a byte a hash, 0 where it occurs once, else the size class of its count; all blobs of a
+    bucket are in one partition."""
+    got: dict[int, tuple[list, list[np.ndarray]]] = {}
+    for batch in batches:
+        for lot, bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            lots, blobs = got.setdefault(bucket, ([], []))
+            lots.append(lot)
+            blobs.append(np.frombuffer(blob.as_buffer(), np.uint32))
+    for bucket in list(got):
+        lots, blobs = got.pop(bucket)
+        to = np.append(0, np.cumsum([len(b) for b in blobs])).astype(np.int32)
+        hashes = np.concatenate(blobs)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        count = np.diff(np.append(at, len(hashes)))
+        sizes = np.empty(len(hashes), np.uint8)
+        sizes[order] = np.repeat(np.minimum(8 * np.log2(count), 255).astype(np.uint8), count)
+        blob = pa.BinaryArray.from_buffers(pa.binary(), len(lots), [None, pa.py_buffer(to), pa.py_buffer(sizes)])
+        yield pa.RecordBatch.from_arrays([pa.array(lots, pa.int64()), pa.array([bucket] * len(lots), pa.int32()), blob], ["lot", "bucket", "sizes"])
+
+
+def with_sizes(lots: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rows of lots (lot and binary columns, a row a lot) and those of their sizes (lot, bucket, sizes), a lot in one partition."""
+    sizes = blobs.repartition("bucket").mapInArrow(size_classes, "lot long, bucket int, sizes binary")
+    return lots.unionByName(sizes, allowMissingColumns=True).repartition("lot")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[np.ndarray]]:
+    """For each lot of a partition: the bytes of its columns and the sizes of its hashes in sorted order."""
+    given: dict[int, list] = {}
+    sizes: dict[int, dict[int, np.ndarray]] = {}
+    for batch in batches:
+        at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("lot", "bucket", "sizes", *columns)}
+        for i, (lot, bucket) in enumerate(zip(at["lot"].to_pylist(), at["bucket"].to_pylist(), strict=True)):
+            if bucket is None:
+                given[lot] = [np.frombuffer(at[c][i].as_buffer(), np.uint8) for c in columns]
+            else:
+                sizes.setdefault(lot, {})[bucket] = np.frombuffer(at["sizes"][i].as_buffer(), np.uint8)
+    for lot in list(given):
+        yield [*given.pop(lot), np.concatenate([np.zeros(0, np.uint8), *[x for _, x in sorted(sizes.pop(lot, {}).items())]])]
+
+
+class Lots:
+    """Numbers of a task's lots, the same whenever the task runs again."""
+
+    def __init__(self):
+        from pyspark import TaskContext
+
+        self.next = TaskContext.get().partitionId() << 32
+
+    def __call__(self) -> int:
+        self.next += 1
+        return self.next
+
+
 def survey(k: int, rule: Rule):
-    """One row a document (doc_id, n, cls); subsets of light sets (cls, n, key, size); parts as sorted blobs (bucket, blob)."""
+    """One row a document (doc_id, n, cls); subsets of light sets (cls, n, key, size); for the texts of a slice, a lot, their parts as
+    sorted blobs (lot, bucket, blob) and a row (lot, classes, need, owner): repeated parts that are needed and each part's text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cls", "key", "size", "bucket", "blob"]
+        names, lots = ["doc_id", "n", "cls", "key", "size", "lot", "bucket", "blob", "classes", "need", "owner"], Lots()
 
         def rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, t)) for c, t in zip(names, types, strict=True)], names)
 
         for batch in batches:
-            types = [batch.column(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            types = [batch.column(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
             for first, to, data, offsets in slices(batch.column(1)):
                 sets = Sets(data, offsets, k)
                 yield rows(to - first, doc_id=batch.column(0)[first:to], n=pa.array(sets.n), cls=binary(sets.cls))
@@ -195,86 +267,131 @@ def survey(k: int, rule: Rule):
                 key, size, owner = subset_rows(sets, docs[sets.n[docs] <= rule.light], rule)
                 if len(key):
                     yield rows(len(key), n=pa.array(sets.n[owner]), cls=binary(sets.cls[owner]), key=pa.array(key.view(np.int64)), size=pa.array(size.astype(np.int32)))
-                found = part_hashes(sets, docs[sets.n[docs] >= rule.least_listed], rule)
+                docs = docs[sets.n[docs] >= rule.least_listed]
+                found = part_hashes(sets, docs, rule)
                 if found:
-                    hashes = np.sort(np.concatenate([f[0] for f in found]))
-                    bucket = (hashes >> U(54)).astype(np.int32)
-                    hashes = ((hashes >> U(22)) & U(0xFFFFFFFF)).astype(np.uint32)  # 42 bits with the bucket: a chance match only costs a look
-                    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                    blob = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(hashes)) * 4).astype(np.int32)), pa.py_buffer(hashes)])
-                    yield rows(len(at), bucket=pa.array(bucket[at]), blob=blob)
+                    place = np.zeros(len(sets.n), np.int64)
+                    place[docs] = np.arange(len(docs))
+                    owner = np.concatenate([place[doc] + i * len(docs) for i, (_, doc, _) in enumerate(found)])
+                    need = np.concatenate([np.maximum(need[docs], 1) for _, _, need in found])
+                    order, bucket, blob = in_buckets(np.concatenate([h for h, _, _ in found]))
+                    lot = lots()
+                    yield rows(len(bucket), lot=pa.array(np.full(len(bucket), lot)), bucket=bucket, blob=blob)
+                    packed = {"classes": sets.cls[docs], "need": need.astype(np.int32), "owner": owner[order].astype(owner_type(len(need)))}
+                    yield rows(1, lot=pa.array([lot]), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in packed.items()})
 
     return task
 
 
-def repeated_in_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes (their upper 42 bits) that occur more than once in a partition of blobs; all blobs of a bucket are in one."""
-    got: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), np.uint32))
-    for bucket in list(got):
-        hashes = np.sort(np.concatenate(got.pop(bucket)))
-        twice = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
-        twice = (U(bucket) << U(54)) | (twice.astype(U) << U(22))
-        yield pa.RecordBatch.from_arrays([pa.array(twice.view(np.int64))], ["h"])
+def owner_type(owners: int) -> type:
+    return np.uint16 if owners <= 1 << 16 else np.uint32
+
+
+def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper half of the class of each set that has as many repeated parts as a partner needs."""
+    for classes, need, owner, sizes in gathered(batches, "classes", "need", "owner"):
+        classes, need = classes.view(U).reshape(-1, 2), need.view(np.int32)
+        repeated = np.bincount(owner.view(owner_type(len(need)))[sizes > 0], minlength=len(need))
+        passed = (repeated >= need).reshape(-1, len(classes)).any(axis=0)  # by the parts of either level
+        yield pa.RecordBatch.from_arrays([pa.array(classes[passed, 0].view(np.int64))], ["h"])
 
 
 def candidates(k: int, rule: Rule, known: KeyFilter):
-    """(node, cls, n, tok): sets with as many repeated parts as a partner needs; node is half of cls."""
+    """(lot, classes, n, tok): the sets whose class is known, many a row, each class once there, their shingles one after the other."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots, held, cls = Lots(), [], []
+
+        def lot() -> pa.RecordBatch:
+            classes = np.concatenate(cls)
+            once = np.unique(classes.view("V16").ravel(), return_index=True)[1]
+            columns = classes[once].tobytes(), np.array([len(held[i]) for i in once], np.int64).tobytes(), np.concatenate([held[i] for i in once]).tobytes()
+            held.clear()
+            cls.clear()
+            return pa.RecordBatch.from_arrays([pa.array([lots()], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], ["lot", "classes", "n", "tok"])
+
+        shingles = 0
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 sets = Sets(data, offsets, k)
                 docs = sets.one_a_class()
-                passed = np.zeros(len(sets.n), bool)
-                for h, doc, need in part_hashes(sets, docs[sets.n[docs] >= rule.least_listed], rule):
-                    passed |= np.bincount(doc[known(h)], minlength=len(sets.n)) >= np.maximum(need, 1)
-                    passed &= sets.n > 0
-                chosen = docs[passed[docs]]
-                tok = pa.array([sets.tok[sets.first[d] : sets.first[d + 1]].tobytes() for d in chosen], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(sets.cls[chosen, 0].view(np.int64)), binary(sets.cls[chosen]), pa.array(sets.n[chosen]), tok], ["node", "cls", "n", "tok"])
+                docs = docs[sets.n[docs] >= rule.least_listed]
+                docs = docs[known(sets.cls[docs, 0])]
+                held += [sets.tok[sets.first[d] : sets.first[d + 1]] for d in docs]
+                cls.append(sets.cls[docs])
+                shingles += int(sets.n[docs].sum())
+                if shingles >= LOT_SHINGLES:
+                    yield lot()
+                    shingles = 0
+        if held:
+            yield lot()
 
     return task
 
 
-def rarity_slot(tok: np.ndarray) -> np.ndarray:
-    return (mix(tok) >> U(64 - RARITY_BITS)).astype(np.int64)
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lot, cls) of the sets of lots (lot, classes)."""
+    for batch in batches:
+        for lot, classes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            classes = np.frombuffer(classes.as_buffer(), U).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(classes), lot)), binary(classes)], ["lot", "cls"])
 
 
-def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, n) of the shingles of sets (tok)."""
-    total = np.zeros(1 << RARITY_BITS, np.int64)
+def without_spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lots (lot, classes, n, tok, spare) without the sets of their spare classes."""
     for batch in batches:
-        for tok in batch.column(0):
-            np.add.at(total, rarity_slot(np.frombuffer(tok.as_buffer(), U)), 1)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+        for i, spare in enumerate(batch.column(4).to_pylist()):
+            classes, n, tok = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((1, "V16"), (2, np.int64), (3, U)))
+            keep = ~np.isin(classes, np.array(spare or [], "V16"))
+            if not keep.any():
+                continue
+            columns = classes[keep].tobytes(), n[keep].tobytes(), tok[np.repeat(keep, n)].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], *[pa.array([x], pa.binary()) for x in columns]], ["lot", "classes", "n", "tok"])
+
 
+def each_class_once(lots: DataFrame) -> DataFrame:
+    """Lots without the sets of classes that an earlier lot has, so that copies of a text are no reason to list its shingles."""
+    by_class = Window.partitionBy("cls").orderBy("lot")  # as many rows as there are lots at most
+    again = lots.select("lot", "classes").mapInArrow(placed, "lot long, cls binary").withColumn("_place", F.row_number().over(by_class)).where("_place > 1")
+    spare = written(again.groupBy("lot").agg(F.collect_list("cls").alias("spare")), "join-spare")
+    few = (spare.agg(F.sum(F.size("spare"))).first()[0] or 0) <= BROADCAST_CLASSES
+    return lots.join(F.broadcast(spare) if few else spare, "lot", "left").mapInArrow(without_spare, lots.schema)
 
-def rarities(sets: DataFrame):
-    """A broadcast array of 2**RARITY_BITS bytes: the size class of the number of sets that have a shingle of the slot."""
-    got = sets.select("tok").mapInArrow(slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, np.uint8)
-    out[got.column("slot").to_numpy()] = np.log2(got.column("n").to_numpy()) * 4 + 1
-    return sets.sparkSession.sparkContext.broadcast(out)
+
+def shingle_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lot, bucket, blob): the shingles of the sets of each lot (lot, tok)."""
+    for batch in batches:
+        for lot, tok in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            _, bucket, blob = in_buckets(np.frombuffer(tok.as_buffer(), U))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lot)), bucket, blob], ["lot", "bucket", "blob"])
 
 
-def list_rows(rule: Rule, rarity):
-    """(key, node): a batch's sets on the lists of their rarest shingles, each list as its least node; key is null where node
-    points to another head of a list in the batch, which is then in `head`."""
+def list_rows(rule: Rule):
+    """A lot's sets on the lists of their rarest shingles that other sets have: each list as its least node (key, node), and (head,
+    node) where a node points to another head of a list; then the sets themselves (node, cls, n, tok). A node is half of the class."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for node, tok in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tok = np.frombuffer(tok.as_buffer(), U)
+        names = ["key", "node", "head", "cls", "n", "tok"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+
+        def rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, t)) for c, t in zip(names, types, strict=True)], names)
+
+        for classes, counts, every, sizes in gathered(batches, "classes", "n", "tok"):
+            classes, counts, every = classes.view(U).reshape(-1, 2), counts.view(np.int64), every.view(U)
+            size = np.empty(len(every), np.uint8)
+            size[np.argsort(every, kind="stable")] = sizes
+            keys, nodes, listed, to = [np.zeros(0, U)], [np.zeros(0, np.int64)], [], np.append(0, np.cumsum(counts))
+            for i, node in enumerate(classes[:, 0].view(np.int64)):
+                tok, own = every[to[i] : to[i + 1]], size[to[i] : to[i + 1]]
                 n = len(tok) - -(-rule.num * len(tok) // rule.den) + 1
-                rare = rarity.value[rarity_slot(tok)].astype(U) << U(56) | tok >> U(8)
-                pick = np.argpartition(rare, n - 1)[:n] if n < len(tok) else slice(None)
-                keys.append(tok[pick])
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
+                rare = own.astype(U) << U(56) | tok >> U(8)
+                pick = np.argpartition(rare, n - 1)[:n] if n < len(tok) else np.arange(len(tok))
+                pick = pick[own[pick] > 0]
+                if len(pick):
+                    listed.append(i)
+                    keys.append(tok[pick])
+                    nodes.append(np.full(len(pick), node, np.int64))
             key, node = np.concatenate(keys), np.concatenate(nodes)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
@@ -282,10 +399,10 @@ def list_rows(rule: Rule, rarity):
             new[1:] = key[1:] != key[:-1]
             head = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
             edges = np.unique(np.stack((head, node), axis=1)[head != node], axis=0)
-            heads = int(new.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(key[new].view(np.int64)), pa.nulls(len(edges), pa.int64())]), pa.array(np.append(node[new], edges[:, 1])), pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(edges[:, 0])])], ["key", "node", "head"]
-            )
+            yield rows(int(new.sum()), key=pa.array(key[new].view(np.int64)), node=pa.array(node[new]))
+            yield rows(len(edges), node=pa.array(edges[:, 1]), head=pa.array(edges[:, 0]))
+            chosen = classes[np.array(listed, np.int64)]
+            yield rows(len(listed), node=pa.array(chosen[:, 0].view(np.int64)), cls=binary(chosen), n=pa.array(counts[listed]), tok=pa.array([every[to[i] : to[i + 1]].tobytes() for i in listed], pa.binary()))
 
     return task
 
@@ -369,9 +486,9 @@ def join_sets(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Dat
     spark, rule = docs.sparkSession, Rule(num, den)
     small_batches(spark)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(survey(k, rule), f"doc_id {ids}, n long, cls binary, key long, size int, bucket int, blob binary")
+    found = docs.select("doc_id", "text").mapInArrow(survey(k, rule), f"doc_id {ids}, n long, cls binary, key long, size int, lot long, bucket int, blob binary, classes binary, need binary, owner binary")
     found = written(found, "join-survey")
-    every = found.where("key is null and bucket is null").select("doc_id", "n", "cls")
+    every = found.where("key is null and lot is null").select("doc_id", "n", "cls")
 
     light = found.where("key is not null").select("key", "size", "n", "cls").distinct()
     light = written(light, "join-subsets")
@@ -379,16 +496,17 @@ def join_sets(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Dat
     near = (F.col("n") + F.col("least.n") - F.col("size")) * num <= F.col("size") * den
     edges = light.join(least, ["key", "size"]).where(near & (F.col("cls") != F.col("least.cls"))).select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
 
-    blobs = found.where("bucket is not null").select("bucket", "blob").repartition("bucket")
-    known = KeyFilter(blobs.mapInArrow(repeated_in_blobs, "h long"), "h")
-    sets = written(docs.select("text").mapInArrow(candidates(k, rule, known), "node long, cls binary, n long, tok binary"), "join-sets")
+    parts = with_sizes(found.where("owner is not null").select("lot", "classes", "need", "owner"), found.where("bucket is not null").select("lot", "bucket", "blob"))
+    known = KeyFilter(parts.mapInArrow(sifted, "h long"), "h")
+    lots = written(docs.select("text").mapInArrow(candidates(k, rule, known), "lot long, classes binary, n binary, tok binary"), "join-sets")
     known.release()
-    rarity = rarities(sets)
-    rows = written(sets.select("node", "tok").mapInArrow(list_rows(rule, rarity), "key long, node long, head long"), "join-lists")
-    released(rarity)
+    lots = each_class_once(lots)
+    rows = with_sizes(lots, lots.select("lot", "tok").mapInArrow(shingle_blobs, "lot long, bucket int, blob binary"))
+    rows = written(rows.mapInArrow(list_rows(rule), "key long, node long, head long, cls binary, n long, tok binary"), "join-lists")
+    sets = rows.where("cls is not null").select("node", "cls", "n", "tok")
     lists = rows.where("key is not null").select("key", "node").repartition("key")
     heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
-    stars = lists.join(heads, "key").where("node <> head").select("head", "node").union(rows.where("key is null").select("head", "node")).distinct()
+    stars = lists.join(heads, "key").where("node <> head").select("head", "node").union(rows.where("head is not null").select("head", "node")).distinct()
     member = components(stars, "head", "node")
     sizes = member.groupBy("component").count()
     member = written(skew_join(member, sizes, "component").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")), "join-members")
