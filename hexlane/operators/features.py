@@ -193,10 +193,23 @@ def v2_scores(combos: DataFrame) -> DataFrame:
 
 
 # fixed values: the weights and bounds of the formulas below
+def inverted_st(lane: Column | str) -> Column:
+    return F.least(F.greatest(0.3 - at(lane, "st"), F.lit(-1.0)), F.lit(1.0))
+
+
+def inverted_exhibit(lane: Column | str) -> Column:
+    return F.least(F.greatest(7.5 - at(lane, "exhibit"), F.lit(-2.0)), F.lit(2.0))
+
+
+def binary_lanes(races: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What binary_block takes of each lane, as arrays by lane on the race's row: an outcome's columns are of its lanes, or differences."""
+    by_lane = {"st_inv": inverted_st, "exhibit_inv": inverted_exhibit, "course_diff": lambda x: (at(x, "course") - x).cast("int").cast("double"), "motor": lambda x: at(x, "motor").cast("double"), "boat": lambda x: at(x, "boat").cast("double")}
+    return races.select("race", *keep, *[F.array(*[f(F.lit(i)) for i in LANES]).alias(name) for name, f in by_lane.items()])
+
+
 def binary_block(combos: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Inverted timings, course move, picks by role and four differences; columns to keep stand before them."""
-    inv_st = lambda lane: F.least(F.greatest(0.3 - at(lane, "st"), F.lit(-1.0)), F.lit(1.0))
-    inv_ex = lambda lane: F.least(F.greatest(7.5 - at(lane, "exhibit"), F.lit(-2.0)), F.lit(2.0))
+    inv_st, inv_ex = inverted_st, inverted_exhibit
     cols = []
     for role, lane in ROLES.items():
         cols += [inv_st(lane).alias(f"{role}_st_inv"), inv_ex(lane).alias(f"{role}_exhibit_inv"), (at(lane, "course") - F.col(lane)).cast("int").alias(f"{role}_course_diff"), at(lane, "motor").alias(f"{role}_motor"), at(lane, "boat").alias(f"{role}_boat")]

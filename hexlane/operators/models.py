@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import race_boosting
 from .scoring import softmax
 
 # fixed values: group and what a feature's name must hold; the first that fits counts
@@ -24,8 +25,13 @@ def feature_group(name: str) -> str:
     return next((group for group, pattern in GROUPS if re.search(pattern, name)), "other")
 
 
-def train_binary(rows: DataFrame, features: list[str], label: str = "is_hit", hit_weight: float = 10.0, trees: int = 20, depth: int = 4) -> PipelineModel:
-    """Boosted trees on hit or miss, hits weighted. Label columns must not be among the features."""
+def train_binary(rows: DataFrame, features: list[str] | race_boosting.Lanes, label: str = "is_hit", hit_weight: float = 10.0, trees: int = 20, depth: int = 4) -> PipelineModel | race_boosting.Trees:
+    """Boosted trees on hit or miss, hits weighted. Label columns must not be among the features.
+
+    With features of lanes, rows are races, label is the class that won, and the same kind of trees is grown without 120 rows a race.
+    """
+    if isinstance(features, race_boosting.Lanes):
+        return race_boosting.fit(rows, features, label, hit_weight, trees, depth)
     rows = rows.withColumn("_w", F.when(F.col(label) == 1, hit_weight).otherwise(1.0)).withColumn("_y", F.col(label).cast("double"))
     boost = GBTClassifier(labelCol="_y", featuresCol="_x", weightCol="_w", maxIter=trees, maxDepth=depth, seed=7)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), boost]).fit(rows)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..dims import VENUES
 from ..functions.scalars import round_to
-from ..operators import models, reports
-from ..operators.features import binary_block
+from ..operators import models, race_boosting, reports
+from ..operators.features import binary_lanes
 from ..sources.tables import parquet
-from .base import LOG, RUNNERS, VALUED, betting_log, combos, query, races, ranked, rd, rounded, runners, valued
+from .base import LOG, RUNNERS, VALUED, betting_log, query, races, ranked, rd, rounded, runners, valued
 
 WEIGHTS = [("lane", 0.5), ("motor", -1.0), ("st", 1.5), ("grade", float("nan")), ("other", 0.0)]
 _W = ", ".join(f"('{g}', {'NULL' if w != w else w}::DOUBLE)" for g, w in WEIGHTS)
@@ -105,10 +105,7 @@ def best_ev_by_venue(spark, d):
 @query("trained_topk")
 def trained_topk(spark, d):
     """A boosted scorer trained on the earlier races and evaluated by venue on the later ones; without SQL."""
-    kept = ("date", "venue", "y_class")
-    rows = binary_block(combos(spark, d), kept).withColumn("is_hit", (F.col("class_id") == F.col("y_class")).cast("int"))
-    features = [c for c in rows.columns if c not in ("race", "class_id", *kept, "is_hit")]
-    model = models.train_binary(rows.where("date <= '19991231'"), features, trees=5, depth=3)
-    later = models.score_binary(model, rows.where("date > '19991231'"))
-    place = F.row_number().over(Window.partitionBy("race").orderBy(F.desc("prob"), "class_id"))
-    return reports.topk_by_venue(later.withColumn("rank_prob", place))
+    rows = binary_lanes(races(spark, d), ("date", "venue", "y_class"))
+    lanes = race_boosting.Lanes(["st_inv", "exhibit_inv", "course_diff", "motor", "boat"], ["st_inv", "exhibit_inv", "motor", "boat"])
+    model = models.train_binary(rows.where("date <= '19991231'"), lanes, "y_class", trees=5, depth=3)
+    return reports.topk_by_venue(race_boosting.hit_ranks(model, rows.where("date > '19991231'"), "y_class", ["race", "venue"]))
