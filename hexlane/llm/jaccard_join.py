@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, components, skew_join, small_batches, table, written
+from .common import KeyFilter, byte_batches, components, skew_join, table, written
 from .words import Words, mix, slices
 
 U = np.uint64
-STRONG, BLOCK, MAP_BITS, LOT_SHINGLES, BROADCAST_CLASSES = 2, 2000, 1024, 1 << 17, 500_000
+STRONG, BLOCK, MAP_BITS, LOT_SHINGLES, BROADCAST_CLASSES = 2, 2000, 1024, 1 << 16, 500_000
 LIST_COST = 3  # a part is counted, looked up and its sets compared; a subset is only grouped
 
 
@@ -349,19 +349,19 @@ def without_spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], *[pa.array([x], pa.binary()) for x in columns]], ["lot", "classes", "n", "tok"])
 
 
-def each_class_once(lots: DataFrame) -> DataFrame:
-    """Lots without the sets of classes that an earlier lot has, so that copies of a text are no reason to list its shingles."""
+def with_spare(lots: DataFrame) -> DataFrame:
+    """Lots with the classes that an earlier lot has (spare), so that copies of a text are no reason to list its shingles."""
     by_class = Window.partitionBy("cls").orderBy("lot")  # as many rows as there are lots at most
     again = lots.select("lot", "classes").mapInArrow(placed, "lot long, cls binary").withColumn("_place", F.row_number().over(by_class)).where("_place > 1")
     spare = written(again.groupBy("lot").agg(F.collect_list("cls").alias("spare")), "join-spare")
     few = (spare.agg(F.sum(F.size("spare"))).first()[0] or 0) <= BROADCAST_CLASSES
-    return lots.join(F.broadcast(spare) if few else spare, "lot", "left").mapInArrow(without_spare, lots.schema)
+    return lots.join(F.broadcast(spare) if few else spare, "lot", "left")
 
 
 def shingle_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lot, bucket, blob): the shingles of the sets of each lot (lot, tok)."""
     for batch in batches:
-        for lot, tok in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for lot, tok in zip(batch.column("lot").to_pylist(), batch.column("tok"), strict=True):
             _, bucket, blob = in_buckets(np.frombuffer(tok.as_buffer(), U))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lot)), bucket, blob], ["lot", "bucket", "blob"])
 
@@ -484,7 +484,7 @@ def large_components(sets: DataFrame, rule: Rule) -> DataFrame:
 def join_sets(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked when den * intersection >= num * union, and their components."""
     spark, rule = docs.sparkSession, Rule(num, den)
-    small_batches(spark)
+    byte_batches(spark)
     ids = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(survey(k, rule), f"doc_id {ids}, n long, cls binary, key long, size int, lot long, bucket int, blob binary, classes binary, need binary, owner binary")
     found = written(found, "join-survey")
@@ -500,8 +500,10 @@ def join_sets(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Dat
     known = KeyFilter(parts.mapInArrow(sifted, "h long"), "h")
     lots = written(docs.select("text").mapInArrow(candidates(k, rule, known), "lot long, classes binary, n binary, tok binary"), "join-sets")
     known.release()
-    lots = each_class_once(lots)
-    rows = with_sizes(lots, lots.select("lot", "tok").mapInArrow(shingle_blobs, "lot long, bucket int, blob binary"))
+    spared = with_spare(lots)
+    # one function a stage: each would keep a Python worker of its own
+    blobs = spared.mapInArrow(lambda batches: shingle_blobs(without_spare(batches)), "lot long, bucket int, blob binary")
+    rows = with_sizes(spared.mapInArrow(without_spare, lots.schema), blobs)
     rows = written(rows.mapInArrow(list_rows(rule), "key long, node long, head long, cls binary, n long, tok binary"), "join-lists")
     sets = rows.where("cls is not null").select("node", "cls", "n", "tok")
     lists = rows.where("key is not null").select("key", "node").repartition("key")
